@@ -1,0 +1,4 @@
+"""All registered queries by name."""
+
+from ordstack.catalog import projections, relational, sources  # noqa: F401
+from ordstack.catalog.registry import REGISTRY  # noqa: F401

@@ -37,6 +37,7 @@ from ordstack.functions.numeric import (
     with_pairwise,
 )
 from ordstack.functions.splits import fold_of
+from ordstack.models.embed import embed
 from ordstack.operators import encode
 from ordstack.operators.columns import (
     column_roles,
@@ -44,6 +45,7 @@ from ordstack.operators.columns import (
     fill_missing,
     listed_roles,
 )
+from ordstack.operators.combine import combine
 
 KEYS = (ROW_ID, IS_TEST, TARGET)
 STATS = ("min_target_encoding", "max_target_encoding", "median_target_encoding")
@@ -327,6 +329,22 @@ def n1(raw: DataFrame) -> SparseSet:
     return SparseSet(df, roles.floating, encoder, scaler.transform(df))
 
 
+def n2(raw: DataFrame, k: int = 64) -> FeatureSet:
+    """``k`` principal components of ``n1``."""
+    sparse = n1(raw)
+    return FeatureSet(embed(sparse.vectors(), k, sparse.width))
+
+
+def n3(raw: DataFrame, k: int = 128) -> FeatureSet:
+    return n2(raw, k)
+
+
+def n4(raw: DataFrame, k: int = 1024) -> FeatureSet:
+    """As ``n2``; no more components than ``n1`` has columns."""
+    sparse = n1(raw)
+    return FeatureSet(embed(sparse.vectors(), min(k, sparse.width), sparse.width))
+
+
 # --- combined sets ------------------------------------------------------------------------------
 
 Part = Callable[[DataFrame, str], tuple[DataFrame, list[str], list[str]]]
@@ -349,6 +367,13 @@ def _combined(raw: DataFrame, parts: dict[str, Part]) -> FeatureSet:
     return FeatureSet(kept, [c for c in whole if c in kept.columns])
 
 
+def j3(raw: DataFrame, k: int = 128) -> FeatureSet:
+    """``j2`` and the embedding side by side, joined by row id."""
+    left = j2(raw)
+    table = combine({"j2": left.table, "n3": n3(raw, k).table})
+    return FeatureSet(table, [f"j2_{c}" for c in left.whole if f"j2_{c}" in table.columns])
+
+
 def j5(raw: DataFrame) -> FeatureSet:
     """``j2`` and ``j4`` side by side."""
     return _combined(raw, {"j2": _part_j2, "j4": _part_j4})
