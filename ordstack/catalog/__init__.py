@@ -1,4 +1,10 @@
 """All registered queries by name."""
 
-from ordstack.catalog import projections, relational, sources  # noqa: F401
+from ordstack.catalog import (  # noqa: F401
+    encoders,
+    feature_sets,
+    projections,
+    relational,
+    sources,
+)
 from ordstack.catalog.registry import REGISTRY  # noqa: F401
