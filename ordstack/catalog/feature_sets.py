@@ -212,13 +212,13 @@ def j5(spark, sf):
     "i9_j7",
     over_base(
         f"""SELECT {KEY_SQL}, {', '.join(renamed(_varying(_J2_PICKS), 'j5_j2_'))},
-            {', '.join(renamed(_J4_PICKS, 'j5_j4_'))}, {', '.join(renamed(_J6_PICKS, 'j6_'))}
-            {_JOINED} {_J6_JOINS}""",
+            {', '.join(renamed(_J4_PICKS, 'j5_j4_'))}, {', '.join(renamed(_J6_PICKS[:1], 'j6_'))}
+            {_JOINED}""",
         *_J1_CTES,
-        *_J6_CTES,
     ),
 )
 def j7(spark, sf):
+    # no composite key has 10 rows in this data, so their constant labels and means are dropped
     return rounded(recipes.j7(fixture.staged(spark, sf)).table)
 
 

@@ -228,10 +228,7 @@ def pairwise_sql(cols, ref=lambda c: c) -> list[str]:
 )
 def pairwise(spark, sf):
     df = fixture.base(spark, sf).select("row_id", *J8_INTERACTIONS)
-    wide = num.with_pairwise(df, J8_INTERACTIONS)
-    return wide.select(
-        "row_id", *[r6(c).alias(c) for c in num.pairwise_names(J8_INTERACTIONS)]
-    )
+    return rounded(num.with_pairwise(df, J8_INTERACTIONS).drop(*J8_INTERACTIONS))
 
 
 @query("b16_add_cols", over_base(f'SELECT row_id, {s6("f_5 + f_21")} AS "f_5+f_21" FROM b'))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordstack.functions.numeric import quoted
+from ordstack.functions.numeric import ident, quoted
 from ordstack.plans import fixture
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +45,12 @@ def r6(c: Column | str) -> Column:
 
 
 def rounded(df: DataFrame, keep: list[str] | tuple[str, ...] = ("row_id",)) -> DataFrame:
-    """Doubles to six decimals, other columns as they are; text and keys untouched."""
-    kind = dict(df.dtypes)
-    return df.select(
+    """Doubles to six decimals, other columns and those of ``keep`` as they are."""
+    return df.selectExpr(
         *[
-            r6(c).alias(c) if kind[c] == "double" and c not in keep else quoted(c)
-            for c in df.columns
+            f"round({ident(c)}, 6) + 0.0D AS {ident(c)}" if t == "double" and c not in keep
+            else ident(c)
+            for c, t in df.dtypes
         ]
     )
 

@@ -18,6 +18,17 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def ident(name: str) -> str:
+    """Exact column name as SQL text. Wide projections are written as text: the plan is the same,
+    and building it takes one call to the JVM per column instead of one per operator."""
+    return f"`{name}`"
+
+
+def number(x: float) -> str:
+    """Exact double literal as SQL text."""
+    return f"({float(x)!r}D)"
+
+
 def int_div(c: Column, n: int) -> Column:
     """Integer division that stays exact beyond 2**53."""
     return F.call_function("div", c.cast("bigint"), F.lit(n).cast("bigint"))
@@ -31,33 +42,39 @@ def scaled_sum(a: Column, b: Column, factor: int = 10) -> Column:
     return a * factor + b
 
 
-def log1p_safe(c: Column) -> Column:
+def log1p_sql(c: str) -> str:
     """``log(1 + x)``, NULL at and below -1."""
-    return F.log1p(c.cast("double"))
+    return f"log1p(CAST({c} AS DOUBLE))"
 
 
 def pairwise_names(cols: Sequence[str]) -> list[str]:
     return [f"{a}{op}{b}" for a, b in combinations(cols, 2) for op in "+-x/"]
 
 
+def pairwise_exprs(cols: Sequence[str], prefix: str = "") -> tuple[list[str], list[str]]:
+    """SQL of the logarithm of every column (as ``_log_<column>``), and of every pair by them."""
+    logs = [f"{log1p_sql(ident(prefix + c))} AS {ident('_log_' + c)}" for c in cols]
+    pairs = []
+    for a, b in combinations(cols, 2):
+        va, vb = ident(prefix + a), ident(prefix + b)
+        la, lb = ident(f"_log_{a}"), ident(f"_log_{b}")
+        pairs += [
+            f"{va} + {vb} AS {ident(f'{prefix}{a}+{b}')}",
+            f"{va} - {vb} AS {ident(f'{prefix}{a}-{b}')}",
+            f"{la} + {lb} AS {ident(f'{prefix}{a}x{b}')}",
+            f"{la} - {lb} AS {ident(f'{prefix}{a}/{b}')}",
+        ]
+    return logs, pairs
+
+
 def with_pairwise(df: DataFrame, cols: Sequence[str], prefix: str = "") -> DataFrame:
     """Append sum, difference, log sum and log difference of every pair of ``cols``.
 
     Two projections: the first takes each logarithm once, the second combines them. ``prefix``
     stands before the names of both the columns read and the columns made.
     """
-    value = {c: quoted(f"{prefix}{c}") for c in cols}
-    log = {c: quoted(f"_log_{c}") for c in cols}
-    logs = df.select("*", *[log1p_safe(value[c]).alias(f"_log_{c}") for c in cols])
-    new = []
-    for a, b in combinations(cols, 2):
-        new += [
-            (value[a] + value[b]).alias(f"{prefix}{a}+{b}"),
-            (value[a] - value[b]).alias(f"{prefix}{a}-{b}"),
-            (log[a] + log[b]).alias(f"{prefix}{a}x{b}"),
-            (log[a] - log[b]).alias(f"{prefix}{a}/{b}"),
-        ]
-    return logs.select("*", *new).drop(*[f"_log_{c}" for c in cols])
+    logs, pairs = pairwise_exprs(cols, prefix)
+    return df.selectExpr("*", *logs).selectExpr("*", *pairs).drop(*[f"_log_{c}" for c in cols])
 
 
 def row_min(cols: Sequence[Column]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordstack.constants import FOLD, H1_CATEGORICAL, H1_NUMERIC, IS_TEST, ROW_ID, TARGET
-from ordstack.functions.numeric import quoted
+from ordstack.functions.numeric import ident, quoted
 
 KEYS = (ROW_ID, IS_TEST, FOLD, TARGET, "id")
 
@@ -95,20 +95,11 @@ def column_std(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Smallest and largest value per column, one pass, as a row per column."""
-    one = df.agg(
-        *[
-            F.struct(
-                F.min(quoted(c)).cast("double").alias("lo"),
-                F.max(quoted(c)).cast("double").alias("hi"),
-            ).alias(c)
-            for c in cols
-        ]
+    one = df.selectExpr(*[f"CAST({ident(c)} AS DOUBLE) AS {ident(c)}" for c in cols]).agg(
+        *[F.expr(f"struct(min({ident(c)}) AS lo, max({ident(c)}) AS hi) AS {ident(c)}") for c in cols]
     )
-    rows = [
-        F.struct(F.lit(c).alias("column"), quoted(c)["lo"].alias("lo"), quoted(c)["hi"].alias("hi"))
-        for c in cols
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    rows = [f"struct('{c}' AS column, {ident(c)}.lo AS lo, {ident(c)}.hi AS hi)" for c in cols]
+    return one.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def varying_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -117,10 +108,10 @@ def varying_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
         return []
     row = df.agg(
         *[
-            (
-                (F.count_if(quoted(c).isNull()) > 0)
-                | F.coalesce(F.min(quoted(c)) != F.max(quoted(c)), F.lit(True))
-            ).alias(c)
+            F.expr(
+                f"count_if({ident(c)} IS NULL) > 0 OR "
+                f"coalesce(min({ident(c)}) <> max({ident(c)}), true) AS {ident(c)}"
+            )
             for c in cols
         ]
     ).first()
@@ -132,7 +123,7 @@ def drop_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     cols = feature_columns(df) if cols is None else list(cols)
     train = df.filter(~F.col(IS_TEST)) if IS_TEST in df.columns else df
     keep = set(varying_columns(train, cols))
-    return df.select(*[quoted(c) for c in df.columns if c in keep or c not in cols])
+    return df.drop(*[c for c in cols if c not in keep])
 
 
 def fold_train(df: DataFrame, i: int) -> DataFrame:

@@ -16,15 +16,15 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ordstack.constants import FOLD, IS_TEST, N_FOLD, ROW_ID, TARGET
-from ordstack.functions.numeric import quoted
+from ordstack.functions.numeric import ident, number, quoted
 from ordstack.operators.columns import min_max
 from ordstack.operators.lookup import Mapping, lookup
 from ordstack.operators.ordering import number_within
 from ordstack.session import store
 
 
-def _mean(s: Column, n: Column) -> Column:
-    return s.cast("double") / F.nullif(n, F.lit(0))
+def _mean(s: str, n: str) -> str:
+    return f"CAST({s} AS DOUBLE) / nullif({n}, 0)"
 
 
 def category_stats(
@@ -39,30 +39,34 @@ def category_stats(
     if not both_sides:
         df = df.filter(train)
     keys = [f"_k{i}" for i in range(len(cols))]
-    extra = [quoted(target).cast("bigint").alias("_y")] if target else []
-    extra += [quoted(FOLD)] if n_fold else []
-    slim = df.select(ROW_ID, IS_TEST, *[quoted(c).alias(k) for c, k in zip(cols, keys)], *extra)
+    slim = df.selectExpr(
+        ROW_ID,
+        IS_TEST,
+        *[f"{ident(c)} AS {k}" for c, k in zip(cols, keys)],
+        *([f"CAST({ident(target)} AS BIGINT) AS _y"] if target else []),
+        *([FOLD] if n_fold else []),
+    )
     aggs = [
-        F.count_if(train).alias("n_train"),
-        F.count_if(F.col(IS_TEST)).alias("n_test"),
-        F.min(F.when(train, F.col(ROW_ID))).alias("first_train"),
-        F.min(ROW_ID).alias("first_any"),
+        f"count_if(NOT {IS_TEST}) AS n_train",
+        f"count_if({IS_TEST}) AS n_test",
+        f"min(CASE WHEN NOT {IS_TEST} THEN {ROW_ID} END) AS first_train",
+        f"min({ROW_ID}) AS first_any",
     ]
     if target:
-        aggs.append(F.coalesce(F.sum(F.when(train, F.col("_y"))), F.lit(0)).alias("s"))
+        aggs.append(f"coalesce(sum(CASE WHEN NOT {IS_TEST} THEN _y END), 0) AS s")
         for i in range(1, n_fold + 1):
-            mine = train & (F.col(FOLD) == i)
-            aggs.append(F.coalesce(F.sum(F.when(mine, F.col("_y"))), F.lit(0)).alias(f"s_{i}"))
-            aggs.append(F.count_if(mine).alias(f"n_{i}"))
+            mine = f"NOT {IS_TEST} AND {FOLD} = {i}"
+            aggs.append(f"coalesce(sum(CASE WHEN {mine} THEN _y END), 0) AS s_{i}")
+            aggs.append(f"count_if({mine}) AS n_{i}")
     grouped = slim.groupingSets([[k] for k in keys], *keys).agg(
-        F.grouping_id().alias("_gid"), *aggs
+        F.grouping_id().alias("_gid"), *[F.expr(a) for a in aggs]
     )
     # the grouping id has a 0 bit at the grouped column, the first column being the highest bit
     full = (1 << len(keys)) - 1
-    position = F.lit(None).cast("int")
-    for i in range(len(keys)):
-        gid = full - (1 << (len(keys) - 1 - i))
-        position = F.when(F.col("_gid") == gid, i).otherwise(position)
+    at = " ".join(
+        f"WHEN {full - (1 << (len(keys) - 1 - i))} THEN {i}" for i in range(len(keys))
+    )
+    position = F.expr(f"CASE _gid {at} END")
     return store(
         grouped.withColumn("_set", position).drop("_gid"), "categories", partition_by="_set"
     )
@@ -107,16 +111,14 @@ def fit_categories(
     are over the train rows, or over all rows with ``fit_all``.
     """
     stats = category_stats(df, cols, fit_all or overlap, target, n_fold)
-    n = F.col("n_train") + F.col("n_test") if fit_all else F.col("n_train")
-    first = F.col("first_any") if fit_all else F.col("first_train")
-    stats = stats.withColumns({"n": n, "first_row": first})
-    frequent = F.col("n") >= (min_obs or 1)
+    n, first = ("n_train + n_test", "first_any") if fit_all else ("n_train", "first_train")
+    stats = stats.selectExpr("*", f"{n} AS n", f"{first} AS first_row")
+    frequent = f"n >= {min_obs or 1}"
     keys = [f"_k{i}" for i in range(len(cols))]
     facts = _column_facts(stats, keys, frequent, target, n_fold, overlap, min_obs is not None)
-    kept = frequent | F.lit(overlap)
     demoted: list[int | None] = [None] * len(cols)
     if min_obs is None:
-        labelled = stats.filter(kept)
+        labelled = stats if overlap else stats.filter(frequent)
     else:
         for i, f in enumerate(facts):
             if f and f["frequent"] and not f["rare"]:
@@ -125,35 +127,32 @@ def fit_categories(
             stats.filter(frequent), "_set", "first_row", "label",
             sum(f["frequent"] for f in facts if f),
         )
-        label = F.col("label")
-        for i, last in enumerate(demoted):
-            if last is not None:
-                label = F.when((F.col("_set") == i) & (F.col("label") == last), 0).otherwise(label)
-        labelled = numbered.withColumn("label", label.cast("int"))
+        last = [f"(_set = {i} AND label = {k})" for i, k in enumerate(demoted) if k is not None]
+        label = f"CASE WHEN {' OR '.join(last)} THEN 0 ELSE label END" if last else "label"
+        labelled = numbered.withColumn("label", F.expr(f"CAST({label} AS INT)"))
         if overlap:
-            rest = stats.filter(~frequent).withColumn("label", F.lit(0))
+            rest = stats.filter(f"NOT ({frequent})").withColumn("label", F.lit(0))
             labelled = labelled.unionByName(rest)
 
     unseen: list[dict[str, object]] = [
         {"label": 0 if min_obs is not None else None, "both": 0} for _ in cols
     ]
-    fields = [F.col("label")] if min_obs is not None else []
+    fields = ["label"] if min_obs is not None else []
     if overlap:
-        both = (F.col("n_train") > 0) & (F.col("n_test") > 0)
-        fields.append(both.cast("int").alias("both"))
+        fields.append("CAST(n_train > 0 AND n_test > 0 AS INT) AS both")
     if target:
-        means = [_mean(F.col("s"), F.col("n_train"))] + [
-            _mean(F.col("s") - F.col(f"s_{i}"), F.col("n_train") - F.col(f"n_{i}"))
-            for i in range(1, n_fold + 1)
+        means = [_mean("s", "n_train")] + [
+            _mean(f"(s - s_{i})", f"n_train - n_{i}") for i in range(1, n_fold + 1)
         ]
         if min_obs is not None:
             pools = [_pooled_means(f, d is not None, n_fold) for f, d in zip(facts, demoted)]
             for u, pool in zip(unseen, pools):
                 u["te"], u["te_folds"] = pool[0], pool[1:]
             means = [_label_mean(m, k, pools) for k, m in enumerate(means)]
-        fields.append(means[0].alias("te"))
-        fields.append(F.array(*means[1:]).alias("te_folds"))
-    table = labelled.select("_set", *keys, *fields)
+        fields.append(f"{means[0]} AS te")
+        if n_fold:
+            fields.append(f"array({', '.join(means[1:])}) AS te_folds")
+    table = labelled.selectExpr("_set", *keys, *fields)
     if min_obs is not None:
         table = store(table, "mapping", partition_by="_set")
     width = 16 + 8 * (3 + n_fold)
@@ -178,7 +177,7 @@ def _sums(n_fold: int) -> list[str]:
 def _column_facts(
     stats: DataFrame,
     keys: Sequence[str],
-    frequent: Column,
+    frequent: str,
     target: str | None,
     n_fold: int,
     keep_all: bool,
@@ -186,20 +185,21 @@ def _column_facts(
 ) -> list[Row | None]:
     """What fitting needs to know of each column, one row per column: how many values are frequent
     and rare, the size of the mapping, and the target sums of the values that become label 0."""
-    kept = F.lit(True) if keep_all else frequent
-    rare = ~frequent & (F.col("n") > 0)
-    text = [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys]
+    kept = "true" if keep_all else frequent
+    rare = f"NOT ({frequent}) AND n > 0"
+    text = " + ".join(f"coalesce(octet_length(CAST({k} AS STRING)), 0)" for k in keys)
     aggs = [
-        F.count_if(frequent).alias("frequent"),
-        F.count_if(rare).alias("rare"),
-        F.count_if(kept).alias("rows"),
-        F.coalesce(F.sum(F.when(kept, sum(text[1:], text[0]))), F.lit(0)).alias("bytes"),
+        f"count_if({frequent}) AS frequent",
+        f"count_if({rare}) AS rare",
+        f"count_if({kept}) AS rows",
+        f"coalesce(sum(CASE WHEN {kept} THEN {text} END), 0) AS bytes",
     ]
     if target and by_label:
-        aggs += [F.sum(F.when(rare, F.col(c))).alias(c) for c in _sums(n_fold)]
-        last = F.struct(*[F.col(c) for c in _sums(n_fold)])
-        order = F.when(frequent, F.col("first_row"))
-        aggs.append(F.max_by(last, order).alias("last"))
+        sums = _sums(n_fold)
+        aggs += [f"sum(CASE WHEN {rare} THEN {c} END) AS {c}" for c in sums]
+        order = f"CASE WHEN {frequent} THEN first_row END"
+        aggs.append(f"max_by(struct({', '.join(sums)}), {order}) AS last")
+    aggs = [F.expr(a) for a in aggs]
     found = {r["_set"]: r for r in stats.groupBy("_set").agg(*aggs).collect()}
     return [found.get(i) for i in range(len(keys))]
 
@@ -220,13 +220,13 @@ def _pooled_means(facts: Row | None, demoted: bool, n_fold: int) -> list[float |
     ]
 
 
-def _label_mean(own: Column, k: int, pools: list[list[float | None]]) -> Column:
+def _label_mean(own: str, k: int, pools: list[list[float | None]]) -> str:
     """A label above 0 is one value and has that value's mean; label 0 has the pooled one."""
-    pooled = F.lit(None).cast("double")
-    for i, pool in enumerate(pools):
-        if pool[k] is not None:
-            pooled = F.when(F.col("_set") == i, F.lit(pool[k])).otherwise(pooled)
-    return F.when(F.col("label") == 0, pooled).otherwise(own)
+    pooled = " ".join(
+        f"WHEN _set = {i} THEN {number(pool[k])}" for i, pool in enumerate(pools) if pool[k] is not None
+    )
+    pooled = f"CASE {pooled} END" if pooled else "CAST(NULL AS DOUBLE)"
+    return f"CASE WHEN label = 0 THEN {pooled} ELSE {own} END"
 
 
 class LabelEncoder:
@@ -258,11 +258,15 @@ class MinMax:
         self.bounds = {r["column"]: (r["lo"], r["hi"]) for r in rows}
         return self
 
-    def column(self, c: str) -> Column:
+    def expr(self, c: str) -> str:
+        """Scaled column as SQL text."""
         lo, hi = self.bounds[c]
         if lo is None:
-            return F.lit(None).cast("double")
-        return (quoted(c) - lo) / ((hi - lo) if hi != lo else 1.0)
+            return "CAST(NULL AS DOUBLE)"
+        return f"({ident(c)} - {number(lo)}) / {number(hi - lo if hi != lo else 1.0)}"
+
+    def column(self, c: str) -> Column:
+        return F.expr(self.expr(c))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: self.column(c) for c in self.bounds})
@@ -369,12 +373,12 @@ def explode_folds(
     df: DataFrame, keys: Sequence[str], cols: Sequence[str], n_fold: int = N_FOLD
 ) -> DataFrame:
     rows = [
-        F.struct(
-            F.lit(i + 1).alias(FOLD), *[F.get(quoted(f"_te_{c}"), F.lit(i)).alias(c) for c in cols]
-        )
+        f"struct({i + 1} AS {FOLD}, "
+        + ", ".join(f"get({ident('_te_' + c)}, {i}) AS {ident(c)}" for c in cols)
+        + ")"
         for i in range(n_fold)
     ]
-    return df.select(*keys, F.inline(F.array(*rows)))
+    return df.selectExpr(*keys, f"inline(array({', '.join(rows)}))")
 
 
 def target_encode_oof(

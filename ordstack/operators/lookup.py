@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordstack.constants import IS_TEST, ROW_ID
-from ordstack.functions.numeric import quoted
+from ordstack.functions.numeric import ident, number, quoted
 from ordstack.session import store
 
 BROADCAST_BYTES = 64 << 20  # largest measured mapping that is broadcast
@@ -55,10 +55,13 @@ def mapping(df: DataFrame, key: str, label: str = "mapping") -> Mapping:
     return Mapping(table, key, size)
 
 
-def as_column(value: object) -> Column:
+def literal(value: object) -> str:
+    """Default value as SQL text: a number, nothing, or a list of numbers."""
+    if value is None:
+        return "CAST(NULL AS DOUBLE)"
     if isinstance(value, (list, tuple)):
-        return F.array(*[F.lit(v).cast("double") for v in value])
-    return F.lit(value)
+        return f"array({', '.join(literal(v) for v in value)})"
+    return number(value) if isinstance(value, float) else str(int(value))
 
 
 def hot_values(df: DataFrame, key: str) -> list:
@@ -84,10 +87,10 @@ def lookup(
     Keys the mapping does not hold give NULL, or the entry of ``defaults``; a NULL the mapping does
     hold stays NULL. With ``null_safe`` a NULL key matches a NULL key.
     """
-    wanted = [quoted(f).alias(f"_v_{n}") for f, n in fields.items()]
-    right = m.table.select(quoted(m.key).alias("_key"), F.lit(True).alias("_hit"), *wanted)
+    wanted = [f"{ident(f)} AS {ident('_v_' + n)}" for f, n in fields.items()]
+    right = m.table.selectExpr(f"{ident(m.key)} AS _key", "true AS _hit", *wanted)
     left_key = quoted(on)
-    same = left_key.eqNullSafe(F.col("_key")) if null_safe else left_key == F.col("_key")
+    same = F.expr(f"{ident(on)} {'<=>' if null_safe else '='} _key")
     if m.size <= BROADCAST_BYTES:
         joined = df.join(F.broadcast(right), same, "left")
     else:
@@ -105,14 +108,15 @@ def lookup(
         left = df.withColumn("_salt_l", F.when(spread_left, salt).otherwise(0))
         joined = left.join(right, same & (F.col("_salt_l") == F.col("_salt_r")), "left")
     defaults = defaults or {}
-    new = {}
-    for n in fields.values():
-        value = F.col(f"`_v_{n}`")
-        if n in defaults:
-            value = F.when(F.col("_hit").isNull(), as_column(defaults[n])).otherwise(value)
-        new[n] = value
+    new = [
+        f"CASE WHEN _hit IS NULL THEN {literal(defaults[n])} ELSE {ident('_v_' + n)} END AS {ident(n)}"
+        if n in defaults
+        else f"{ident('_v_' + n)} AS {ident(n)}"
+        for n in fields.values()
+    ]
     helpers = ["_key", "_hit", "_salt_l", "_salt_r", *[f"_v_{n}" for n in fields.values()]]
-    return joined.withColumns(new).drop(*helpers)
+    replaced = [n for n in fields.values() if n in df.columns]
+    return joined.drop(*replaced).selectExpr("*", *new).drop(*helpers)
 
 
 def side_counts(df: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.constants import (
@@ -29,6 +29,7 @@ from ordstack.functions import dates, ids
 from ordstack.functions.numeric import (
     below_labels,
     exact_labels,
+    ident,
     pairwise_names,
     quoted,
     row_max,
@@ -61,13 +62,15 @@ class FeatureSet:
 
 
 def _select(df: DataFrame, prefix: str, names: Sequence[str]) -> DataFrame:
-    return df.select(*KEYS, *[quoted(f"{prefix}{n}").alias(n) for n in names])
+    return df.selectExpr(*KEYS, *[f"{ident(prefix + n)} AS {ident(n)}" for n in names])
 
 
-def _dated(df: DataFrame) -> DataFrame:
+def _dated(df: DataFrame, prefix: str = "") -> DataFrame:
     """Raw columns plus ``year_2017`` and ``month``."""
     day = dates.parse_mdy(F.col("date"))
-    return df.withColumns({"year_2017": dates.year_offset(day), "month": dates.month_of(day)})
+    return df.withColumns(
+        {f"{prefix}year_2017": dates.year_offset(day), f"{prefix}month": dates.month_of(day)}
+    )
 
 
 def _raw(df: DataFrame) -> list[str]:
@@ -78,8 +81,9 @@ def _with_folds(df: DataFrame) -> DataFrame:
     return df if FOLD in df.columns else df.withColumn(FOLD, fold_of(F.col(ROW_ID)))
 
 
-def _named(df: DataFrame, exprs: dict[str, Column]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in exprs.items()])
+def _named(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Append columns given as SQL text."""
+    return df.selectExpr("*", *[f"{e} AS {ident(n)}" for n, e in exprs.items()])
 
 
 # --- h1 -----------------------------------------------------------------------------------------
@@ -109,20 +113,12 @@ def _part_j0(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     view = _dated(df.select(*_raw(df))).drop(*DROP_BASIC)
     roles = column_roles(view, ["customer_id"])
     fitted = encode.fit_categories(view, roles.categorical, min_obs=10)
-    day = dates.parse_mdy(F.col("date"))
-    out = df
+    out = _dated(df, p)
     for c in roles.categorical:
         out = fitted.apply(out, c, {"label": f"{p}{c}"})
-    derived = {"year_2017": dates.year_offset(day), "month": dates.month_of(day)}
     names = [c for c in view.columns if c not in (*KEYS, FOLD)]
-    out = _named(
-        out,
-        {
-            f"{p}{c}": derived.get(c, F.col(c))
-            for c in names
-            if c not in roles.categorical
-        },
-    )
+    made = {*roles.categorical, "year_2017", "month"}
+    out = _named(out, {f"{p}{c}": ident(c) for c in names if c not in made})
     return out, names, roles.categorical
 
 
@@ -140,9 +136,7 @@ def _part_j1(
     roles = column_roles(view, ["cid_8"])
     fitted = encode.fit_categories(view, roles.categorical, min_obs=10)
     scaler = encode.MinMax(roles.floating).fit(df.filter(~F.col(IS_TEST)))
-    day = dates.parse_mdy(F.col("date"))
-    derived = {"year_2017": dates.year_offset(day), "month": dates.month_of(day)}
-    out = df.withColumn("~cid_8", ids.cid8(F.col("customer_id")))
+    out = _dated(df, p).withColumn("~cid_8", ids.cid8(F.col("customer_id")))
     for c in roles.categorical:
         key = "~cid_8" if c == "cid_8" else c
         fields = {"label": f"{p}{c}"}
@@ -150,12 +144,12 @@ def _part_j1(
     out = _named(
         out.drop("~cid_8"),
         {
-            **{f"{p}{c}": scaler.column(c) for c in roles.floating},
-            **{f"{p}{c}": derived.get(c, F.col(c)) for c in roles.integer},
+            **{f"{p}{c}": scaler.expr(c) for c in roles.floating},
+            **{f"{p}{c}": ident(c) for c in roles.integer if c not in ("year_2017", "month")},
         },
     )
     base = [c for c in view.columns if c not in (*KEYS, FOLD)]
-    out = out.withColumn(f"{p}f_5+f_21", quoted(f"{p}f_5") + quoted(f"{p}f_21"))
+    out = _named(out, {f"{p}f_5+f_21": f"{ident(p + 'f_5')} + {ident(p + 'f_21')}"})
     out = with_pairwise(out, J1_INTERACTIONS, p)
     names = [*base, "f_5+f_21", *pairwise_names(J1_INTERACTIONS)]
     if keep_id:
@@ -202,11 +196,11 @@ def _part_j4(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     need = ["f_5", *J4_INTERACTIONS]
     out = _named(
         df,
-        {f"{p}{c}": scaler.column(c) if c in scaler.bounds else F.col(c) for c in need},
+        {f"{p}{c}": scaler.expr(c) if c in scaler.bounds else ident(c) for c in need},
     )
     out = _named(
         out,
-        {f"{p}f_5+{c}": quoted(f"{p}f_5") * 10 + quoted(f"{p}{c}") for c in J4_INTERACTIONS},
+        {f"{p}f_5+{c}": f"{ident(p + 'f_5')} * 10 + {ident(p + c)}" for c in J4_INTERACTIONS},
     )
     out = with_pairwise(out, J4_INTERACTIONS, p)
     names = [*[f"f_5+{c}" for c in J4_INTERACTIONS], *pairwise_names(J4_INTERACTIONS)]
@@ -278,13 +272,14 @@ def j8(raw: DataFrame) -> FeatureSet:
             fields["both"] = "cid_both"
         out = fitted.apply(out, c, fields)
     folds = with_row_stats(encode.explode_folds(out, KEYS, cats), cats)
-    wide = out.select(
+    wide = out.selectExpr(
         *KEYS,
-        *[quoted(f"~{c}").alias(c) for c in cats],
-        *[scaler.column(c).alias(c) for c in roles.floating],
-        *[quoted(c) for c in [*roles.integer, "cid_both"]],
+        *[f"{ident('~' + c)} AS {c}" for c in cats],
+        *[f"{scaler.expr(c)} AS {c}" for c in roles.floating],
+        *roles.integer,
+        "cid_both",
     )
-    wide = _named(wide, {f"f_5+{c}": F.col("f_5") * 10 + F.col(c) for c in J8_INTERACTIONS})
+    wide = _named(wide, {f"f_5+{c}": f"f_5 * 10 + {c}" for c in J8_INTERACTIONS})
     return FeatureSet(with_pairwise(wide, J8_INTERACTIONS), [], folds)
 
 
@@ -362,7 +357,7 @@ def _combined(raw: DataFrame, parts: dict[str, Part]) -> FeatureSet:
         df, names, w = part(df, p)
         picked += [(f"{p}{n}", f"{path}_{n}") for n in names]
         whole += [f"{path}_{n}" for n in w]
-    wide = df.select(*KEYS, *[quoted(a).alias(b) for a, b in picked])
+    wide = df.selectExpr(*KEYS, *[f"{ident(a)} AS {ident(b)}" for a, b in picked])
     kept = drop_constant(wide)
     return FeatureSet(kept, [c for c in whole if c in kept.columns])
 
