@@ -3,6 +3,7 @@
 from ordstack.catalog import (  # noqa: F401
     encoders,
     feature_sets,
+    models,
     projections,
     relational,
     sources,

@@ -9,52 +9,44 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordstack.constants import IS_TEST, MAX_RATING, MIN_RATING, ROW_ID, SEED, TARGET
-from ordstack.functions.numeric import linear_combine, quoted
-from ordstack.operators.metric import kappa_column
+from ordstack.constants import IS_TEST, ROW_ID, SEED, TARGET
+from ordstack.functions.numeric import ident, linear_combine, number, quoted, to_rating
+from ordstack.operators.metric import kappa_column, kappa_sums
 
 BATCH = 64  # candidates scored per pass over the rows
 
 
-def score(
+def candidate_scores(
     oof: DataFrame, models: Sequence[str], candidates: Sequence[Sequence[float]], y: str = TARGET
-) -> list[float]:
-    """Kappa of every candidate weight vector, BATCH of them per pass.
+) -> DataFrame:
+    """``(id, kappa)`` of every candidate weight vector, in one pass over the rows.
 
     The candidates are a literal array, exploded next to each row and summed up before the shuffle,
     which carries one row per candidate and task.
     """
+    vectors = ", ".join(
+        f"struct({i} AS id, " + ", ".join(f"{number(w)} AS w{j}" for j, w in enumerate(c)) + ")"
+        for i, c in enumerate(candidates)
+    )
+    rows = oof.selectExpr(
+        f"CAST({ident(y)} AS BIGINT) AS _y",
+        *[f"{ident(m)} AS _m{j}" for j, m in enumerate(models)],
+        f"inline(array({vectors}))",
+    )
+    blended = " + ".join(f"_m{j} * w{j}" for j in range(len(models)))
+    rated = rows.select("id", "_y", to_rating(F.expr(blended)).alias("_q"))
+    sums = rated.groupBy("id").agg(*kappa_sums(F.col("_y"), F.col("_q")))
+    return sums.select("id", kappa_column().alias("kappa"))
+
+
+def score(
+    oof: DataFrame, models: Sequence[str], candidates: Sequence[Sequence[float]], y: str = TARGET
+) -> list[float]:
+    """Kappa of every candidate, BATCH of them per pass; the worst value where it is undefined."""
     out: list[float] = []
     for first in range(0, len(candidates), BATCH):
         batch = candidates[first : first + BATCH]
-        literal = F.array(
-            *[
-                F.struct(
-                    F.lit(i).alias("id"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(c)]
-                )
-                for i, c in enumerate(batch)
-            ]
-        )
-        rows = oof.select(
-            quoted(y).cast("bigint").alias("_y"),
-            *[quoted(m).alias(f"_m{j}") for j, m in enumerate(models)],
-            F.explode(literal).alias("_c"),
-        )
-        blend = F.lit(0.0)
-        for j in range(len(models)):
-            blend = blend + F.col(f"_m{j}") * F.col(f"_c.w{j}")
-        low, high = F.lit(float(MIN_RATING)), F.lit(float(MAX_RATING))
-        rating = F.least(F.greatest(F.rint(blend), low), high).cast("bigint")
-        rated = rows.select(F.col("_c.id").alias("id"), "_y", rating.alias("_q"))
-        sums = rated.groupBy("id").agg(
-            F.count("*").alias("n"),
-            F.sum("_y").alias("y"),
-            F.sum("_q").alias("q"),
-            F.sum(F.expr("_y * _y")).alias("yy"),
-            F.sum(F.expr("_q * _q")).alias("qq"),
-            F.sum(F.expr("(_y - _q) * (_y - _q)")).alias("d"),
-        )
-        found = {r["id"]: r["k"] for r in sums.select("id", kappa_column().alias("k")).collect()}
+        found = {r["id"]: r["kappa"] for r in candidate_scores(oof, models, batch, y).collect()}
         out += [-1.0 if found.get(i) is None else found[i] for i in range(len(batch))]
     return out
 
@@ -76,7 +68,7 @@ def fit_blend(
     step: float = 0.25,
     y: str = TARGET,
 ) -> tuple[list[float], float]:
-    """Weights and their kappa, at least that of the best single model.
+    """Weights and their kappa, at least that of the best single model. A missing prediction raises.
 
     All starts are scored together; from the best ``keep`` of them a pattern search tries one step
     up and down in every weight, all tries of a round together, and halves the step where nothing
@@ -86,11 +78,6 @@ def fit_blend(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        missing = slim.agg(
-            *[F.count_if(quoted(m).isNull() | F.isnan(quoted(m))).alias(m) for m in models]
-        ).first()
-        if any(missing):
-            raise ValueError("missing predictions in the blend input")
         first = starts(len(models), restarts)
         ranked = sorted(zip(score(slim, models, first, y), first), key=lambda t: -t[0])
         front = [[k, w, step] for k, w in ranked[:keep]]

@@ -27,7 +27,7 @@ from ordstack.operators.combine import with_fold_features
 from ordstack.operators.ordering import importance
 from ordstack.session import store
 
-PARALLEL = 4  # fits in flight; each is itself a series of Spark jobs
+PARALLEL = 8  # fits in flight; each is itself a series of Spark jobs
 
 
 @dataclass
@@ -263,7 +263,9 @@ def _fold_frames(
     categories: dict[str, int] | None,
 ) -> tuple[list[str], dict[int, DataFrame]]:
     """One assembled frame per fold: common features plus those encoded for that fold."""
-    extra = feature_columns(fold_features)
+    made = feature_columns(fold_features)
+    extra = [f"cv_{c}" for c in made]  # common features may have the same names
+    fold_features = fold_features.select(ROW_ID, FOLD, *[quoted(c).alias(f"cv_{c}") for c in made])
     frames = {}
     for i in range(1, N_FOLD + 1):
         joined = with_fold_features(source, fold_features, i)

@@ -47,6 +47,7 @@ from ordstack.operators.columns import (
     listed_roles,
 )
 from ordstack.operators.combine import combine
+from ordstack.session import store
 
 KEYS = (ROW_ID, IS_TEST, TARGET)
 STATS = ("min_target_encoding", "max_target_encoding", "median_target_encoding")
@@ -363,9 +364,11 @@ def _combined(raw: DataFrame, parts: dict[str, Part]) -> FeatureSet:
 
 
 def j3(raw: DataFrame, k: int = 128) -> FeatureSet:
-    """``j2`` and the embedding side by side, joined by row id."""
+    """``j2`` and the embedding side by side. Both are stored first: the row check, the test for
+    constant columns and the join each read them."""
     left = j2(raw)
-    table = combine({"j2": left.table, "n3": n3(raw, k).table})
+    sets = {"j2": store(left.table, "j2"), "n3": store(n3(raw, k).table, "n3")}
+    table = combine(sets)
     return FeatureSet(table, [f"j2_{c}" for c in left.whole if f"j2_{c}" in table.columns])
 
 
