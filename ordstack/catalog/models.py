@@ -149,9 +149,9 @@ _LINE = """line AS (SELECT ff.i, regr_slope(target, f_8) AS a, regr_intercept(ta
 @query(
     "j9_linear_one_feature",
     over_base(
-        f"""SELECT row_id, 'oof' AS side, {s6('c + a * f_8')} AS prediction
+        """SELECT row_id, 'oof' AS side, round(c + a * f_8, 6) AS prediction
             FROM b JOIN line ON i = fold WHERE NOT is_test
-            UNION ALL SELECT row_id, 'test', {s6('avg(c + a * f_8)')}
+            UNION ALL SELECT row_id, 'test', round(avg(c + a * f_8), 6)
             FROM b CROSS JOIN line WHERE is_test GROUP BY row_id""",
         _LINE,
     ),

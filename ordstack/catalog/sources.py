@@ -92,7 +92,7 @@ def save_load_features(spark, sf):
     return tables.load_features(spark, path)
 
 
-@query("a5_predictions", over_base(f"SELECT row_id, {s6('f_5 / 7')} AS prediction FROM b"))
+@query("a5_predictions", over_base("SELECT row_id, round(f_5 / 7, 6) AS prediction FROM b"))
 def predictions(spark, sf):
     path = scratch_path(spark, "predictions")
     df = fixture.base(spark, sf).select("row_id", (F.col("f_5") / 7).alias("prediction"))

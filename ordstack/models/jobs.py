@@ -65,6 +65,15 @@ def assemble(
     return assembler.transform(slim).select(*keys, "label", "features")
 
 
+def cached(df: DataFrame) -> DataFrame:
+    """Keep assembled features for the many passes of a fit. Input of fewer partitions than there
+    are cores is spread first; larger input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores, ROW_ID)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def _in_threads(f: Callable[[int], Model], items: Sequence[int]) -> list[Model]:
     with ThreadPool(min(PARALLEL, len(items))) as pool:
         return pool.map(f, items)
@@ -218,7 +227,7 @@ def boosted_regression(
     """
     source = df if FOLD in df.columns else assign_folds(df)
     if fold_features is None:
-        data = assemble(source, features, categories).persist(StorageLevel.MEMORY_AND_DISK)
+        data = cached(assemble(source, features, categories))
         per_fold = {i: data for i in range(1, N_FOLD + 1)}
         names = list(features)
     else:
@@ -269,9 +278,7 @@ def _fold_frames(
     frames = {}
     for i in range(1, N_FOLD + 1):
         joined = with_fold_features(source, fold_features, i)
-        frames[i] = assemble(joined, [*features, *extra], categories).persist(
-            StorageLevel.MEMORY_AND_DISK
-        )
+        frames[i] = cached(assemble(joined, [*features, *extra], categories))
     return [*features, *extra], frames
 
 
@@ -303,7 +310,7 @@ def fold_regression(
 ) -> Result:
     """Any regressor over the folds; ``values`` reads its importances or coefficients."""
     source = df if FOLD in df.columns else assign_folds(df)
-    data = assemble(source, features).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cached(assemble(source, features))
     train, test = _sides(data)
     models = _in_threads(
         lambda i: estimator.fit(train.filter(F.col(FOLD) != i)), range(1, N_FOLD + 1)
@@ -349,7 +356,7 @@ def class_regression(
     data = assemble(source, features).withColumn(
         "label", F.col("label").alias("label", metadata=meta)
     )
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data = cached(data)
     train, test = _sides(data)
     forest = RandomForestClassifier(
         labelCol="label", numTrees=trees, maxDepth=depth, seed=seed, maxBins=64
@@ -389,7 +396,7 @@ def binary_probabilities(
     keys = [ROW_ID, IS_TEST, TARGET, FOLD]
     base = assemble(source, features).select(ROW_ID, "features")
     labels = source.select(*keys, *[quoted(t).cast("double").alias(t) for t in targets])
-    data = labels.join(base, ROW_ID).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cached(labels.join(base, ROW_ID))
     train, test = _sides(data)
     tasks = [(t, i) for t in targets for i in range(1, N_FOLD + 1)]
 

@@ -79,7 +79,8 @@ def stack(label: DataFrame, preds: dict[str, DataFrame], value: str = "predictio
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)
-    wide = long.groupBy(ROW_ID).agg(
+    # the long rows are shuffled, not the wide and at that point nearly empty aggregation buffers
+    wide = long.repartition(ROW_ID).groupBy(ROW_ID).agg(
         F.count("*").alias("_rows"),
         *[F.max(quoted(k)).alias(k) for k in keys],
         *[
