@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ordstack.constants import RATING_COUNTS
 from ordstack.functions.numeric import count_reached, quoted
 from ordstack.session import store
 
+BINS = 1 << 16
 SMALL_ROWS = 100_000  # measured tables up to this size are ordered in one task
 
 
@@ -72,15 +74,66 @@ def number_within(
     )
 
 
-def value_histogram(df: DataFrame, c: str) -> DataFrame:
-    """Stored count per distinct value; a value shared by many rows is summed before the shuffle."""
-    value = (quoted(c).cast("double") + F.lit(0.0)).alias("value")
-    return store(df.select(value).groupBy("value").agg(F.count("*").alias("n")), "histogram")
+def value_counts_of(df: DataFrame, *cols: str) -> DataFrame:
+    """Count per distinct value; a value shared by many rows is summed before the shuffle."""
+    return df.groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+class OrderIndex:
+    """Exact order statistics of a column without sorting its rows.
+
+    One pass takes the range and the number of values, a second counts values in BINS equal bins of
+    the range. Only the bins that hold a wanted position are looked at value by value, so what is
+    shuffled by value is a small part of the rows unless the values cluster, and right in any case.
+    Nulls are left out.
+    """
+
+    def __init__(self, df: DataFrame, c: str):
+        # adding 0.0 turns a negative zero into zero
+        self.values = df.select((quoted(c).cast("double") + F.lit(0.0)).alias("value")).filter(
+            "value IS NOT NULL"
+        )
+        row = self.values.agg(F.min("value"), F.max("value"), F.count("value")).first()
+        self.low, self.high, self.n = row[0], row[1], row[2]
+
+    def bin(self) -> Column:
+        """Bin of a value, never decreasing in it."""
+        width = self.high - self.low if self.n else 0.0
+        if not (0.0 < width < math.inf):
+            return F.lit(0)
+        scale = BINS / width
+        return F.floor((F.col("value") - F.lit(self.low)) * F.lit(scale)).cast("int")
+
+    def at(self, positions: Sequence[int]) -> DataFrame:
+        """``(position, value)`` at 0-based positions of the ascending order."""
+        wanted = sorted(set(int(p) for p in positions))
+        binned = self.values.withColumn("bin", self.bin())
+        order = Window.orderBy("bin")  # at most BINS + 1 rows
+        before = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        ranked = value_counts_of(binned, "bin").withColumn("_before", F.coalesce(before, F.lit(0)))
+        literal = F.array(*[F.lit(p).cast("bigint") for p in wanted])
+        end = F.col("_before") + F.col("n")
+        hits = F.filter(literal, lambda p: (p >= F.col("_before")) & (p < end))
+        rows = (
+            ranked.select("bin", "n", "_before", hits.alias("hits"))
+            .filter(F.size("hits") > 0)
+            .orderBy("bin")
+            .collect()  # at most one row per wanted position
+        )
+        skipped, local, kept = 0, {}, 0
+        for r in rows:
+            skipped = r["_before"] - kept
+            local.update({p - skipped: p for p in r["hits"]})
+            kept += r["n"]
+        chosen = binned.filter(F.col("bin").isin([r["bin"] for r in rows]))
+        found = _stats_at(value_counts_of(chosen, "value"), list(local))
+        back = F.create_map(*[F.lit(x).cast("bigint") for kv in local.items() for x in kv])
+        return found.select(back[F.col("position")].alias("position"), "value")
 
 
 def order_stats(df: DataFrame, c: str, indices: Sequence[int]) -> DataFrame:
     """Values at 0-based positions of the ascending order, exact: ``(position, value)``."""
-    return _stats_at(value_histogram(df, c), indices)
+    return OrderIndex(df, c).at(indices)
 
 
 def _stats_at(hist: DataFrame, indices: Sequence[int]) -> DataFrame:
@@ -106,14 +159,13 @@ def share_thresholds(
     df: DataFrame, c: str, counts: Sequence[int] = RATING_COUNTS
 ) -> list[float]:
     """Order statistics of ``c`` at the cumulative class shares: one number per class boundary."""
-    hist = value_histogram(df, c)
-    n = hist.agg(F.sum("n")).first()[0] or 0
-    if n == 0:
+    index = OrderIndex(df, c)
+    if index.n == 0:
         raise ValueError("no rows to take order statistics of")
-    positions = share_positions(counts, n)
-    if max(positions) >= n:
+    positions = share_positions(counts, index.n)
+    if max(positions) >= index.n:
         raise ValueError("the top class has no share, so its threshold is past the last row")
-    found = {r["position"]: r["value"] for r in _stats_at(hist, positions).collect()}
+    found = {r["position"]: r["value"] for r in index.at(positions).collect()}
     return [found[p] for p in positions]
 
 

@@ -43,6 +43,7 @@ from ordstack.operators import encode
 from ordstack.operators.columns import (
     column_roles,
     drop_constant,
+    feature_columns,
     fill_missing,
     listed_roles,
 )
@@ -117,7 +118,7 @@ def _part_j0(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     out = _dated(df, p)
     for c in roles.categorical:
         out = fitted.apply(out, c, {"label": f"{p}{c}"})
-    names = [c for c in view.columns if c not in (*KEYS, FOLD)]
+    names = feature_columns(view)
     made = {*roles.categorical, "year_2017", "month"}
     out = _named(out, {f"{p}{c}": ident(c) for c in names if c not in made})
     return out, names, roles.categorical
@@ -149,7 +150,7 @@ def _part_j1(
             **{f"{p}{c}": ident(c) for c in roles.integer if c not in ("year_2017", "month")},
         },
     )
-    base = [c for c in view.columns if c not in (*KEYS, FOLD)]
+    base = feature_columns(view)
     out = _named(out, {f"{p}f_5+f_21": f"{ident(p + 'f_5')} + {ident(p + 'f_21')}"})
     out = with_pairwise(out, J1_INTERACTIONS, p)
     names = [*base, "f_5+f_21", *pairwise_names(J1_INTERACTIONS)]

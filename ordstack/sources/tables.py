@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from ordstack.constants import DEFAULT_CUTOFFS, IS_TEST, ROW_ID, TARGET
 from ordstack.functions.numeric import quoted
 from ordstack.operators.combine import attach_predictions
+from ordstack.session import store
+
+TEST_IDS = 1 << 61  # first row id of a test file that has none
 
 # Layout of the raw files, 46 columns with the label last.
 RAW_SCHEMA = T.StructType(
@@ -40,11 +43,19 @@ def read_pair(
 ) -> DataFrame:
     """Train and test as one table with ``is_test``, so both sides get the same projections.
 
-    Both files carry an explicit ``row_id``: row order means nothing in a distributed table.
+    Row order means nothing in a distributed table, so rows are told apart by ``row_id``. Files
+    without one get it here, and the numbered table is stored, as the numbers hold for one reading.
     """
     trn = read_raw(spark, train, train_schema, fmt).withColumn(IS_TEST, F.lit(False))
     tst = read_raw(spark, test, test_schema, fmt).withColumn(IS_TEST, F.lit(True))
-    return trn.unionByName(tst, allowMissingColumns=True)
+    if ROW_ID in trn.columns:
+        return trn.unionByName(tst, allowMissingColumns=True)
+    return store(number_rows(trn).unionByName(number_rows(tst, TEST_IDS), True), "raw")
+
+
+def number_rows(df: DataFrame, start: int = 0) -> DataFrame:
+    """Unique ids from ``start``, in reading order within a partition; no shuffle, no count."""
+    return df.select((F.monotonically_increasing_id() + F.lit(start)).alias(ROW_ID), "*")
 
 
 def extract_target(df: DataFrame, position: int | None = None) -> DataFrame:

@@ -49,6 +49,21 @@ def test_order_stats(df, values):
     assert got == want
 
 
+@pytest.mark.parametrize(
+    "data",
+    [[5.0], [2.0] * 9, [0.0, -0.0, 1e300, -1e300], [1.0, float("inf"), 2.0], [1e-9, 2e-9, 1e9, 3.0]],
+)
+def test_order_stats_of_odd_ranges(spark, data):
+    d = spark.createDataFrame([(v,) for v in [*data, None]], "p double")
+    got = {r.position: r.value for r in ordering.order_stats(d, "p", range(len(data))).collect()}
+    assert got == dict(enumerate(sorted(data)))
+
+
+def test_top_class_without_share(df):
+    with pytest.raises(ValueError, match="top class"):
+        ordering.share_thresholds(df, "p", (1, 1, 0))
+
+
 def test_assignment(df, values):
     ranked, total = sorted(values), float(sum(RATING_COUNTS))
     thresholds, reached = [], 0
