@@ -161,7 +161,7 @@ _J4_CATS = ("cid_5", "cid_3", *TEXT)
     ),
 )
 def j4_folds(spark, sf):
-    return rounded(recipes.j4(fixture.staged(spark, sf)).folds)
+    return rounded(recipes.j4_folds(fixture.staged(spark, sf)))
 
 
 # --- j6 -----------------------------------------------------------------------------------------

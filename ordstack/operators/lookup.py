@@ -71,7 +71,11 @@ def hot_values(df: DataFrame, key: str) -> list:
     row = df.select(k.alias("k")).agg(
         F.expr(f"approx_top_k(k, {HOT_SHARE}, 20000)").alias("top"), F.count("*").alias("n")
     ).first()
-    return [t["item"] for t in row["top"] or [] if t["count"] * HOT_SHARE > row["n"]]
+    return [
+        t["item"]
+        for t in row["top"] or []
+        if t["item"] is not None and t["count"] * HOT_SHARE > row["n"]
+    ]
 
 
 def lookup(

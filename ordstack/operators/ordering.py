@@ -199,10 +199,6 @@ def best_round(curve: DataFrame, round_col: str = "round", loss_col: str = "loss
 
 def importance(df: DataFrame, value: str = "gain") -> DataFrame:
     """Share of each feature in the total, largest first; a row per feature."""
-    total = df.agg(F.sum(value).alias("_total"))
-    return (
-        df.crossJoin(F.broadcast(total))  # one row on the right
-        .withColumn(value, F.col(value) / F.nullif(F.col("_total"), F.lit(0.0)))
-        .drop("_total")
-        .orderBy(F.col(value).desc(), "name")
-    )
+    total = df.agg(F.sum(value)).first()[0]
+    share = F.col(value) / F.nullif(F.lit(total), F.lit(0.0))
+    return df.withColumn(value, share).orderBy(F.col(value).desc(), "name")

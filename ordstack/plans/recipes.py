@@ -49,6 +49,7 @@ from ordstack.operators.columns import (
 )
 from ordstack.operators.combine import combine
 from ordstack.session import store
+from ordstack.sources.feature_map import from_names
 
 KEYS = (ROW_ID, IS_TEST, TARGET)
 STATS = ("min_target_encoding", "max_target_encoding", "median_target_encoding")
@@ -62,6 +63,13 @@ class FeatureSet:
     whole: list[str] = field(default_factory=list)
     folds: DataFrame | None = None
 
+    def feature_map(self) -> DataFrame:
+        """Columns of the table, then the numeric fold features."""
+        typed = [(c, "int" if c in self.whole else "q") for c in feature_columns(self.table)]
+        if self.folds is not None:
+            typed += [(c, "q") for c in feature_columns(self.folds)]
+        return from_names(self.table.sparkSession, typed)
+
 
 def _select(df: DataFrame, prefix: str, names: Sequence[str]) -> DataFrame:
     return df.selectExpr(*KEYS, *[f"{ident(prefix + n)} AS {ident(n)}" for n in names])
@@ -209,16 +217,19 @@ def _part_j4(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     return out, names, []
 
 
-def j4(raw: DataFrame) -> FeatureSet:
-    """28 interaction columns of scaled doubles; per fold, mean targets of the raw categories."""
-    df, names, _ = _part_j4(raw, "~j4_")
+def j4_folds(raw: DataFrame) -> DataFrame:
+    """Per fold, mean targets of the raw categories and their row statistics."""
     view = _with_folds(raw).withColumns(
         {"cid_5": ids.cid5(F.col("customer_id")), "cid_3": ids.cid3(F.col("customer_id"))}
     )
     cols = column_roles(view.drop(*DROP_WIDE, "customer_id"), ["cid_5", "cid_3"]).categorical
-    fitted = encode.fit_categories(view, cols, target=TARGET, n_fold=N_FOLD)
-    folds = with_row_stats(encode.target_encode_folds(view, cols, fitted=fitted), cols)
-    return FeatureSet(_select(df, "~j4_", names), [], folds)
+    return with_row_stats(encode.target_encode_folds(view, cols), cols)
+
+
+def j4(raw: DataFrame) -> FeatureSet:
+    """28 interaction columns of scaled doubles; per fold, mean targets of the raw categories."""
+    df, names, _ = _part_j4(raw, "~j4_")
+    return FeatureSet(_select(df, "~j4_", names), [], j4_folds(raw))
 
 
 def _with_composite_keys(df: DataFrame) -> DataFrame:
@@ -301,6 +312,12 @@ class SparseSet:
     def width(self) -> int:
         return len(self.floating) + self.encoder.width
 
+    def feature_map(self) -> DataFrame:
+        """Positions as names: numeric for the doubles, indicators for the one-hot columns."""
+        numeric = len(self.floating)
+        typed = [(str(i), "q" if i < numeric else "i") for i in range(self.width)]
+        return from_names(self.source.sparkSession, typed)
+
     def cells(self) -> DataFrame:
         """``(row_id, idx, value)`` of the non-missing cells."""
         pairs = [
@@ -373,9 +390,11 @@ def j3(raw: DataFrame, k: int = 128) -> FeatureSet:
     return FeatureSet(table, [f"j2_{c}" for c in left.whole if f"j2_{c}" in table.columns])
 
 
-def j5(raw: DataFrame) -> FeatureSet:
-    """``j2`` and ``j4`` side by side."""
-    return _combined(raw, {"j2": _part_j2, "j4": _part_j4})
+def j5(raw: DataFrame, with_folds: bool = False) -> FeatureSet:
+    """``j2`` and ``j4`` side by side, on request with the fold features of ``j4``."""
+    made = _combined(raw, {"j2": _part_j2, "j4": _part_j4})
+    made.folds = j4_folds(raw) if with_folds else None
+    return made
 
 
 def j7(raw: DataFrame) -> FeatureSet:

@@ -70,14 +70,19 @@ def sample_parts(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def save_features(
-    df: DataFrame, path: str, table: str | None = None, buckets: int = 0, by: str | None = None
+    df: DataFrame,
+    path: str,
+    table: str | None = None,
+    buckets: int = 0,
+    by: str | None = None,
+    keep_test_label: bool = False,
 ) -> None:
-    """Feature table as Parquet, label null on test rows.
+    """Feature table as Parquet, label null on test rows unless it is to be kept.
 
     With ``table`` and ``buckets`` it is saved bucketed and sorted by row id, so that sets saved
     alike are combined without a shuffle. ``by`` partitions the files, e.g. by fold.
     """
-    if IS_TEST in df.columns and TARGET in df.columns:
+    if IS_TEST in df.columns and TARGET in df.columns and not keep_test_label:
         df = df.withColumn(TARGET, F.when(~F.col(IS_TEST), F.col(TARGET)))
     writer = df.write.mode("error")
     if by:

@@ -44,6 +44,11 @@ def test_recipes_run_on_the_declared_layout(spark):
     made = recipes.j8(df)
     assert "f_19" not in made.table.columns and "f_5+f_11" in made.table.columns
     assert "id" not in made.table.columns
+    fmap = made.feature_map().orderBy("idx").collect()
+    assert [r.idx for r in fmap] == list(range(len(fmap)))
+    assert fmap[0].name == "customer_id" and fmap[-1].name == "median_target_encoding"
+    types = recipes.n1(df).feature_map().groupBy("type").count().collect()
+    assert {r["type"] for r in types} <= {"q", "i"}
     assert made.table.count() == 60 and made.folds.count() == 300
     for make in (recipes.h1, recipes.j0, recipes.j4, recipes.j6, recipes.j5):
         assert make(df).table.count() == 60
