@@ -198,6 +198,8 @@ def _fit_stopped(
 ) -> tuple[Model, int]:
     """Fit to the full number of rounds, find the best one on the validation curve, and cut."""
     model = make(rounds).fit(train)
+    if rounds == 1:
+        return model, 1
     curve = (
         model.evaluateEachIteration(valid, loss)
         if loss == "squared"
@@ -415,18 +417,15 @@ def binary_probabilities(
     rounds = [r for _, r in fitted]
 
     def scored(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
+        """Probability columns of all targets: only the probability vector of a model is made."""
+        kept = rows.columns
         for j, (t, m) in enumerate(models.items()):
-            mine = m.copy(
-                {
-                    m.predictionCol: f"_p{j}",
-                    m.rawPredictionCol: f"_r{j}",
-                    m.probabilityCol: f"_v{j}",
-                }
-            )
-            rows = mine.transform(rows).withColumn(
-                f"pr_{t}", F.get(vector_to_array(f"_v{j}"), F.lit(1))
-            ).drop(f"_p{j}", f"_r{j}", f"_v{j}")
-        return rows
+            m.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_v{j}")
+            rows = m.transform(rows)
+        one = [
+            F.get(vector_to_array(f"_v{j}"), F.lit(1)).alias(f"pr_{t}") for j, t in enumerate(models)
+        ]
+        return rows.select(*kept, *one)
 
     oof = None
     for i in range(1, N_FOLD + 1):
@@ -440,13 +439,15 @@ def binary_probabilities(
             final[t] = params.classifier(sum(mine) // N_FOLD).setLabelCol(t).fit(train)
         test_p = scored(test, final).select(ROW_ID, *[quoted(f"pr_{t}") for t in targets])
     else:
-        sums = {t: F.lit(0.0) for t in targets}
-        rows = test
+        # a fold's models score the test rows together; the five results are averaged by row
+        parts = None
         for i in range(N_FOLD):
-            rows = scored(rows, {t: ms[i] for t, ms in by_target.items()})
-            rows = rows.withColumnsRenamed({f"pr_{t}": f"_s{i}_{t}" for t in targets})
-            sums = {t: s + quoted(f"_s{i}_{t}") / N_FOLD for t, s in sums.items()}
-        test_p = rows.select(ROW_ID, *[s.alias(f"pr_{t}") for t, s in sums.items()])
+            part = scored(test.select(ROW_ID, "features"), {t: ms[i] for t, ms in by_target.items()})
+            part = part.drop("features")
+            parts = part if parts is None else parts.unionByName(part)
+        test_p = parts.groupBy(ROW_ID).agg(
+            *[F.avg(quoted(f"pr_{t}")).alias(f"pr_{t}") for t in targets]
+        )
     oof = store(oof, "binary-oof")
     test_p = store(test_p, "binary-test")
     data.unpersist()
