@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +21,24 @@ WORD_RE = re.compile(WORD)
 #: Bytes of text one step inside a task works on, so that memory does not follow the batch size.
 CHUNK_BYTES = 4 << 20
 
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}  # kept while executors may still fetch it
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, as ``--py-files`` does, unless they can import it anyway."""
+    root = Path(__file__).resolve().parents[2]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
+        return
+    folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="ordstack-")
+    context.addPyFile(shutil.make_archive(f"{folder.name}/ordstack-package", "zip", root, "ordstack"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
