@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from ordstack.llm.bpe import op9_bpe_round_trip
 from ordstack.llm.language_id import op1_language_id
+from ordstack.llm.records import op3_binary_records
 from ordstack.llm.simhash import op10_simhash_near_dedup
 from ordstack.llm.sharding import op7_jump_hash_shards
 
 QUERIES = {
+    "op3_binary_records": op3_binary_records,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op1_language_id": op1_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
