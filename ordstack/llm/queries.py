@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from ordstack.llm.bpe import op9_bpe_round_trip
 from ordstack.llm.language_id import op1_language_id
+from ordstack.llm.mixing import OP2_SQL, op2_mix_sources
 from ordstack.llm.records import op3_binary_records
 from ordstack.llm.simhash import op10_simhash_near_dedup
 from ordstack.llm.sharding import op7_jump_hash_shards
 
 QUERIES = {
+    "op2_mix_sources": op2_mix_sources,
     "op3_binary_records": op3_binary_records,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op1_language_id": op1_language_id,
@@ -16,4 +18,6 @@ QUERIES = {
     "op7_jump_hash_shards": op7_jump_hash_shards,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_mix_sources": OP2_SQL,
+}
