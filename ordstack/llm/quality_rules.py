@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ordstack.llm.corpus import SPACE, WORD, columns, read, text_of
+from ordstack.llm.corpus import SPACE, WORD, bound, columns, read, text_of
 from ordstack.session import store
 
 #: Rule: its measure, and its cutoffs from the loosest to the strictest. Fixed before any label is seen.
@@ -32,11 +32,6 @@ REPEAT_WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def bound(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often and in whatever lambda it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def repeated_words(words: Column, width: int = REPEAT_WINDOW) -> Column:
     """Words that lie in a window of ``width`` words found twice or more in the same text.
 

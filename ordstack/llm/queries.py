@@ -5,12 +5,14 @@ from __future__ import annotations
 from ordstack.llm.bpe import op9_bpe_round_trip
 from ordstack.llm.language_id import op1_language_id
 from ordstack.llm.mixing import OP2_SQL, op2_mix_sources
+from ordstack.llm.order_minhash import op5_order_minhash
 from ordstack.llm.quality_rules import OP8_SQL, op8_risk_controlled_rules
 from ordstack.llm.records import op3_binary_records
 from ordstack.llm.simhash import op10_simhash_near_dedup
 from ordstack.llm.sharding import op7_jump_hash_shards
 
 QUERIES = {
+    "op5_order_minhash": op5_order_minhash,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op2_mix_sources": op2_mix_sources,
     "op3_binary_records": op3_binary_records,
