@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ordstack.llm.bpe import op9_bpe_round_trip
 from ordstack.llm.language_id import op1_language_id
+from ordstack.llm.license_scan import OP6_SQL, op6_license_scan
 from ordstack.llm.mixing import OP2_SQL, op2_mix_sources
 from ordstack.llm.order_minhash import op5_order_minhash
 from ordstack.llm.quality_rules import OP8_SQL, op8_risk_controlled_rules
@@ -12,6 +13,7 @@ from ordstack.llm.simhash import op10_simhash_near_dedup
 from ordstack.llm.sharding import op7_jump_hash_shards
 
 QUERIES = {
+    "op6_license_scan": op6_license_scan,
     "op5_order_minhash": op5_order_minhash,
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -24,5 +26,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op2_mix_sources": OP2_SQL,
+    "op6_license_scan": OP6_SQL,
     "op8_risk_controlled_rules": OP8_SQL,
 }
