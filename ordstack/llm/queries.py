@@ -9,19 +9,21 @@ from ordstack.llm.mixing import OP2_SQL, op2_mix_sources
 from ordstack.llm.order_minhash import op5_order_minhash
 from ordstack.llm.quality_rules import OP8_SQL, op8_risk_controlled_rules
 from ordstack.llm.records import op3_binary_records
-from ordstack.llm.simhash import op10_simhash_near_dedup
 from ordstack.llm.sharding import op7_jump_hash_shards
+from ordstack.llm.simhash import op10_simhash_near_dedup
+from ordstack.llm.suffix_dedup import op4_suffix_array_dedup
 
 QUERIES = {
-    "op6_license_scan": op6_license_scan,
-    "op5_order_minhash": op5_order_minhash,
-    "op8_risk_controlled_rules": op8_risk_controlled_rules,
+    "op1_language_id": op1_language_id,
     "op2_mix_sources": op2_mix_sources,
     "op3_binary_records": op3_binary_records,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_order_minhash": op5_order_minhash,
+    "op6_license_scan": op6_license_scan,
+    "op7_jump_hash_shards": op7_jump_hash_shards,
+    "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
-    "op1_language_id": op1_language_id,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
-    "op7_jump_hash_shards": op7_jump_hash_shards,
 }
 
 SQL: dict[str, str] = {
