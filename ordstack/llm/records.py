@@ -1,8 +1,8 @@
 """Token ids as length-delimited binary records, with an offset index for shuffled reads.
 
 A record is framed as in the public TFRecord layout: length (8 bytes), masked CRC-32C of the length,
-payload, masked CRC-32C of the payload, all little-endian. The payload is the ids as unsigned 32-bit
-numbers. Beside every data file lies an index of 24 bytes per record (offset, key, whether the key is
+payload, masked CRC-32C of the payload, all little-endian. The payload is the width of an id in bytes
+(a 4-byte number) and the ids, two bytes wide where the vocabulary allows it, else four. Beside every data file lies an index of 24 bytes per record (offset, key, whether the key is
 set), so that a reader can fetch any record without a scan. Files follow the ascending key.
 
 Tasks write under a name of their own and rename at the end; the same rows give the same bytes, so a
@@ -35,6 +35,7 @@ INDEX = np.dtype([("offset", "<u8"), ("key", "<i8"), ("has_key", "<u8")])
 LANE = 128
 READ_BYTES = 8 << 20
 END_ID = 2
+WIDTHS = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
 def _tables() -> np.ndarray:
@@ -116,6 +117,17 @@ def unframed(data: bytes, offsets: list[int]) -> list[bytes]:
     return payloads
 
 
+def packed(ids: bytes, width: int) -> bytes:
+    """Payload of ids given as unsigned 32-bit numbers."""
+    return width.to_bytes(4, "little") + np.frombuffer(ids, dtype="<u4").astype(WIDTHS[width]).tobytes()
+
+
+def unpacked(payload: bytes) -> bytes:
+    """Ids of a payload as unsigned 32-bit numbers."""
+    width = int.from_bytes(payload[:4], "little")
+    return np.frombuffer(payload, dtype=WIDTHS[width], offset=4).astype("<u4").tobytes()
+
+
 def filesystem(uri: str):
     """File system and path of a folder that executors share."""
     from pyarrow import fs
@@ -147,13 +159,16 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
         store_, root = filesystem(folder)
         enc, index, offset, n_ids, out = encoder(tokenizer), [], 0, 0, None
         temp = f"{root}/.part-{part:06d}-{attempt}"
+        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
             for lo, hi in spans(batch.column(1)):
                 piece = batch.slice(lo, hi - lo)
                 if out is None:
                     store_.create_dir(root, recursive=True)
                     out = store_.open_output_stream(temp)
-                payloads = [ids + end for ids in enc.encode(piece.column(1).to_pylist())]
+                texts = [ids + end for ids in enc.encode(piece.column(1).to_pylist())]
+                n_ids += sum(map(len, texts)) // 4
+                payloads = [packed(ids, width) for ids in texts]
                 sizes = np.fromiter(map(len, payloads), dtype=np.int64, count=len(payloads))
                 rows = np.zeros(len(payloads), dtype=INDEX)
                 rows["offset"] = offset + np.concatenate([[0], np.cumsum(sizes + FRAME)[:-1]])
@@ -162,7 +177,6 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) ->
                 index.append(rows.tobytes())
                 out.write(b"".join(frames(payloads)))
                 offset += int((sizes + FRAME).sum())
-                n_ids += int(sizes.sum()) // 4
         if out is None:
             return
         out.close()
@@ -202,7 +216,7 @@ def records(spark: SparkSession, written: Written) -> DataFrame:
                         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + READ_BYTES, side="right")) - 1)
                         f.seek(int(edges[lo]))
                         data = f.read(int(edges[hi] - edges[lo]))
-                        found = unframed(data, (edges[lo:hi] - edges[lo]).tolist())
+                        found = [unpacked(x) for x in unframed(data, (edges[lo:hi] - edges[lo]).tolist())]
                         n = np.array([len(x) // 4 for x in found], dtype=np.int64)
                         begin = start + np.concatenate([[0], np.cumsum(n)[:-1]])
                         rows = index[lo:hi]
@@ -234,7 +248,7 @@ def fetch(folder: str, part: int, positions: list[int]) -> list[np.ndarray]:
             f.seek(int(index["offset"][p]))
             size = int.from_bytes(f.read(8), "little")
             f.seek(int(index["offset"][p]))
-            out.append(np.frombuffer(unframed(f.read(size + FRAME), [0])[0], dtype="<u4"))
+            out.append(np.frombuffer(unpacked(unframed(f.read(size + FRAME), [0])[0]), dtype="<u4"))
     return out
 
 
