@@ -1,7 +1,9 @@
 """BPE encoding and decoding with a given tokenizer file, equal to the library's on whole texts.
 
 Texts are cut where the tokenizer cuts anyway (ASCII white space, if it drops that), and every distinct
-word is encoded once per worker while it stays in a bounded cache. Long text without such a cut is
+word is encoded once per worker while it stays in a bounded cache. Where the tokenizer folds case and
+splits by a pattern, words are split by that same pattern first, since fewer parts than words are
+distinct. Long text without such a cut is
 encoded as a tree: pieces are encoded apart, on Spark in parallel, and neighbours are put together by
 encoding a window around their join again, which grows until it agrees with both sides.
 """
@@ -9,7 +11,9 @@ encoding a window around their join again, which grows until it agrees with both
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,10 @@ CACHED = 250_000
 #: Words encoded in one call.
 CALL = 2_000
 
+#: Characters for which lower-casing and composition are the same everywhere: printable ASCII and
+#: precomposed Latin letters, without the one whose lower case is two characters.
+_FOLDABLE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+
 Token = tuple[int, int, int]  # id, start, end
 _encoders: dict[str, "Encoder"] = {}
 
@@ -55,8 +63,12 @@ class Encoder:
         self.mark = plain[0] if plain else None
         self.specials = [t.content for t in added.values()]
         self.cuts = self._cuts_at_space()
+        self.pattern = self._pattern()
+        #: Ids by word and by part of a word, in two generations each.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
 
     def _cuts_at_space(self) -> bool:
         """Whether words come out the same alone and in a text, white space leaving nothing."""
@@ -77,6 +89,23 @@ class Encoder:
         raw = text.encode("utf-8")
         return raw.split() if self.cuts else [raw]
 
+    def _pattern(self):
+        """The pattern that parts words, if the tokenizer composes, folds white space and case, keeps
+        the pattern's matches and encodes each by itself; else none."""
+        import regex
+
+        made = json.loads(self.tokenizer.to_str())
+        steps = (made["normalizer"] or {}).get("normalizers") or []
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers") or []
+        folds = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and (
+            steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " "
+        )
+        parts = [x["type"] for x in split] == ["Split", "ByteLevel"] and (
+            split[0]["behavior"] == "Removed" and split[0]["invert"]
+            and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
+        )
+        return regex.compile(split[0]["pattern"]["Regex"]) if folds and parts else None
+
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that no generation holds."""
         young, old, new = self.young, self.old, []
@@ -86,23 +115,37 @@ class Encoder:
                     young[w] = old[w]
                 else:
                     new.append(w)
-        rest = []
+        parted, plain = [], []
         for w in new:
             text = w.decode("utf-8")
-            if self.mark and len(text) <= PIECE and not any(s in text for s in self.specials):
-                rest.append((w, text))
-            else:
+            if not self.mark or len(text) > PIECE or any(s in text for s in self.specials):
                 ids = self._ids(text) if len(text) <= LONG else [t[0] for t in tree(self, text)]
                 young[w] = np.array(ids, dtype="<u4").tobytes()
-        for lo in range(0, len(rest), CALL):
-            part = rest[lo : lo + CALL]
-            text = self.mark[1].join([t for _, t in part])
-            made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-            ids = np.array(made.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids))
-            starts = np.append(0, ends[:-1] + 1)
-            for (w, _), s, e in zip(part, starts.tolist(), ends.tolist()):
-                young[w] = ids[s:e].tobytes()
+            elif self.pattern and _FOLDABLE.fullmatch(text):
+                parted.append((w, self.pattern.findall(text.lower())))
+            else:
+                plain.append((w, text))
+        parts, old_parts = self.parts, self.old_parts
+        wanted = {x for _, xs in parted for x in xs if x not in parts}
+        for x in wanted & old_parts.keys():
+            parts[x] = old_parts[x]
+        fresh = list(wanted - old_parts.keys())
+        parts.update(zip(fresh, self._apart(fresh)))
+        for w, xs in parted:
+            young[w] = b"".join([parts[x] for x in xs])
+        young.update(zip([w for w, _ in plain], self._apart([t for _, t in plain])))
+        if len(parts) > CACHED:
+            self.old_parts, self.parts = parts, {}
+
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        """Ids of each of many short texts, many in one call with a special token between them."""
+        out: list[bytes] = []
+        for lo in range(0, len(texts), CALL):
+            call = self.mark[1].join(texts[lo : lo + CALL])
+            ids = np.array(self.tokenizer.encode_batch_fast([call], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)).tolist()
+            out += [ids[s:e].tobytes() for s, e in zip([0, *[e + 1 for e in ends[:-1]]], ends)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; none for null and empty ones."""
