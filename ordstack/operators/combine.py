@@ -7,16 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ordstack.constants import FOLD, IS_TEST, ROW_ID, TARGET
+from ordstack.constants import FOLD, IS_TEST, N_FOLD, ROW_ID, TARGET
 from ordstack.functions.numeric import argmax_class, quoted, row_mean
 from ordstack.operators.columns import drop_constant, feature_columns
 
 
 def check_same_rows(sets: dict[str, DataFrame]) -> None:
-    """Row counts must agree; the joins below reject any row that finds no partner."""
-    counts = {name: df.count() for name, df in sets.items()}
-    if len(set(counts.values())) > 1:
-        raise ValueError(f"feature sets differ in rows: {counts}")
+    """All sets must hold the same row ids, each equally often: one narrow aggregate per set compares
+    their number and two sums over hashes of the ids."""
+    hashed = F.xxhash64(ROW_ID)
+    seen = {
+        name: tuple(df.agg(F.count(ROW_ID), F.bit_xor(hashed), F.sum(hashed.cast("decimal(20,0)"))).first())
+        for name, df in sets.items()
+    }
+    if len(set(seen.values())) > 1:
+        raise ValueError(f"feature sets differ in rows: { {k: v[0] for k, v in seen.items()} }")
 
 
 def checked_row_id(bad: Column) -> Column:
@@ -62,7 +67,8 @@ def stack(label: DataFrame, preds: dict[str, DataFrame], value: str = "predictio
     """Label first, then one column per base model.
 
     The prediction vectors are unioned and turned by one aggregate on the row id: a single shuffle
-    whatever the number of models. A model without a prediction for a row raises.
+    whatever the number of models. A row must have exactly one label row and one prediction of every
+    model; a missing, null or repeated one raises.
     """
     keys = [c for c in label.columns if c != ROW_ID]
     names = list(preds)
@@ -81,7 +87,11 @@ def stack(label: DataFrame, preds: dict[str, DataFrame], value: str = "predictio
         long = long.unionByName(p)
     # the long rows are shuffled, not the wide and at that point nearly empty aggregation buffers
     wide = long.repartition(ROW_ID).groupBy(ROW_ID).agg(
-        F.count("*").alias("_rows"),
+        (
+            (F.count("*") != len(names) + 1)
+            | F.greatest(F.lit(False), *[F.count_if((F.col("_m") == m) & F.col("_p").isNotNull()) != 1
+                                         for m in range(len(names))])
+        ).alias("_bad"),
         *[F.max(quoted(k)).alias(k) for k in keys],
         *[
             F.max(F.when(F.col("_m") == m, F.col("_p"))).alias(f"pred_{name}")
@@ -89,7 +99,7 @@ def stack(label: DataFrame, preds: dict[str, DataFrame], value: str = "predictio
         ],
     )
     return wide.select(
-        checked_row_id(F.col("_rows") != len(names) + 1),
+        checked_row_id(F.col("_bad")),
         *[quoted(k) for k in keys],
         *[quoted(f"pred_{n}") for n in names],
     )
@@ -115,9 +125,11 @@ def attach_predictions(ids: DataFrame, preds: DataFrame, value: str = "predictio
     )
 
 
-def fold_average(df: DataFrame, value: str = "prediction") -> DataFrame:
-    """Mean over the fold models per row, from stored ``(fold, row_id, prediction)``."""
-    return df.groupBy(ROW_ID).agg(F.avg(value).alias(value))
+def fold_average(df: DataFrame, value: str = "prediction", folds: int = N_FOLD) -> DataFrame:
+    """Mean over the fold models per row, from stored ``(fold, row_id, prediction)``. A row that lacks
+    the prediction of a fold, or has more, raises."""
+    means = df.groupBy(ROW_ID).agg(F.avg(value).alias(value), F.count(value).alias("_n"))
+    return means.select(checked_row_id(F.col("_n") != folds), value)
 
 
 def fold_average_classes(df: DataFrame, cols: Sequence[str]) -> DataFrame:

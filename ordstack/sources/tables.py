@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ordstack.constants import DEFAULT_CUTOFFS, IS_TEST, ROW_ID, TARGET
 from ordstack.functions.numeric import quoted
 from ordstack.operators.combine import attach_predictions
+from ordstack.operators.ordering import with_sum_before
 from ordstack.session import store
 
 TEST_IDS = 1 << 61  # first row id of a test file that has none
@@ -28,34 +29,57 @@ RAW_SCHEMA = T.StructType(
 
 
 def read_raw(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """One raw file or folder with a declared schema: no inference pass over the data."""
+    """One raw file or folder with a declared schema: no inference pass over the data. Text that does
+    not parse as its declared type raises when the column is read."""
     reader = spark.read.schema(schema)
-    return reader.csv(path, header=True, enforceSchema=False) if fmt == "csv" else reader.parquet(path)
+    if fmt != "csv":
+        return reader.parquet(path)
+    return reader.csv(path, header=True, enforceSchema=False, mode="FAILFAST")
+
+
+def infer_schema(spark: SparkSession, path: str) -> T.StructType:
+    """Types of a CSV file whose layout is not declared, from all of its rows."""
+    return spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0).schema
 
 
 def read_pair(
     spark: SparkSession,
     train: str,
     test: str,
-    train_schema: T.StructType,
-    test_schema: T.StructType,
+    train_schema: T.StructType | None = None,
+    test_schema: T.StructType | None = None,
     fmt: str = "csv",
 ) -> DataFrame:
     """Train and test as one table with ``is_test``, so both sides get the same projections.
 
     Row order means nothing in a distributed table, so rows are told apart by ``row_id``. Files
-    without one get it here, and the numbered table is stored, as the numbers hold for one reading.
+    without one get it here, by their place in the files. A schema that is not given is inferred from
+    the whole train file, and the test file gets the same types.
     """
+    if fmt == "csv" and train_schema is None:
+        train_schema = infer_schema(spark, train)
+    if fmt == "csv" and test_schema is None:
+        kinds = {f.name: f for f in train_schema.fields}
+        test_schema = T.StructType([kinds.get(f.name, f) for f in infer_schema(spark, test).fields])
     trn = read_raw(spark, train, train_schema, fmt).withColumn(IS_TEST, F.lit(False))
     tst = read_raw(spark, test, test_schema, fmt).withColumn(IS_TEST, F.lit(True))
     if ROW_ID in trn.columns:
         return trn.unionByName(tst, allowMissingColumns=True)
-    return store(number_rows(trn).unionByName(number_rows(tst, TEST_IDS), True), "raw")
+    return number_rows(trn).unionByName(number_rows(tst, TEST_IDS), True)
 
 
 def number_rows(df: DataFrame, start: int = 0) -> DataFrame:
-    """Unique ids from ``start``, in reading order within a partition; no shuffle, no count."""
-    return df.select((F.monotonically_increasing_id() + F.lit(start)).alias(ROW_ID), "*")
+    """Ids from ``start`` on, gapless, by file name and place in the file. However the reader splits
+    the files, parts of a file start in order and are read in order, so a row keeps its number."""
+    place = df.select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_part"),
+        F.monotonically_increasing_id().alias("_line"),
+        *[quoted(c) for c in df.columns],
+    )
+    ranked = with_sum_before(place, ["_file", "_part", "_line"], out="_at")
+    numbered = (F.col("_at") + F.lit(start)).cast("bigint").alias(ROW_ID)
+    return ranked.select(numbered, *[quoted(c) for c in df.columns])
 
 
 def extract_target(df: DataFrame, position: int | None = None) -> DataFrame:
