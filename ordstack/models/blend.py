@@ -63,16 +63,17 @@ def fit_blend(
     oof: DataFrame,
     models: Sequence[str],
     restarts: int = 20,
-    rounds: int = 6,
     keep: int = 2,
     step: float = 0.25,
+    tolerance: float = 1e-2,
     y: str = TARGET,
 ) -> tuple[list[float], float]:
     """Weights and their kappa, at least that of the best single model. A missing prediction raises.
 
     All starts are scored together; from the best ``keep`` of them a pattern search tries one step
     up and down in every weight, all tries of a round together, and halves the step where nothing
-    improves.
+    improves, until every step is below ``tolerance``. Kappa only rises and takes finitely many values
+    on the grid of a step, so that ends.
     """
     slim = oof.select(quoted(y), *[quoted(m) for m in models]).persist(
         StorageLevel.MEMORY_AND_DISK
@@ -81,11 +82,11 @@ def fit_blend(
         first = starts(len(models), restarts)
         ranked = sorted(zip(score(slim, models, first, y), first), key=lambda t: -t[0])
         front = [[k, w, step] for k, w in ranked[:keep]]
-        for _ in range(rounds):
-            tries = [_neighbours(w, s) for _, w, s in front]
+        while open_ := [p for p in front if p[2] >= tolerance]:
+            tries = [_neighbours(w, s) for _, w, s in open_]
             scores = score(slim, models, [t for ts in tries for t in ts], y)
             at = 0
-            for point, ts in zip(front, tries):
+            for point, ts in zip(open_, tries):
                 mine = scores[at : at + len(ts)]
                 at += len(ts)
                 top = max(range(len(ts)), key=mine.__getitem__)
@@ -110,10 +111,10 @@ def blend(df: DataFrame, models: Sequence[str], weights: Sequence[float]) -> Dat
 
 
 def train_predict_blend(
-    stacked: DataFrame, models: Sequence[str], restarts: int = 20, rounds: int = 6
+    stacked: DataFrame, models: Sequence[str], restarts: int = 20, tolerance: float = 1e-2
 ) -> tuple[DataFrame, DataFrame, list[float]]:
     """Blend fitted on all train rows; predictions of both sides and the weights."""
     train = stacked.filter(~F.col(IS_TEST))
-    weights, _ = fit_blend(train, models, restarts, rounds)
+    weights, _ = fit_blend(train, models, restarts, tolerance=tolerance)
     done = blend(stacked, models, weights)
     return done.filter(~F.col(IS_TEST)), done.filter(IS_TEST), weights

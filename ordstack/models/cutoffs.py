@@ -59,7 +59,6 @@ def fit_cutoffs(
     y: str = "target",
     p: str = "prediction",
     start: Sequence[float] = DEFAULT_CUTOFFS,
-    max_sweeps: int = 30,
 ) -> tuple[tuple[float, ...], float]:
     """Increasing cutoffs on a grid of hundredths and their kappa, never below that of ``start``.
 
@@ -84,7 +83,7 @@ def fit_cutoffs(
 
     held = [parts(k, cuts[k]) for k in range(len(cuts))]
     best = float(kappa(*[sum(h[i] for h in held) for i in range(3)]))
-    for _ in range(max_sweeps):
+    while True:  # kappa only rises, and takes finitely many values on the grid
         before = best
         for k in range(len(cuts)):
             lo = cuts[k - 1] if k else first

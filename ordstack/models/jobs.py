@@ -28,6 +28,8 @@ from ordstack.operators.ordering import importance
 from ordstack.session import store
 
 PARALLEL = 8  # fits in flight; each is itself a series of Spark jobs
+MAX_DEPTH = 30  # of the tree learner
+PARTITIONS = 16  # of the cached input of a fit
 
 
 @dataclass
@@ -45,9 +47,11 @@ def assemble(
     features: Sequence[str],
     categories: dict[str, int] | None = None,
     missing: float = -1.0,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """``(row_id, is_test, target, fold, label, features)``, missing values filled. ``categories``
-    declares columns of labels 0..k-1 as categorical, which trees then split as sets, not ranges."""
+    declares columns of labels 0..k-1 as categorical, which trees then split as sets, not ranges.
+    Columns of ``keep`` (further labels) go along as doubles."""
     cols = []
     for i, f in enumerate(features):
         c = F.coalesce(quoted(f).cast("double"), F.lit(missing))
@@ -58,20 +62,19 @@ def assemble(
             cols.append(c.alias(f"x{i}"))
     keys = [c for c in (ROW_ID, IS_TEST, TARGET, FOLD) if c in df.columns]
     label = quoted(TARGET).cast("double").alias("label")
-    slim = df.select(*keys, label, *cols)
+    slim = df.select(*keys, label, *[quoted(c).cast("double").alias(c) for c in keep], *cols)
     assembler = VectorAssembler(
         inputCols=[f"x{i}" for i in range(len(features))], outputCol="features"
     )
-    return assembler.transform(slim).select(*keys, "label", "features")
+    return assembler.transform(slim).select(*keys, "label", *[quoted(c) for c in keep], "features")
 
 
-def cached(df: DataFrame) -> DataFrame:
-    """Keep assembled features for the many passes of a fit. Input of fewer partitions than there
-    are cores is spread first; larger input stays where it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores, ROW_ID)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+def cached(df: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """Keep assembled features for the many passes of a fit. Row sampling is seeded per partition, so
+    rows are dealt by a hash of their id and ordered by it: the same rows give the same model on any
+    cluster. ``partitions`` follows the size of the data and is part of the job's parameters."""
+    dealt = df.repartition(partitions, ROW_ID).sortWithinPartitions(ROW_ID)
+    return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _in_threads(f: Callable[[int], Model], items: Sequence[int]) -> list[Model]:
@@ -329,9 +332,10 @@ def randomised_trees(
     df: DataFrame, features: Sequence[str], trees: int = 20, depth: int = 10, seed: int = SEED
 ) -> Result:
     """Forest over all rows (no bootstrap) whose trees differ by their feature subsets."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees grow to depth {MAX_DEPTH} at most, not {depth}")
     forest = RandomForestRegressor(
-        labelCol="label", numTrees=trees, maxDepth=min(depth, 30), bootstrap=False, seed=seed,
-        maxBins=64,
+        labelCol="label", numTrees=trees, maxDepth=depth, bootstrap=False, seed=seed, maxBins=64
     )
     return fold_regression(df, features, forest, label="trees")
 
@@ -395,10 +399,7 @@ def binary_probabilities(
     test rows, one column ``pr_<target>`` each. Targets that share a fold share its rows in the
     cache; the fits run several at a time."""
     source = df if FOLD in df.columns else assign_folds(df)
-    keys = [ROW_ID, IS_TEST, TARGET, FOLD]
-    base = assemble(source, features).select(ROW_ID, "features")
-    labels = source.select(*keys, *[quoted(t).cast("double").alias(t) for t in targets])
-    data = cached(labels.join(base, ROW_ID))
+    data = cached(assemble(source, features, keep=targets))
     train, test = _sides(data)
     tasks = [(t, i) for t in targets for i in range(1, N_FOLD + 1)]
 

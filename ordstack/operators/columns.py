@@ -12,8 +12,6 @@ from pyspark.sql import types as T
 from ordstack.constants import FOLD, H1_CATEGORICAL, H1_NUMERIC, IS_TEST, ROW_ID, TARGET
 from ordstack.functions.numeric import ident, quoted
 
-HEAD_ROWS = 200
-
 KEYS = (ROW_ID, IS_TEST, FOLD, TARGET, "id")
 
 
@@ -106,28 +104,19 @@ def min_max(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def varying_columns(df: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns that are not one single value throughout; a column with a null counts as varying.
-
-    Two different values in the first rows settle a column. Only those that look constant there are
-    read in full, so a pass over the data touches few columns or does not happen.
-    """
+    One aggregate settles all columns."""
     if not cols:
         return []
-    head = df.selectExpr(*[ident(c) for c in cols]).take(HEAD_ROWS)
-    seen = [{r[i] for r in head} for i in range(len(cols))]
-    open_cols = [c for c, s in zip(cols, seen) if len(s) < 2 and None not in s]
-    varies = set(cols) - set(open_cols)
-    if open_cols:
-        row = df.agg(
-            *[
-                F.expr(
-                    f"count({ident(c)}) < count(*) OR "
-                    f"coalesce(min({ident(c)}) <> max({ident(c)}), true) AS {ident(c)}"
-                )
-                for c in open_cols
-            ]
-        ).first()
-        varies |= {c for c in open_cols if row[c]}
-    return [c for c in cols if c in varies]
+    row = df.agg(
+        *[
+            F.expr(
+                f"count({ident(c)}) < count(*) OR "
+                f"coalesce(min({ident(c)}) <> max({ident(c)}), true) AS {ident(c)}"
+            )
+            for c in cols
+        ]
+    ).first()
+    return [c for c in cols if row[c]]
 
 
 def drop_constant(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

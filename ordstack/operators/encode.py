@@ -53,11 +53,13 @@ def category_stats(
         f"min({ROW_ID}) AS first_any",
     ]
     if target:
+        # means are over the rows that have a label
         aggs.append(f"coalesce(sum(CASE WHEN NOT {IS_TEST} THEN _y END), 0) AS s")
+        aggs.append(f"count_if(NOT {IS_TEST} AND _y IS NOT NULL) AS m")
         for i in range(1, n_fold + 1):
             mine = f"NOT {IS_TEST} AND {FOLD} = {i}"
             aggs.append(f"coalesce(sum(CASE WHEN {mine} THEN _y END), 0) AS s_{i}")
-            aggs.append(f"count_if({mine}) AS n_{i}")
+            aggs.append(f"count_if({mine} AND _y IS NOT NULL) AS n_{i}")
     grouped = slim.groupingSets([[k] for k in keys], *keys).agg(
         F.grouping_id().alias("_gid"), *[F.expr(a) for a in aggs]
     )
@@ -123,10 +125,7 @@ def fit_categories(
         for i, f in enumerate(facts):
             if f and f["frequent"] and not f["rare"]:
                 demoted[i] = f["frequent"]
-        numbered = number_within(
-            stats.filter(frequent), "_set", "first_row", "label",
-            sum(f["frequent"] for f in facts if f),
-        )
+        numbered = number_within(stats.filter(frequent), "_set", "first_row", "label")
         last = [f"(_set = {i} AND label = {k})" for i, k in enumerate(demoted) if k is not None]
         label = f"CASE WHEN {' OR '.join(last)} THEN 0 ELSE label END" if last else "label"
         labelled = numbered.withColumn("label", F.expr(f"CAST({label} AS INT)"))
@@ -141,8 +140,8 @@ def fit_categories(
     if overlap:
         fields.append("CAST(n_train > 0 AND n_test > 0 AS INT) AS both")
     if target:
-        means = [_mean("s", "n_train")] + [
-            _mean(f"(s - s_{i})", f"n_train - n_{i}") for i in range(1, n_fold + 1)
+        means = [_mean("s", "m")] + [
+            _mean(f"(s - s_{i})", f"m - n_{i}") for i in range(1, n_fold + 1)
         ]
         if min_obs is not None:
             pools = [_pooled_means(f, d is not None, n_fold) for f, d in zip(facts, demoted)]
@@ -171,7 +170,7 @@ def fit_categories(
 
 
 def _sums(n_fold: int) -> list[str]:
-    return ["s", "n_train"] + [f"{x}_{i}" for i in range(1, n_fold + 1) for x in ("s", "n")]
+    return ["s", "m"] + [f"{x}_{i}" for i in range(1, n_fold + 1) for x in ("s", "n")]
 
 
 def _column_facts(
@@ -214,7 +213,7 @@ def _pooled_means(facts: Row | None, demoted: bool, n_fold: int) -> list[float |
     def mean(total: int, n: int) -> float | None:
         return total / n if n else None
 
-    s, n = pool["s"] or 0, pool["n_train"] or 0
+    s, n = pool["s"] or 0, pool["m"] or 0
     return [mean(s, n)] + [
         mean(s - (pool[f"s_{i}"] or 0), n - (pool[f"n_{i}"] or 0)) for i in range(1, n_fold + 1)
     ]

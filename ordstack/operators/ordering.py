@@ -13,7 +13,6 @@ from ordstack.functions.numeric import count_reached, quoted
 from ordstack.session import store
 
 BINS = 1 << 16
-SMALL_ROWS = 100_000  # measured tables up to this size are ordered in one task
 
 
 def with_sum_before(
@@ -51,13 +50,8 @@ def with_sum_before(
     )
 
 
-def number_within(
-    df: DataFrame, group: str, order: str, out: str, measured_rows: int
-) -> DataFrame:
+def number_within(df: DataFrame, group: str, order: str, out: str) -> DataFrame:
     """Number rows 1, 2, … within each of the few groups, by a unique order column."""
-    if measured_rows <= SMALL_ROWS:
-        w = Window.partitionBy(group).orderBy(order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
     ranked = with_sum_before(df, [group, order])
     sizes = df.groupBy(group).agg(F.count("*").alias("_n"))
     starts = sizes.select(

@@ -50,7 +50,6 @@ def expected_labels(values, min_obs):
 def path(request, monkeypatch):
     if request.param == "shuffled":
         monkeypatch.setattr(lookup, "BROADCAST_BYTES", -1)
-        monkeypatch.setattr(ordering, "SMALL_ROWS", 0)
     return request.param
 
 

@@ -61,7 +61,7 @@ def test_blend_beats_every_single_model(spark, pairs):
     data = [(i, False, y, p, y + rng.gauss(0, 3)) for i, (y, p) in enumerate(pairs)]
     d = spark.createDataFrame(data, "row_id bigint, is_test boolean, target int, a double, b double")
     singles = [metric.qwk(d, "target", m).first().kappa for m in ("a", "b")]
-    weights, kappa = blend.fit_blend(d, ["a", "b"], restarts=4, rounds=3)
+    weights, kappa = blend.fit_blend(d, ["a", "b"], restarts=4)
     assert kappa >= max(singles)
     scored = blend.blend(d, ["a", "b"], weights)
     assert metric.qwk(scored, "target", "prediction").first().kappa == pytest.approx(kappa)
