@@ -149,11 +149,6 @@ def split(spark, sf):
     )
 
 
-@query("h8_embed")
-def embed(spark, sf):
-    return recipes.n2(fixture.staged(spark, sf), k=16).table
-
-
 # --- end to end ---------------------------------------------------------------------------------
 
 

@@ -24,9 +24,9 @@ SOURCE = f"""s AS (SELECT *, CAST(year({DAY}) - 2016 AS INT) AS year_2017,
   {composite_sql('customer_id // 10000 % 1000')} AS cid_3_month_market FROM b)"""
 
 
-def labels_cte(cols, name="l") -> list[str]:
+def labels_cte(cols, name="l", min_obs=10) -> list[str]:
     """Labels ``<column>`` of all rows as a table, after their mappings."""
-    ctes = [t for c in cols for t in label_ctes(c, c, "s", 10)]
+    ctes = [t for c in cols for t in label_ctes(c, c, "s", min_obs)]
     picks = ", ".join(f"CAST(coalesce(m_{c}.lab, 0) AS INT) AS {c}" for c in cols)
     joins = " ".join(f"LEFT JOIN m_{c} ON m_{c}.v = {tag('s.' + c)}" for c in cols)
     keys = "s.row_id, s.is_test, s.target, s.fold"
@@ -109,11 +109,6 @@ def j2(spark, sf):
     return rounded(recipes.j2(fixture.staged(spark, sf)).table)
 
 
-@query("i5_j3")
-def j3(spark, sf):
-    return recipes.j3(fixture.staged(spark, sf), k=32).table
-
-
 # --- j4 -----------------------------------------------------------------------------------------
 
 
@@ -167,7 +162,8 @@ def j4_folds(spark, sf):
 # --- j6 -----------------------------------------------------------------------------------------
 
 _COMP = ("cid_5_month_market", "cid_3_month_market")
-_J6_CTES = [*labels_cte(_COMP, "lc"), *[mean_ctes(c, c, "lc") for c in _COMP]]
+FEW = 3  # rows of a value that is no longer rare: composite keys have few in this data
+_J6_CTES = [*labels_cte(_COMP, "lc", FEW), *[mean_ctes(c, c, "lc") for c in _COMP]]
 _BOTH = """CAST(CASE WHEN s.is_test THEN s.customer_id IN
     (SELECT customer_id FROM b WHERE NOT is_test)
     ELSE s.customer_id IN (SELECT customer_id FROM b WHERE is_test) END AS INT)"""
@@ -186,7 +182,7 @@ _J6_JOINS = "JOIN lc ON lc.row_id = s.row_id " + " ".join(
     over_base(f"SELECT {KEY_SQL}, {', '.join(_J6_PICKS)} FROM s {_J6_JOINS}", SOURCE, *_J6_CTES),
 )
 def j6(spark, sf):
-    return rounded(recipes.j6(fixture.staged(spark, sf)).table)
+    return rounded(recipes.j6(fixture.staged(spark, sf), FEW).table)
 
 
 # --- j5, j7 -------------------------------------------------------------------------------------
@@ -211,15 +207,16 @@ def j5(spark, sf):
 @query(
     "i9_j7",
     over_base(
-        f"""SELECT {KEY_SQL}, {', '.join(renamed(_varying(_J2_PICKS), 'j5_j2_'))},
-            {', '.join(renamed(_J4_PICKS, 'j5_j4_'))}, {', '.join(renamed(_J6_PICKS[:1], 'j6_'))}
-            {_JOINED}""",
+        f"""SELECT {KEY_SQL}, {', '.join(renamed(_J2_PICKS, 'j5_j2_'))},
+            {', '.join(renamed(_J4_PICKS, 'j5_j4_'))}, {', '.join(renamed(_J6_PICKS, 'j6_'))}
+            {_JOINED} {_J6_JOINS}""",
         *_J1_CTES,
+        *_J6_CTES,
     ),
 )
 def j7(spark, sf):
-    # no composite key has 10 rows in this data, so their constant labels and means are dropped
-    return rounded(recipes.j7(fixture.staged(spark, sf)).table)
+    # which columns are constant hangs on the data; dropping them has its own query
+    return rounded(recipes.j7(fixture.staged(spark, sf), FEW, drop_constants=False).table)
 
 
 # --- j8 -----------------------------------------------------------------------------------------
@@ -234,12 +231,12 @@ def j7(spark, sf):
             {', '.join(_fives(J8_INTERACTIONS))},
             {', '.join(pairwise_sql(J8_INTERACTIONS, lambda c: f'z.{c}'))} {_JOINED}""",
         SOURCE,
-        *labels_cte(NINE),
+        *labels_cte(NINE, min_obs=FEW),
         *scaled_cte(),
     ),
 )
 def j8(spark, sf):
-    return rounded(recipes.j8(fixture.staged(spark, sf)).table)
+    return rounded(recipes.j8(fixture.staged(spark, sf), FEW).table)
 
 
 @query(
@@ -247,12 +244,12 @@ def j8(spark, sf):
     over_base(
         encoded_sql(NINE, "l"),
         SOURCE,
-        *labels_cte(NINE),
+        *labels_cte(NINE, min_obs=FEW),
         *[t for c in NINE for t in fold_mean_ctes(c, c, "l")],
     ),
 )
 def j8_folds(spark, sf):
-    return rounded(recipes.j8(fixture.staged(spark, sf)).folds)
+    return rounded(recipes.j8(fixture.staged(spark, sf), FEW).folds)
 
 
 # --- n1 … n4 ------------------------------------------------------------------------------------
@@ -261,40 +258,84 @@ _N1_HOT = ("f_0", "f_10", "f_11", "year_2017", "month", "customer_id", *TEXT)
 _n1_cells, _n1_ctes = one_hot_sql(_N1_HOT, "r", len(FLOATS))
 
 
-@query(
-    "i11_n1",
-    over_base(
-        " UNION ALL ".join(
-            f"""SELECT row_id, CAST({i} AS BIGINT) AS idx, {s6(scaled_sql(c))} AS value
-                FROM r CROSS JOIN sc WHERE {c} IS NOT NULL"""
-            for i, c in enumerate(FLOATS)
-        )
-        + " UNION ALL "
-        + _n1_cells,
-        SOURCE,
-        "r AS (SELECT * REPLACE (cid_5 AS customer_id) FROM s)",
-        bounds_cte(FLOATS, "r", "TRUE"),
-        *_n1_ctes,
-    ),
+_N1_CELLS = (
+    " UNION ALL ".join(
+        f"""SELECT row_id, CAST({i} AS BIGINT) AS idx, {scaled_sql(c)} AS value
+            FROM r CROSS JOIN sc WHERE {c} IS NOT NULL"""
+        for i, c in enumerate(FLOATS)
+    )
+    + " UNION ALL "
+    + _n1_cells
 )
+_N1_CTES = [
+    SOURCE,
+    "r AS (SELECT * REPLACE (cid_5 AS customer_id) FROM s)",
+    bounds_cte(FLOATS, "r", "TRUE"),
+    *_n1_ctes,
+    f"cells AS ({_N1_CELLS})",
+]
+
+
+@query("i11_n1", over_base(f"SELECT row_id, idx, {s6('value')} AS value FROM cells", *_N1_CTES))
 def n1(spark, sf):
     cells = recipes.n1(fixture.staged(spark, sf)).cells()
     return cells.select("row_id", "idx", r6("value").alias("value"))
 
 
-@query("i12_n2")
+def projected_cte(k: int) -> str:
+    """``e(row_id, c, v)``: signed sums of the cells of every component."""
+    digest = "md5('42:' || CAST(idx AS VARCHAR))"
+    return f"""e AS (SELECT row_id, CAST(('0x' || substr({digest}, 1, 8))::BIGINT % {k} AS INT) AS c,
+      sum(CASE WHEN ('0x' || substr({digest}, 9, 1))::INT % 2 = 0 THEN value ELSE -value END) AS v
+      FROM cells GROUP BY 1, 2)"""
+
+
+def _components(k: int) -> list[str]:
+    return [f"{s6(f'coalesce(sum(v) FILTER (WHERE c = {i}), 0)')} AS e_{i}" for i in range(k)]
+
+
+def _embedded_sql(k: int) -> str:
+    return over_base(
+        f"""SELECT b.row_id, any_value(is_test) AS is_test, any_value(target) AS target,
+            {', '.join(_components(k))} FROM b JOIN e ON e.row_id = b.row_id GROUP BY b.row_id""",
+        *_N1_CTES,
+        projected_cte(k),
+    )
+
+
+@query("h8_embed", _embedded_sql(16))
+def embedded(spark, sf):
+    return rounded(recipes.n2(fixture.staged(spark, sf), k=16).table)
+
+
+@query("i12_n2", _embedded_sql(64))
 def n2(spark, sf):
-    return recipes.n2(fixture.staged(spark, sf)).table
+    return rounded(recipes.n2(fixture.staged(spark, sf)).table)
 
 
-@query("i12_n3")
+@query("i12_n3", _embedded_sql(128))
 def n3(spark, sf):
-    return recipes.n3(fixture.staged(spark, sf)).table
+    return rounded(recipes.n3(fixture.staged(spark, sf)).table)
 
 
-@query("i12_n4")
+@query("i12_n4", _embedded_sql(1024))
 def n4(spark, sf):
-    return recipes.n4(fixture.staged(spark, sf)).table
+    return rounded(recipes.n4(fixture.staged(spark, sf)).table)
+
+
+@query(
+    "i5_j3",
+    over_base(
+        f"""SELECT {KEY_SQL}, {', '.join(renamed(_J2_PICKS, 'j2_'))},
+            {', '.join(f'n3.e_{i} AS n3_e_{i}' for i in range(128))}
+            {_JOINED} JOIN n3 ON n3.row_id = s.row_id""",
+        *_J1_CTES,
+        f"""n3 AS (WITH {', '.join(_N1_CTES[1:])}, {projected_cte(128)}
+            SELECT row_id, {', '.join(_components(128))} FROM e GROUP BY row_id)""",
+    ),
+)
+def j3(spark, sf):
+    return rounded(recipes.j3(fixture.staged(spark, sf), drop_constants=False).table)
 
 
 @query(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.catalog.feature_sets import model_names, probabilities, stacked
@@ -18,10 +20,10 @@ from ordstack.catalog.registry import (
     s6,
 )
 from ordstack.catalog.relational import _SHARES_SQL, assigned, stand_in_sql
-from ordstack.constants import DEFAULT_CUTOFFS
+from ordstack.constants import DEFAULT_CUTOFFS, FOLD, IS_TEST, N_FOLD, TARGET
 from ordstack.functions.numeric import apply_cutoffs, quoted
 from ordstack.models import blend, cutoffs, jobs
-from ordstack.operators import combine, encode
+from ordstack.operators import combine, encode, metric
 from ordstack.operators.columns import feature_columns
 from ordstack.plans import fixture, recipes, stacks
 from ordstack.session import scratch_path, store
@@ -47,6 +49,53 @@ def made_of_one(df) -> list[str]:
     return [c for c in df.columns if len(re.findall(r"f_\d+", c)) < 2]
 
 
+_held: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held(name: str, make: Callable) -> Callable:
+    """The query ``make``, run once per application and data set: its result is a stored table, which
+    the contract query beside it reads too."""
+
+    def run(spark, sf):
+        key = (spark.sparkContext.applicationId, sf, name)
+        if key not in _held:
+            _held[key] = make(spark, sf)
+        return _held[key]
+
+    return run
+
+
+def with_contract(name: str) -> Callable:
+    """Register a model query, and ``<name>_contract``: per side the number of rows, of row ids and of
+    missing predictions, and whether predictions of rows the model did not see err less than the mean."""
+
+    def register(make: Callable) -> Callable:
+        run = query(name)(held(name, make))
+
+        @query(f"{name}_contract", _CONTRACT_SQL)
+        def contract(spark, sf):
+            truth = fixture.base(spark, sf).select("row_id", "target")
+            got = run(spark, sf).join(truth, "row_id")
+            error = F.avg((F.col("prediction") - F.col("target")) ** 2)
+            return got.groupBy("side").agg(
+                F.count("*").alias("n"),
+                F.count_distinct("row_id").alias("ids"),
+                F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("missing"),
+                F.when(F.col("side") == "oof", error < F.var_pop("target")).alias("beats_mean"),
+            )
+
+        return run
+
+    return register
+
+
+_CONTRACT_SQL = over_base(
+    """SELECT CASE WHEN is_test THEN 'test' ELSE 'oof' END AS side, count(*) AS n,
+       count(DISTINCT row_id) AS ids, CAST(0 AS BIGINT) AS missing,
+       CASE WHEN NOT is_test THEN TRUE END AS beats_mean FROM b GROUP BY is_test"""
+)
+
+
 def both_sides(result: jobs.Result):
     """Out-of-fold and test predictions as one table."""
     oof = result.oof.select("row_id", F.lit("oof").alias("side"), "prediction")
@@ -54,7 +103,7 @@ def both_sides(result: jobs.Result):
     return oof.unionByName(test)
 
 
-@query("j1_boosted_regression")
+@with_contract("j1_boosted_regression")
 def boosted(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
     return both_sides(jobs.boosted_regression(df, usable(df), SMALL))
@@ -66,7 +115,7 @@ def boosted_importance(spark, sf):
     return jobs.boosted_regression(df, usable(df), SMALL).importance
 
 
-@query("j2_boosted_no_importance")
+@with_contract("j2_boosted_no_importance")
 def boosted_plain(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
     result = jobs.boosted_regression(df, usable(df), SMALL, with_importance=False, refit=True)
@@ -80,7 +129,7 @@ def labelled_h1(spark, sf):
     return with_fold(encode.LabelEncoder(min_obs=10).fit(df, text).transform(df))
 
 
-@query("j3_boosted_every_fold")
+@with_contract("j3_boosted_every_fold")
 def boosted_every(spark, sf):
     df = labelled_h1(spark, sf)
     return both_sides(
@@ -88,7 +137,7 @@ def boosted_every(spark, sf):
     )
 
 
-@query("j4_boosted_fold_features")
+@with_contract("j4_boosted_fold_features")
 def boosted_folds(spark, sf):
     made = recipes.j8(fixture.staged(spark, sf))
     df = with_fold(made.table)
@@ -97,13 +146,13 @@ def boosted_folds(spark, sf):
     return both_sides(jobs.boosted_regression(df, plain, SMALL, fold_features=folds))
 
 
-@query("j5_class_regression")
+@with_contract("j5_class_regression")
 def classes(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
     return both_sides(jobs.class_regression(df, usable(df), trees=5, depth=5))
 
 
-@query("j6_boosted_depth_limited")
+@with_contract("j6_boosted_depth_limited")
 def boosted_depth(spark, sf):
     made = recipes.j1(fixture.staged(spark, sf))
     df = with_fold(made.table)
@@ -111,7 +160,19 @@ def boosted_depth(spark, sf):
     return both_sides(jobs.boosted_regression(df, usable(df), params))
 
 
-@query("j7_boosted_categorical")
+def with_fold_encoded(df: DataFrame, cols: list[str]) -> DataFrame:
+    """``cols`` replaced by mean targets: over the other folds for train rows, over all for test rows."""
+    if not cols:
+        return df
+    fitted = encode.fit_categories(df, cols, target=TARGET, n_fold=N_FOLD)
+    for c in cols:
+        df = fitted.apply(df, c, {"te": f"_all_{c}", "te_folds": f"_te_{c}"})
+        mean = F.when(F.col(IS_TEST), quoted(f"_all_{c}")).otherwise(F.get(quoted(f"_te_{c}"), F.col(FOLD) - 1))
+        df = df.withColumn(c, mean).drop(f"_all_{c}", f"_te_{c}")
+    return df
+
+
+@with_contract("j7_boosted_categorical")
 def boosted_categorical(spark, sf):
     made = recipes.j2(fixture.staged(spark, sf))
     df = with_fold(made.table)
@@ -120,8 +181,9 @@ def boosted_categorical(spark, sf):
     named = [r["name"] for r in feature_map.categorical_features(fmap).collect()]
     top = df.agg(*[F.max(quoted(c)).alias(c) for c in named]).first()
     low = df.agg(*[F.min(quoted(c)).alias(c) for c in named]).first()
-    # columns of more values than a tree has bins stay numeric
+    # columns of few values are split as sets; the others become their mean target out of fold
     fits = {c: int(top[c]) + 1 for c in named if low[c] >= 0 and top[c] + 1 <= SMALL.bins}
+    df = with_fold_encoded(df, [c for c in named if c not in fits])
     return both_sides(jobs.boosted_regression(df, features, SMALL, categories=fits))
 
 
@@ -129,13 +191,13 @@ def stored_stack(spark, sf, n):
     return with_fold(stacked(spark, sf, model_names(n)))
 
 
-@query("j8_randomised_trees")
+@with_contract("j8_randomised_trees")
 def trees(spark, sf):
     df = stored_stack(spark, sf, 15)
     return both_sides(jobs.randomised_trees(df, feature_columns(df), trees=5, depth=6))
 
 
-@query("j9_linear_regression")
+@with_contract("j9_linear_regression")
 def linear(spark, sf):
     df = with_fold(recipes.j1(fixture.staged(spark, sf)).table)
     return both_sides(jobs.linear_regression(df, usable(df)))
@@ -166,7 +228,7 @@ def coefficients(spark, sf):
     return jobs.linear_regression(df, usable(df), refit=True).importance
 
 
-@query("j10_linear_on_stack_pr")
+@with_contract("j10_linear_on_stack_pr")
 def linear_pr(spark, sf):
     extra = probabilities(fixture.predictions(fixture.staged(spark, sf)))
     wide = stacks.stack_with_probabilities(stacked(spark, sf, model_names(20)), extra)
@@ -174,11 +236,11 @@ def linear_pr(spark, sf):
     return both_sides(jobs.linear_regression(df, feature_columns(df), coefficients=False))
 
 
-@query("j11_blend")
+@with_contract("j11_blend")
 def blended(spark, sf):
     df = stored_stack(spark, sf, 13)
     oof, test, _ = blend.train_predict_blend(
-        df, [f"pred_{m}" for m in model_names(13)], restarts=20, rounds=3
+        df, [f"pred_{m}" for m in model_names(13)], restarts=20
     )
     return oof.select("row_id", F.lit("oof").alias("side"), "prediction").unionByName(
         test.select("row_id", F.lit("test").alias("side"), "prediction")
@@ -204,7 +266,7 @@ def binary(spark, sf):
     features = usable(df)
     wide = recipes.binary_targets(df)
     targets = [c for c in wide.columns if c not in df.columns]
-    params = jobs.Boosting(rounds=1, depth=4, rate=0.3, bins=32)  # 20 targets x 5 folds to fit
+    params = jobs.Boosting(rounds=2, depth=4, rate=0.3, bins=32)  # 20 targets x 5 folds to fit
     result = jobs.binary_probabilities(wide, features, targets, params)
     pr = [c for c in result.test.columns if c.startswith("pr_")]
     return result.oof.select("row_id", F.lit("oof").alias("side"), *pr).unionByName(
@@ -227,6 +289,40 @@ def fit_cutoffs(spark, sf):
     return out.select("row_id", "prediction", "rating")
 
 
+@query(
+    "k1_contract",
+    over_base(
+        """SELECT TRUE AS at_least_start, TRUE AS rising, count(*) AS n_rated
+           FROM p WHERE is_test"""
+    ),
+)
+def cutoffs_contract(spark, sf):
+    """Learnt cutoffs rise and reach at least the kappa of the cutoffs the search starts from."""
+    df = _scored(spark, sf)
+    rated, cuts = cutoffs.learn_and_apply(df.filter("NOT is_test"), df.filter("is_test"))
+    both = {
+        name: metric.qwk(
+            df.filter("NOT is_test").withColumn("rating", apply_cutoffs(F.col("prediction"), c)), "target", "rating"
+        ).first()["kappa"]
+        for name, c in (("start", DEFAULT_CUTOFFS), ("learnt", cuts))
+    }
+    return rated.filter("rating IS NOT NULL").agg(
+        F.lit(both["learnt"] >= both["start"] - 1e-9).alias("at_least_start"),
+        F.lit(list(cuts) == sorted(cuts)).alias("rising"),
+        F.count("*").alias("n_rated"),
+    )
+
+
+@query("k4_contract", "SELECT TRUE AS at_least_best_single")
+def blend_contract(spark, sf):
+    """A learnt blend reaches at least the kappa of the best single model."""
+    df = fixture.predictions(fixture.staged(spark, sf)).filter("NOT is_test")
+    names = ["pred", "pred2"]
+    _, reached = blend.fit_blend(df, names, restarts=4)
+    single = max(blend.score(df, names, [[1.0, 0.0], [0.0, 1.0]]))
+    return df.limit(1).select(F.lit(reached >= single - 1e-12).alias("at_least_best_single"))
+
+
 @query(
     "k1_prediction_grid",
     over_base(
@@ -262,7 +358,7 @@ def saved_cutoffs(spark, sf):
 @query("k4_fit_blend")
 def fit_blend(spark, sf):
     df = fixture.predictions(fixture.staged(spark, sf))
-    weights, _ = blend.fit_blend(df.filter("NOT is_test"), ["pred", "pred2"], restarts=10, rounds=4)
+    weights, _ = blend.fit_blend(df.filter("NOT is_test"), ["pred", "pred2"], restarts=10)
     return blend.blend(df.filter("is_test"), ["pred", "pred2"], weights)
 
 

@@ -39,3 +39,7 @@ DROP_WIDE = ("date", "f_10", "f_19", "f_39")
 J1_INTERACTIONS = ("f_13", "f_21", "f_15", "f_26")
 J4_INTERACTIONS = ("f_8", "f_12", "f_18", "f_11")
 J8_INTERACTIONS = ("f_8", "f_12", "f_18", "f_11", "f_13", "f_21", "f_15", "f_26")
+
+# Names of the row statistics and of the composite keys.
+STATS = ("min_target_encoding", "max_target_encoding", "median_target_encoding")
+COMPOSITE = ("cid_5_month_market", "cid_3_month_market")

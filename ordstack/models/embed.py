@@ -1,4 +1,4 @@
-"""Dense embedding of sparse one-hot vectors by principal components."""
+"""Dense embeddings of sparse one-hot rows."""
 
 from __future__ import annotations
 
@@ -7,19 +7,36 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordstack.constants import IS_TEST, ROW_ID, TARGET
+from ordstack.constants import IS_TEST, ROW_ID, SEED, TARGET
+from ordstack.functions.numeric import ident
 
-MAX_COLUMNS = 4096  # the solver holds a square matrix of this width on the driver
+MAX_COLUMNS = 4096  # of the learned embedding: its solver holds a square matrix on the driver
+
+
+def project(cells: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """``(row_id, e_0 .. e_<k-1>)``: a seeded sparse projection of ``(row_id, idx, value)`` cells.
+
+    Every column index is hashed to one of ``k`` components and a sign; a component is the signed sum
+    of its cells, so inner products of rows are kept in expectation. Nothing is fitted and nothing
+    depends on the width, which may grow with the data: one sum per row and component, one pivot.
+    """
+    digest = f"md5(concat('{seed}:', CAST(idx AS STRING)))"
+    component = f"CAST(conv(substring({digest}, 1, 8), 16, 10) AS BIGINT) % {k}"
+    sign = f"CASE WHEN CAST(conv(substring({digest}, 9, 1), 16, 10) AS INT) % 2 = 0 THEN 1 ELSE -1 END"
+    placed = cells.selectExpr(ROW_ID, f"CAST({component} AS INT) AS _c", f"({sign}) * value AS _v")
+    sums = placed.groupBy(ROW_ID, "_c").agg(F.sum("_v").alias("_v"))
+    wide = sums.groupBy(ROW_ID).pivot("_c", list(range(k))).agg(F.first("_v"))
+    return wide.selectExpr(ROW_ID, *[f"coalesce({ident(str(i))}, 0.0D) AS e_{i}" for i in range(k)])
 
 
 def embed(df: DataFrame, k: int, width: int, features: str = "features") -> DataFrame:
-    """First ``k`` components, fitted on train and test rows together: ``e_0`` … ``e_<k-1>``.
+    """First ``k`` principal components, fitted on train and test rows together: ``e_0`` ….
 
     The components of the rows are computed where the rows are; only the width-by-width covariance
-    is held on the driver, so the width is checked.
+    is held on the driver, so the width is checked. Wider input goes by ``project``.
     """
     if width > MAX_COLUMNS:
-        raise ValueError(f"{width} columns are too many; raise min_obs of the one-hot encoder")
+        raise ValueError(f"{width} columns are too many for principal components; project them")
     if k > width:
         raise ValueError(f"{k} components of {width} columns")
     model = PCA(k=k, inputCol=features, outputCol="_pca").fit(df)

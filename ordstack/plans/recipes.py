@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.constants import (
+    COMPOSITE,
     DROP_BASIC,
     DROP_WIDE,
     FOLD,
@@ -23,6 +25,7 @@ from ordstack.constants import (
     J8_INTERACTIONS,
     N_FOLD,
     ROW_ID,
+    STATS,
     TARGET,
 )
 from ordstack.functions import dates, ids
@@ -38,7 +41,7 @@ from ordstack.functions.numeric import (
     with_pairwise,
 )
 from ordstack.functions.splits import fold_of
-from ordstack.models.embed import embed
+from ordstack.models.embed import embed, project
 from ordstack.operators import encode
 from ordstack.operators.columns import (
     column_roles,
@@ -52,7 +55,6 @@ from ordstack.session import store
 from ordstack.sources.feature_map import from_names
 
 KEYS = (ROW_ID, IS_TEST, TARGET)
-STATS = ("min_target_encoding", "max_target_encoding", "median_target_encoding")
 
 
 @dataclass
@@ -243,13 +245,10 @@ def _with_composite_keys(df: DataFrame) -> DataFrame:
     )
 
 
-COMPOSITE = ("cid_5_month_market", "cid_3_month_market")
-
-
-def _part_j6(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
+def _part_j6(df: DataFrame, p: str, min_obs: int = 10) -> tuple[DataFrame, list[str], list[str]]:
     out = _with_composite_keys(df)
     fitted = encode.fit_categories(
-        out, ["customer_id", *COMPOSITE], min_obs=10, target=TARGET, overlap=True
+        out, ["customer_id", *COMPOSITE], min_obs=min_obs, target=TARGET, overlap=True
     )
     out = fitted.apply(out, "customer_id", {"both": f"{p}cid_both"})
     for c in COMPOSITE:
@@ -258,13 +257,13 @@ def _part_j6(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     return out.drop(*COMPOSITE), names, list(COMPOSITE)
 
 
-def j6(raw: DataFrame) -> FeatureSet:
+def j6(raw: DataFrame, min_obs: int = 10) -> FeatureSet:
     """Overlap flag, labels of two composite keys, mean target of each label."""
-    df, names, whole = _part_j6(raw, "~j6_")
+    df, names, whole = _part_j6(raw, "~j6_", min_obs)
     return FeatureSet(_select(df, "~j6_", names), whole)
 
 
-def j8(raw: DataFrame) -> FeatureSet:
+def j8(raw: DataFrame, min_obs: int = 10) -> FeatureSet:
     """Everything: flag, labels of nine categories, scaled doubles, 120 interaction columns, and
     mean targets of the labels per fold. One aggregate fits flag, labels and means together."""
     df = _with_composite_keys(
@@ -275,7 +274,7 @@ def j8(raw: DataFrame) -> FeatureSet:
     roles = column_roles(df, ["customer_id", "cid_5", "cid_3", *COMPOSITE])
     cats = roles.categorical
     fitted = encode.fit_categories(
-        df, cats, min_obs=10, target=TARGET, n_fold=N_FOLD, overlap=True
+        df, cats, min_obs=min_obs, target=TARGET, n_fold=N_FOLD, overlap=True
     )
     scaler = encode.MinMax(roles.floating).fit(df.filter(~F.col(IS_TEST)))
     out = df
@@ -344,9 +343,9 @@ def n1(raw: DataFrame) -> SparseSet:
 
 
 def n2(raw: DataFrame, k: int = 64) -> FeatureSet:
-    """``k`` principal components of ``n1``."""
-    sparse = n1(raw)
-    return FeatureSet(embed(sparse.vectors(), k, sparse.width))
+    """``n1`` embedded in ``k`` columns, whatever its width: see ``project``."""
+    table = project(n1(raw).cells(), k)
+    return FeatureSet(raw.select(*KEYS).join(table, ROW_ID))
 
 
 def n3(raw: DataFrame, k: int = 128) -> FeatureSet:
@@ -354,9 +353,13 @@ def n3(raw: DataFrame, k: int = 128) -> FeatureSet:
 
 
 def n4(raw: DataFrame, k: int = 1024) -> FeatureSet:
-    """As ``n2``; no more components than ``n1`` has columns."""
+    return n2(raw, k)
+
+
+def principal(raw: DataFrame, k: int) -> FeatureSet:
+    """``k`` principal components of ``n1``, for widths a driver can hold a square matrix of."""
     sparse = n1(raw)
-    return FeatureSet(embed(sparse.vectors(), min(k, sparse.width), sparse.width))
+    return FeatureSet(embed(sparse.vectors(), k, sparse.width))
 
 
 # --- combined sets ------------------------------------------------------------------------------
@@ -368,8 +371,8 @@ def _part_j2(df: DataFrame, p: str) -> tuple[DataFrame, list[str], list[str]]:
     return _part_j1(df, p, keep_id=True)
 
 
-def _combined(raw: DataFrame, parts: dict[str, Part]) -> FeatureSet:
-    """Parts side by side with prefixed names, constant columns dropped."""
+def _combined(raw: DataFrame, parts: dict[str, Part], drop_constants: bool = True) -> FeatureSet:
+    """Parts side by side with prefixed names, constant columns dropped unless told otherwise."""
     df, picked, whole = raw, [], []
     for path, part in parts.items():
         p = f"~{path}~"
@@ -377,16 +380,16 @@ def _combined(raw: DataFrame, parts: dict[str, Part]) -> FeatureSet:
         picked += [(f"{p}{n}", f"{path}_{n}") for n in names]
         whole += [f"{path}_{n}" for n in w]
     wide = df.selectExpr(*KEYS, *[f"{ident(a)} AS {ident(b)}" for a, b in picked])
-    kept = drop_constant(wide)
+    kept = drop_constant(wide) if drop_constants else wide
     return FeatureSet(kept, [c for c in whole if c in kept.columns])
 
 
-def j3(raw: DataFrame, k: int = 128) -> FeatureSet:
+def j3(raw: DataFrame, k: int = 128, drop_constants: bool = True) -> FeatureSet:
     """``j2`` and the embedding side by side. Both are stored first: the row check, the test for
     constant columns and the join each read them."""
     left = j2(raw)
     sets = {"j2": store(left.table, "j2"), "n3": store(n3(raw, k).table, "n3")}
-    table = combine(sets)
+    table = combine(sets, drop_constants)
     return FeatureSet(table, [f"j2_{c}" for c in left.whole if f"j2_{c}" in table.columns])
 
 
@@ -397,9 +400,10 @@ def j5(raw: DataFrame, with_folds: bool = False) -> FeatureSet:
     return made
 
 
-def j7(raw: DataFrame) -> FeatureSet:
+def j7(raw: DataFrame, min_obs: int = 10, drop_constants: bool = True) -> FeatureSet:
     """``j5`` and ``j6`` side by side."""
-    return _combined(raw, {"j5_j2": _part_j2, "j5_j4": _part_j4, "j6": _part_j6})
+    parts = {"j5_j2": _part_j2, "j5_j4": _part_j4, "j6": partial(_part_j6, min_obs=min_obs)}
+    return _combined(raw, parts, drop_constants)
 
 
 # --- binary targets -----------------------------------------------------------------------------
