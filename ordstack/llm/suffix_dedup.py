@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordstack.llm.corpus import columns, read, spans, text_of
+from ordstack.llm.corpus import columns, read, schema_of, spans, text_of
 from ordstack.session import store
 
 LENGTH = 100
@@ -47,9 +48,13 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    z = x * np.uint64(0xFF51AFD7ED558CCD) + (y ^ np.uint64(0x123456789))
-    z ^= z >> np.uint64(31)
-    return z * _ODD
+    z = x * np.uint64(0xFF51AFD7ED558CCD)
+    t = y ^ np.uint64(0x123456789)
+    z += t
+    np.right_shift(z, np.uint64(31), out=t)
+    z ^= t
+    z *= _ODD
+    return z
 
 
 def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,20 +64,13 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     if n_windows < 1:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, none.astype(bool)
-    h = (np.frombuffer(data, dtype=np.uint8).astype(np.uint64) + np.uint64(1)) * _ODD
-    widths = {1: h}
-    for w in (2, 4, 8, 16, 32):
-        half = widths[w // 2]
-        widths[w] = _mixed(half[: len(half) - w // 2], half[w // 2 :])
-    grams = _mixed(widths[32][: len(data) - K + 1], widths[16][32:])  # K = 32 + 16
-    span, low = LENGTH - K + 1, grams
-    width = 1
-    while 2 * width <= span:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    if span > width:
-        rest = span - width
-        low = np.minimum(low[: len(low) - rest], low[rest:])
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)  # at every byte
+    w8 = _mixed(eight, eight)
+    w16 = _mixed(w8[:-8], w8[8:])
+    w32 = _mixed(w16[:-16], w16[16:])
+    grams = _mixed(w32[: len(data) - K + 1], w16[32:])  # K = 32 + 16
+    span = LENGTH - K + 1
+    low = _sliding(grams, span, np.minimum)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     sizes = np.diff(np.append(first, n_windows))
     if int(sizes.max()) > RUN:
@@ -82,15 +80,33 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         first = at + inner * RUN
         sizes = np.diff(np.append(first, n_windows))
     keys = low[first]
-    # occurrences of the key's substring among the substrings of the run's windows
-    return keys, first, sizes, _occurrences(grams, keys, first, sizes + span - 1) > 1
+    return keys, first, sizes, _occurrences(grams, low, keys, first, sizes, span) > 1
 
 
-def _occurrences(grams: np.ndarray, keys: np.ndarray, first: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """How often each run's key is among its own ``widths`` substrings."""
-    flat = np.arange(int(widths.sum())) + np.repeat(first - (np.cumsum(widths) - widths), widths)
-    same = grams[flat] == np.repeat(keys, widths)
-    return np.add.reduceat(same, np.cumsum(widths) - widths, dtype=np.int64)
+def _sliding(x: np.ndarray, span: int, of) -> np.ndarray:
+    """Smallest or largest of every ``span`` neighbours."""
+    width = 1
+    while 2 * width <= span:
+        x = of(x[: len(x) - width], x[width:])
+        width *= 2
+    rest = span - width
+    return of(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def _occurrences(
+    grams: np.ndarray, low: np.ndarray, keys: np.ndarray, first: np.ndarray, sizes: np.ndarray, span: int
+) -> np.ndarray:
+    """How often each run's key is among the substrings of its windows. Only substrings that are the
+    smallest of some window come into question: those that equal the largest of the minima around."""
+    around = np.zeros(len(low) + 2 * (span - 1), dtype=np.uint64)
+    around[span - 1 : span - 1 + len(low)] = low
+    places = np.flatnonzero(grams == _sliding(around, span, np.maximum))
+    begin = np.searchsorted(places, first)
+    count = np.searchsorted(places, first + sizes + span - 1) - begin
+    starts = np.cumsum(count) - count
+    flat = np.arange(int(count.sum())) + np.repeat(begin - starts, count)
+    same = grams[places[flat]] == np.repeat(keys, count)
+    return np.add.reduceat(same, starts, dtype=np.int64)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -206,61 +222,73 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     return store(sent.groupBy("part").applyInArrow(count, "h long"), "repeated-keys")
 
 
-def _emit(doc_id, th, data: bytes, k, first, sizes, several) -> list[tuple]:
-    return [
-        (h, data[s : s + n + LENGTH - 1], m, doc_id, th, s)
-        for h, s, n, m in zip(k.view(np.int64).tolist(), first.tolist(), sizes.tolist(), several.tolist())
-    ]
-
+def candidate_runs(
+    docs: DataFrame, keys: DataFrame, whole: bool, broadcast_keys: int = BROADCAST_KEYS
+) -> DataFrame:
+    """Runs whose key is among ``keys``: key, hash ``c`` of the bytes, number of windows, whether the
+    run may repeat a window within itself, and its place; with ``whole`` also the bytes.
 
-def candidate_runs(docs: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
-    """Runs whose key is repeated, with their bytes and place."""
-    n_keys = keys.count()
-    small = n_keys <= broadcast_keys
+    Keys go to every task while they are few; more are joined to the runs' places, and those to the
+    texts they are cut from.
+    """
+    small = keys.count() <= broadcast_keys
     known = np.sort(keys.toArrow()["h"].to_numpy().view(np.uint64)) if small else None
     shared = docs.sparkSession.sparkContext.broadcast(known)
-    names = ["h", "run", "several", "doc_id", "th", "s"]
-    types = [pa.int64(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[] for _ in types]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names=names)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeated = shared.value
+    schema = "h long, c long, n long, several boolean, doc_id long, th long, s long" + ", run binary" * whole
+    names = [f.name for f in schema_of(schema).fields]
+
+    def made(doc_id, th, data: bytes, k, first, sizes, several) -> pa.RecordBatch:
+        size = len(k)
+        cut = [data[s : s + n + LENGTH - 1] for s, n in zip(first.tolist(), sizes.tolist())]
+        hashed = np.array([xxhash.xxh64_intdigest(x) for x in cut], dtype=np.uint64).view(np.int64)
+        arrays = [
+            pa.array(k.view(np.int64)), pa.array(hashed), pa.array(sizes), pa.array(several),
+            pa.array([doc_id] * size, pa.int64()), pa.array([th] * size, pa.int64()), pa.array(first),
+        ]
+        return pa.RecordBatch.from_arrays([*arrays, *[pa.array(cut, pa.binary())] * whole], names=names)
+
+    def each(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+        """Results of a few megabytes of texts at a time."""
         for batch in batches:
             for lo, hi in spans(batch.column(2)):
-                rows = []
-                for doc_id, th, text in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns)):
-                    data = text.encode("utf-8")
-                    k, first, sizes, several = runs(data)
-                    at = np.minimum(np.searchsorted(repeated, k), max(len(repeated) - 1, 0))
-                    on = np.flatnonzero(repeated[at] == k) if len(repeated) else at[:0]
-                    rows += _emit(doc_id, th, data, k[on], first[on], sizes[on], several[on])
-                yield batch_of(rows)
+                rows = zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns))
+                found = [x for x in (work(*row) for row in rows) if x.num_rows]
+                if found:
+                    yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+
+        def work(doc_id, th, text):
+            data = text.encode("utf-8")
+            k, first, sizes, several = runs(data)
+            at = np.minimum(np.searchsorted(wanted, k), max(len(wanted) - 1, 0))
+            on = np.flatnonzero(wanted[at] == k) if len(wanted) else at[:0]
+            return made(doc_id, th, data, k[on], first[on], sizes[on], several[on])
+
+        yield from each(batches, work)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in spans(batch.column(2)):
-                for doc_id, th, text in zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns)):
-                    k, first, sizes, several = runs(text.encode("utf-8"))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k.view(np.int64)), pa.array([doc_id] * len(k), pa.int64()),
-                         pa.array([th] * len(k), pa.int64()), pa.array(first), pa.array(sizes), pa.array(several)],
-                        names=["h", "doc_id", "th", "s", "n", "several"],
-                    )
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                doc_id, th, text, found = (c[row].as_py() for c in batch.columns)
-                k, first, sizes, several = (
-                    np.array([f[x] for f in found], dtype=t)
-                    for x, t in (("h", np.int64), ("s", np.int64), ("n", np.int64), ("several", bool))
-                )
-                yield batch_of(_emit(doc_id, th, text.encode("utf-8"), k, first, sizes, several))
+        def work(doc_id, th, text):
+            k, first, sizes, several = runs(text.encode("utf-8"))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(k.view(np.int64)), pa.array([doc_id] * len(k), pa.int64()),
+                 pa.array([th] * len(k), pa.int64()), pa.array(first), pa.array(sizes), pa.array(several)],
+                names=["h", "doc_id", "th", "s", "n", "several"],
+            )
+
+        yield from each(batches, work)
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(doc_id, th, text, found):
+            k, first, sizes, several = (
+                np.array([f[x] for f in found], dtype=t)
+                for x, t in (("h", np.int64), ("s", np.int64), ("n", np.int64), ("several", bool))
+            )
+            return made(doc_id, th, text.encode("utf-8"), k, first, sizes, several)
+
+        yield from each(batches, work)
 
-    schema = "h long, run binary, several boolean, doc_id long, th long, s long"
     if small:
         return docs.mapInArrow(search, schema)
     placed = docs.mapInArrow(place, "h long, doc_id long, th long, s long, n long, several boolean")
@@ -272,7 +300,7 @@ def candidate_runs(docs: DataFrame, keys: DataFrame, broadcast_keys: int = BROAD
         .select("_key", "found")
     )
     once = docs.dropDuplicates(["doc_id", "th"]).withColumn("_key", _key())
-    return once.join(found, "_key").select("doc_id", "th", "text", "found").mapInArrow(cut, schema)
+    return once.join(found, "_key").select("doc_id", "th", "text", "found").mapInArrow(cut_out, schema)
 
 
 def _key() -> Column:
@@ -281,19 +309,22 @@ def _key() -> Column:
 
 
 def _place() -> Column:
-    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("th"), F.col("s"))
+    doc = F.coalesce("doc_id", F.lit(0)).alias("doc")
+    return F.struct(F.col("doc_id").isNull().alias("none"), doc, F.col("th"), F.col("s"))
 
 
 def _sort_partition(table):
-    texts = table["run"].to_pylist()
-    none, doc, th = (table[c].to_numpy() for c in ("none", "doc", "th"))
-    starts = table["s"].to_numpy()
-    doc = np.nan_to_num(doc.astype(np.float64)).astype(np.int64) if table["doc"].null_count else doc
+    none, doc, th, s, h, c = (table[x].to_numpy() for x in ("none", "doc", "th", "s", "h", "c"))
+    # the first place of each different run
+    order = np.lexsort((s, th, doc, none, c, h))
+    first = order[np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(c[order]) != 0)])]
+    none, doc, th, s, h, c = (x[first] for x in (none, doc, th, s, h, c))
+    texts = table["run"].take(pa.array(first)).to_pylist()
     order = np.lexsort((th, doc, none))
-    new = np.any([np.diff(x[order].astype(np.int64), prepend=-1) != 0 for x in (none, doc, th)], axis=0)
+    new = np.any([np.diff(x[order], prepend=x[order[:1]]) != 0 for x in (none.astype(int), doc, th)], axis=0)
     docs = np.empty(len(texts), dtype=np.int64)
     docs[order] = np.cumsum(new)
-    run, off = later_windows(texts, docs, starts)
+    run, off = later_windows(texts, docs, s)
     by = np.lexsort((off, run))
     run, off = run[by], off[by]
     # windows in a row become one span
@@ -301,80 +332,85 @@ def _sort_partition(table):
     cut[1:] = (np.diff(run) != 0) | (np.diff(off) != 1)
     begin = np.flatnonzero(cut)
     end = np.append(begin[1:], len(run)) - 1 if len(run) else begin
-    h, c = table["h"].to_numpy(), table["c"].to_numpy()
-    return pa.table({"h": h[run[begin]], "c": c[run[begin]], "lo": off[begin], "hi": off[end] + 1})
+    at = run[begin]
+    return pa.table({
+        "doc_id": pa.array(doc[at], mask=none[at]), "th": th[at], "lo": s[at] + off[begin],
+        "hi": s[at] + off[end] + LENGTH,
+    })
 
 
 def marks(df: DataFrame, broadcast_keys: int = BROADCAST_KEYS, sorted_runs: int = SORTED_RUNS) -> DataFrame:
     """``(doc_id, th, lo, hi)``: byte ranges of windows that also start earlier; they may overlap."""
     docs = _keyed(df)
-    found = candidate_runs(docs, repeated_keys(docs), broadcast_keys)
-    found = store(found.withColumn("c", F.xxhash64("run")), "runs")
-    n = F.octet_length("run") - (LENGTH - 1)
+    found = store(candidate_runs(docs, repeated_keys(docs), False, broadcast_keys), "runs")
     groups = store(
         found.groupBy("h", "c").agg(
-            F.min(_place()).alias("first"), F.max("several").alias("several"), F.first("run").alias("run")
+            F.min(_place()).alias("first"), F.max("several").alias("several"), F.count("*").alias("copies")
         ),
         "distinct-runs",
     )
-    place_of = groups.select("h", "c", "first")
-    per_key = groups.groupBy("h").agg(F.count("*").alias("k"), F.max("several").alias("any"))
-    rims = per_key.filter("k > 1 OR any")
     # later copies of a run are covered as a whole
+    copied = groups.filter("copies > 1").select("h", "c", "first")
     copies = (
-        found.select("h", "c", "doc_id", "th", "s", n.alias("n")).join(place_of, ["h", "c"])
+        found.join(copied, ["h", "c"])
         .filter(~(F.col("first") == _place()))
         .select("doc_id", "th", F.col("s").alias("lo"), (F.col("s") + F.col("n") + LENGTH - 1).alias("hi"))
-    )
-    at = [F.col("first.none").alias("none"), F.col("first.doc_id").alias("doc"), F.col("first.th").alias("th"),
-          F.col("first.s").alias("s")]
-    open_ = store(
-        groups.join(rims, "h").select("h", "c", "run", *at, (F.col("k") > sorted_runs).alias("hot")), "rims"
     )
-    total = open_.filter("NOT hot").agg(F.sum(F.octet_length("run"))).first()[0] or 0
-    n_parts = max(1, -(-total // PARTITION_BYTES))
-    dealt = open_.filter("NOT hot").drop("hot").withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n_parts)))
-    inner = dealt.groupBy("part").applyInArrow(_sort_partition, "h long, c long, lo long, hi long")
-    spans_ = inner.unionByName(_hot_windows(open_.filter("hot")))
-    own = spans_.join(place_of, ["h", "c"]).select(
-        F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"),
-        (F.col("first.s") + F.col("lo")).alias("lo"), (F.col("first.s") + F.col("hi") + LENGTH - 1).alias("hi"),
+    # keys of several different runs, or of one that may repeat a window, are sorted
+    rims = store(
+        groups.groupBy("h").agg(F.count("*").alias("k"), F.max("several").alias("any"), F.sum("copies").alias("n"))
+        .filter("k > 1 OR any").select("h", "n", (F.col("k") > sorted_runs).alias("hot")),
+        "rims",
     )
-    return copies.unionByName(own)
+    total = rims.filter("NOT hot").agg(F.sum("n")).first()[0] or 0
+    n_parts = max(1, -(-total * (LENGTH + RUN // 2) // PARTITION_BYTES))
+    at = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th", "s"]
+    part = F.pmod(F.xxhash64("h"), F.lit(n_parts)).alias("part")
+    cold = candidate_runs(docs, rims.filter("NOT hot").select("h"), True, broadcast_keys)
+    inner = cold.select("h", "c", "run", *at, part).groupBy("part").applyInArrow(
+        _sort_partition, "doc_id long, th long, lo long, hi long"
+    )
+    out = copies.unionByName(inner)
+    hot = rims.filter("hot").select("h")
+    if hot.isEmpty():
+        return out
+    runs_ = candidate_runs(docs, hot, True, broadcast_keys).select("h", "c", "run", F.struct(*at).alias("at"))
+    distinct = runs_.groupBy("h", "c").agg(F.min("at").alias("at"), F.first("run").alias("run"))
+    return out.unionByName(_hot_windows(distinct.select("run", "at.*")))
 
 
 def _hot_windows(hot: DataFrame) -> DataFrame:
-    """``(h, c, lo, hi)`` of windows that also start earlier, for keys with very many runs: windows
-    with equal digests are summed up to their first place before they are shuffled."""
+    """As ``marks``, of different runs whose key has very many: windows with equal digests are summed
+    up to their first place before they are shuffled."""
+    schema = pa.schema([("w", pa.binary()), ("none", pa.bool_()), ("doc", pa.int64()), ("th", pa.int64()),
+                        ("at", pa.int64())])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[] for _ in schema]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(cols, schema)], schema=schema)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for h, c, run, none, doc, th, s in zip(*(x.to_pylist() for x in batch.columns)):
+            for run, none, doc, th, s in zip(*(x.to_pylist() for x in batch.columns)):
                 for lo in range(len(run) - LENGTH + 1):
-                    rows.append((hashlib.md5(run[lo : lo + LENGTH]).digest(), h, c, none, doc, th, s + lo, lo))
+                    rows.append((hashlib.md5(run[lo : lo + LENGTH]).digest(), none, doc, th, s + lo))
                 if len(rows) > 50_000:
                     yield made(rows)
                     rows = []
             yield made(rows)
 
-    schema = pa.schema([("w", pa.binary()), ("h", pa.int64()), ("c", pa.int64()), ("none", pa.bool_()),
-                        ("doc", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("lo", pa.int64())])
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) if rows else [[] for _ in schema]
-        return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(cols, schema)], schema=schema)
-
-    exploded = hot.drop("hot").mapInArrow(
-        windows, "w binary, h long, c long, none boolean, doc long, th long, at long, lo long"
+    exploded = hot.select("run", "none", "doc", "th", "s").mapInArrow(
+        windows, "w binary, none boolean, doc long, th long, at long"
     )
     place = F.struct("none", "doc", "th", "at")
     firsts = exploded.groupBy("w").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     return (
         exploded.join(firsts.select("w", "first"), "w")
         .filter(F.col("first") != place)
-        .select("h", "c", "lo", (F.col("lo") + 1).alias("hi"))
-    )
+        .select(F.when(~F.col("none"), F.col("doc")).alias("doc_id"), "th", F.col("at").alias("lo"),
+                (F.col("at") + LENGTH).alias("hi"))
+    )
 
 
 def merged(los: list[int], his: list[int]) -> list[tuple[int, int]]:
