@@ -29,15 +29,20 @@ HEADLINE = (
     "h4_one_hot",
     "i2_j0",
     "i3_j1",
+    "i5_j3",
     "i6_j4_folds",
     "i8_j6",
     "i9_j7",
     "i10_j8",
     "i10_j8_folds",
     "i11_n1",
+    "i12_n2",
     "i14_stack_esb8",
     "j1_boosted_regression",
+    "i17_linear_chain",
+    "j8_randomised_trees",
     "j9_linear_regression",
+    "j10_linear_on_stack_pr",
     "j11_blend",
     "k1_fit_cutoffs",
     "k5_assign_by_shares",

@@ -274,6 +274,53 @@ def binary(spark, sf):
     )
 
 
+# --- from raw tables to a submission ------------------------------------------------------------
+
+CHAIN = ("f_8", "f_0", "f_5")
+
+
+def _line_sql(name: str, source: str, x: str) -> list[str]:
+    """Least squares of the target on ``x`` per fold left out, and its predictions of both sides."""
+    return [
+        f"""line_{name} AS (SELECT ff.i, regr_slope(target, {x}) AS a, regr_intercept(target, {x}) AS c
+            FROM {source} s JOIN (SELECT CAST(unnest(range(1, 6)) AS INT) AS i) ff ON s.fold <> ff.i
+            WHERE NOT is_test GROUP BY ff.i)""",
+        f"""pred_{name} AS (SELECT row_id, round(c + a * {x}, 6) AS p FROM {source} JOIN line_{name} ON i = fold
+            WHERE NOT is_test UNION ALL SELECT row_id, round(avg(c + a * {x}), 6)
+            FROM {source} CROSS JOIN line_{name} WHERE is_test GROUP BY row_id)""",
+    ]
+
+
+_CHAIN_CTES = [t for f in CHAIN for t in _line_sql(f, "b", f)] + [
+    f"""m AS (SELECT b.row_id, is_test, target, fold,
+        ({' + '.join(f'pred_{f}.p' for f in CHAIN)}) / {len(CHAIN)} AS mean
+        FROM b {' '.join(f'JOIN pred_{f} ON pred_{f}.row_id = b.row_id' for f in CHAIN)})""",
+    *_line_sql("second", "m", "mean"),
+]
+
+
+@query(
+    "i17_linear_chain",
+    over_base(
+        f"""SELECT pred_second.row_id, p AS prediction, {cutoff_sql('p', DEFAULT_CUTOFFS)} AS rating
+            FROM pred_second JOIN b ON b.row_id = pred_second.row_id WHERE is_test""",
+        *_CHAIN_CTES,
+    ),
+)
+def linear_chain(spark, sf):
+    """Base models, their stack, their mean, a second-level model on it, and ratings by cutoffs."""
+    raw = fixture.staged(spark, sf)
+    preds = {}
+    for f in CHAIN:
+        made = jobs.linear_regression(raw, [f], coefficients=False)
+        preds[f] = made.oof.select("row_id", "prediction").unionByName(made.test)
+    wide = with_fold(combine.stack(raw.select("row_id", "is_test", "target"), preds))
+    mean = combine.average_models(wide, [f"pred_{f}" for f in CHAIN])
+    level = wide.join(mean.withColumnRenamed("prediction", "mean"), "row_id")
+    out = jobs.linear_regression(level, ["mean"], coefficients=False).test
+    return out.select("row_id", "prediction", apply_cutoffs(F.col("prediction"), DEFAULT_CUTOFFS).alias("rating"))
+
+
 # --- cutoffs and blends -------------------------------------------------------------------------
 
 
