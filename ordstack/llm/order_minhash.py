@@ -31,10 +31,8 @@ def kmers(text: Column, k: int = K) -> Column:
 
     def hashed(words: Column) -> Column:
         whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-        starts = F.sequence(F.lit(1), F.size(words) - (k - 1))
-        return F.when(F.size(words) < k, whole).otherwise(
-            F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, k)))
-        )
+        every = F.transform(words, lambda w, i: F.xxhash64(w, *[F.get(words, i + d) for d in range(1, k)]))
+        return F.when(F.size(words) < k, whole).otherwise(F.slice(every, 1, F.size(words) - (k - 1)))
 
     return bound(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), hashed)
 
@@ -73,33 +71,37 @@ def signature(text: Column) -> Column:
     low = (1 << POSITION_BITS) - 1
     arc_bits = COMPONENTS.bit_length() - 1
 
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.lit(low)).cast("int")
-
-    def arc(x: Column) -> Column:  # 0 to COMPONENTS - 1, in the signed order
-        return (F.shiftright(x, 64 - arc_bits) + COMPONENTS // 2).cast("int")
+    def arc(x: Column) -> Column:  # in the signed order
+        return F.shiftright(x, 64 - arc_bits)
 
     def components(h: Column) -> Column:
         packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("bigint"))))
 
         def pick(s: Column) -> Column:
-            firsts = F.filter(
-                F.sequence(F.lit(0), F.size(s) - 1),
-                lambda t: (t == 0) | ~(arc(F.get(s, t)) == arc(F.get(s, t - 1))).eqNullSafe(True),
+            n = F.size(s)
+            changes = F.filter(
+                F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda t: arc(F.get(s, t)) != arc(F.get(s, t - 1))
             )
 
             def each(f: Column) -> Column:
-                def one(j: Column) -> Column:
-                    begin = F.coalesce(F.get(F.filter(f, lambda t: arc(F.get(s, t)) >= j), F.lit(0)), F.lit(0))
-                    chosen = F.sequence(F.lit(0), F.least(F.lit(SELECTED), F.size(s)) - 1)
-                    return bound(begin, lambda b: F.xxhash64(F.transform(
-                        F.sort_array(F.transform(chosen, lambda d: place(F.get(s, (b + d) % F.size(s))))),
-                        lambda p: F.get(h, p),
-                    )))
-
-                return F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda j: one(j))
-
-            return bound(firsts, each)
+                # where the arc of each component begins: a stretch of empty arcs begins at the next
+                # hash, and beyond the last hash comes the first
+                arcs = F.transform(f, lambda t: (arc(F.get(s, t)) + COMPONENTS // 2).cast("int"))
+                begins = bound(arcs, lambda a: F.flatten(F.concat(
+                    F.transform(f, lambda t, r: F.array_repeat(t, F.get(a, r) - F.coalesce(F.get(a, r - 1), F.lit(-1)))),
+                    F.array(F.array_repeat(F.lit(0), COMPONENTS - 1 - F.element_at(a, -1))),
+                )))
+
+                def one(begin: Column) -> Column:
+                    places = [
+                        F.get(s, (begin + d) % n).bitwiseAND(F.lit(low)).cast("int") for d in range(SELECTED)
+                    ]
+                    # back into text order; a text of fewer k-mers than that repeats them
+                    return F.xxhash64(F.transform(F.array_sort(F.array(*places)), lambda p: F.get(h, p)))
+
+                return F.transform(begins, one)
+
+            return bound(F.concat(F.array(F.lit(0)), changes), each)
 
         empty = F.transform(F.sequence(F.lit(0), F.lit(COMPONENTS - 1)), lambda j: F.xxhash64(j))
         return F.when(F.size(h) == 0, empty).otherwise(bound(packed, pick))
