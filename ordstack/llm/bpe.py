@@ -32,13 +32,13 @@ LONG = 2 * PIECE
 WINDOW = 64
 AGREE = 8
 #: Words in one generation of a worker's cache; two generations are held.
-CACHED = 250_000
+CACHED = 150_000
 #: Words encoded in one call.
 CALL = 2_000
 
 #: Characters for which lower-casing and composition are the same everywhere: printable ASCII and
 #: precomposed Latin letters, without the one whose lower case is two characters.
-_FOLDABLE = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+_FOLDABLE = "\x21-\x7e\xa1-\u012f\u0131-\u017f"
 
 Token = tuple[int, int, int]  # id, start, end
 _encoders: dict[str, "Encoder"] = {}
@@ -61,9 +61,12 @@ class Encoder:
         ]
         #: A special token between two words keeps them apart, whatever they are.
         self.mark = plain[0] if plain else None
-        self.specials = [t.content for t in added.values()]
+        special = "|".join(re.escape(t.content) for t in added.values()) or "(?!)"
+        #: Words, among lines of them, that hold a special token or a character that can't be folded.
+        self.odd = re.compile(rf"^(?:.*(?:{special}).*|.*[^{_FOLDABLE}\n].*|.{{{PIECE + 1},}})$", re.MULTILINE)
+        self.special = re.compile(special)
         self.cuts = self._cuts_at_space()
-        self.pattern = self._pattern()
+        self.pattern, self.ends = self._pattern()
         #: Ids by word and by part of a word, in two generations each.
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
@@ -91,10 +94,12 @@ class Encoder:
 
     def _pattern(self):
         """The pattern that parts words, if the tokenizer composes, folds white space and case, keeps
-        the pattern's matches and encodes each by itself; else none."""
+        the pattern's matches and encodes each by itself up to a marked end; else none. Beside it,
+        which ids end a match."""
         import regex
 
         made = json.loads(self.tokenizer.to_str())
+        suffix = made["model"].get("end_of_word_suffix")
         steps = (made["normalizer"] or {}).get("normalizers") or []
         split = (made["pre_tokenizer"] or {}).get("pretokenizers") or []
         folds = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and (
@@ -104,7 +109,12 @@ class Encoder:
             split[0]["behavior"] == "Removed" and split[0]["invert"]
             and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
         )
-        return regex.compile(split[0]["pattern"]["Regex"]) if folds and parts else None
+        if not (folds and parts and suffix):
+            return None, None
+        vocabulary = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return regex.compile(split[0]["pattern"]["Regex"]), ends
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that no generation holds."""
@@ -115,28 +125,55 @@ class Encoder:
                     young[w] = old[w]
                 else:
                     new.append(w)
-        parted, plain = [], []
-        for w in new:
-            text = w.decode("utf-8")
-            if not self.mark or len(text) > PIECE or any(s in text for s in self.specials):
-                ids = self._ids(text) if len(text) <= LONG else [t[0] for t in tree(self, text)]
+        if not new:
+            return
+        if self.mark and self.cuts:  # words hold no line feed
+            text = b"\n".join(new).decode("utf-8")
+            texts, lows = text.split("\n"), text.lower().split("\n")
+            odd = set(self.odd.findall(text)) if self.pattern else set(texts)
+        else:
+            texts = lows = [w.decode("utf-8") for w in new]
+            odd = set(texts)
+        parted, whole, plain = [], [], []
+        for w, t, low in zip(new, texts, lows):
+            if t not in odd:
+                if low.isalpha():
+                    whole.append((w, low))
+                else:
+                    parted.append((w, self.pattern.findall(low)))
+            elif not self.mark or len(t) > PIECE or self.special.search(t):
+                ids = self._ids(t) if len(t) <= LONG else [x[0] for x in tree(self, t)]
                 young[w] = np.array(ids, dtype="<u4").tobytes()
-            elif self.pattern and _FOLDABLE.fullmatch(text):
-                parted.append((w, self.pattern.findall(text.lower())))
             else:
-                plain.append((w, text))
+                plain.append((w, t))
         parts, old_parts = self.parts, self.old_parts
-        wanted = {x for _, xs in parted for x in xs if x not in parts}
+        wanted = set().union([x for _, x in whole], *[xs for _, xs in parted]) - parts.keys()
         for x in wanted & old_parts.keys():
             parts[x] = old_parts[x]
         fresh = list(wanted - old_parts.keys())
-        parts.update(zip(fresh, self._apart(fresh)))
+        parts.update(zip(fresh, self._ended(fresh)))
+        for w, x in whole:
+            young[w] = parts[x]
         for w, xs in parted:
             young[w] = b"".join([parts[x] for x in xs])
         young.update(zip([w for w, _ in plain], self._apart([t for _, t in plain])))
         if len(parts) > CACHED:
             self.old_parts, self.parts = parts, {}
 
+    def _ended(self, parts: list[str]) -> list[bytes]:
+        """Ids of each of many parts: every part gives ids up to one that ends it."""
+        out: list[bytes] = []
+        for lo in range(0, len(parts), CALL):
+            call = " ".join(parts[lo : lo + CALL])
+            ids = np.array(self.tokenizer.encode_batch_fast([call], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            data = ids.tobytes()
+            found = [data[4 * s : 4 * e] for s, e in zip([0, *ends[:-1]], ends)]
+            if len(found) != len(parts[lo : lo + CALL]):
+                raise ValueError("a part of a word was split again")
+            out += found
+        return out
+
     def _apart(self, texts: list[str]) -> list[bytes]:
         """Ids of each of many short texts, many in one call with a special token between them."""
         out: list[bytes] = []
@@ -150,7 +187,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts; none for null and empty ones."""
         split = [self.words(t) if t else [] for t in texts]
-        self.learn({w for words in split for w in words})
+        self.learn(set().union(*split))
         held = self.young
         out = [b"".join([held[w] for w in words]) for words in split]
         if len(held) > CACHED:
