@@ -20,6 +20,8 @@ WORD = f"[^{SPACE}]+"
 WORD_RE = re.compile(WORD)
 #: Bytes of text one step inside a task works on, so that memory does not follow the batch size.
 CHUNK_BYTES = 4 << 20
+#: Bytes of one Arrow batch between the JVM and a Python worker.
+BATCH_BYTES = 8 << 20
 
 _shipped: dict[str, tempfile.TemporaryDirectory] = {}  # kept while executors may still fetch it
 
@@ -27,7 +29,9 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the workers, as ``--py-files`` does, unless they can import it anyway."""
+    """Send this package to the workers, as ``--py-files`` does, unless they can import it anyway, and
+    pass texts to them in small batches: rows are long, and every task holds a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     context = spark.sparkContext

@@ -40,7 +40,7 @@ RUN = 64
 BROADCAST_KEYS = 8_000_000
 #: Different runs of one key that one partition sorts, and bytes of runs per partition.
 SORTED_RUNS = 4_096
-PARTITION_BYTES = 2_000_000
+PARTITION_BYTES = 1_000_000
 #: Bytes of text per partition when keys are counted.
 COUNT_BYTES = 32 << 20
 
