@@ -13,8 +13,10 @@ sorting small without losing any string:
   recursively, the remaining suffixes are merged in, and neighbours are compared on their LENGTH-byte
   prefixes. Equal windows are neighbours; all but the first go.
 
-A key with very many different runs (a passage that a large part of the corpus quotes) is not put into
-one partition; its windows are aggregated by content instead, before the shuffle.
+Copies of a run are summed up to its first place before its bytes are dealt out, so that a partition holds
+different runs only, however often one of them is copied. A key with very many different runs (a passage
+that a large part of the corpus quotes) is not put into one partition; its windows are aggregated by
+content instead, before the shuffle.
 """
 
 from __future__ import annotations
@@ -358,25 +360,34 @@ def marks(df: DataFrame, broadcast_keys: int = BROADCAST_KEYS, sorted_runs: int
     )
     # keys of several different runs, or of one that may repeat a window, are sorted
     rims = store(
-        groups.groupBy("h").agg(F.count("*").alias("k"), F.max("several").alias("any"), F.sum("copies").alias("n"))
-        .filter("k > 1 OR any").select("h", "n", (F.col("k") > sorted_runs).alias("hot")),
+        groups.groupBy("h").agg(F.count("*").alias("k"), F.max("several").alias("any"))
+        .filter("k > 1 OR any").select("h", "k", (F.col("k") > sorted_runs).alias("hot")),
         "rims",
     )
-    total = rims.filter("NOT hot").agg(F.sum("n")).first()[0] or 0
+    total = rims.filter("NOT hot").agg(F.sum("k")).first()[0] or 0
     n_parts = max(1, -(-total * (LENGTH + RUN // 2) // PARTITION_BYTES))
-    at = [F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th", "s"]
-    part = F.pmod(F.xxhash64("h"), F.lit(n_parts)).alias("part")
-    cold = candidate_runs(docs, rims.filter("NOT hot").select("h"), True, broadcast_keys)
-    inner = cold.select("h", "c", "run", *at, part).groupBy("part").applyInArrow(
+    part = F.pmod(F.xxhash64("h"), F.lit(n_parts))
+    different = _different_runs(docs, rims.select("h"), broadcast_keys)
+    hot = rims.filter("hot").select("h", "hot")
+    if hot.isEmpty():
+        return copies.unionByName(_sorted(different.withColumn("part", part)))
+    # few keys, for each has thousands of runs; joined after the sums, which both sides share
+    split = different.join(F.broadcast(hot), "h", "left")
+    inner = _sorted(split.filter("hot IS NULL").withColumn("part", part))
+    return copies.unionByName(inner).unionByName(_hot_windows(split.filter("hot").select("run", "at.*")))
+
+
+def _sorted(runs_: DataFrame) -> DataFrame:
+    return runs_.select("h", "c", "run", "at.*", "part").groupBy("part").applyInArrow(
         _sort_partition, "doc_id long, th long, lo long, hi long"
     )
-    out = copies.unionByName(inner)
-    hot = rims.filter("hot").select("h")
-    if hot.isEmpty():
-        return out
-    runs_ = candidate_runs(docs, hot, True, broadcast_keys).select("h", "c", "run", F.struct(*at).alias("at"))
-    distinct = runs_.groupBy("h", "c").agg(F.min("at").alias("at"), F.first("run").alias("run"))
-    return out.unionByName(_hot_windows(distinct.select("run", "at.*")))
+
+
+def _different_runs(docs: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
+    """``(h, c, at, run)``: the different runs of ``keys``, each once, at its first place."""
+    at = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th", "s")
+    every = candidate_runs(docs, keys, True, broadcast_keys).select("h", "c", "run", at.alias("at"))
+    return every.groupBy("h", "c").agg(F.min("at").alias("at"), F.first("run").alias("run"))
 
 
 def _hot_windows(hot: DataFrame) -> DataFrame:

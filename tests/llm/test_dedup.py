@@ -145,6 +145,29 @@ def test_removed_bytes(spark, passages, limits, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.dedup_digests(df).collect()), key=str) == left_over(passages)
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_keys": 0}])
+def test_copies_of_few_runs_do_not_meet_in_one_task(spark, limits, monkeypatch):
+    """Two variants of a passage and a repetitive text, each copied very often, and a row repeated as often."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(150))
+    kinds = ["left one " + passage + " and on", "right two " + passage + " so far", "xyz" * 60]
+    docs = [(i, kinds[i % 3]) for i in range(3000)] + [(-1, kinds[0])] * 1000
+    sort = suffix_dedup._sort_partition
+
+    def bounded(table):
+        if table.num_rows > 300:
+            raise ValueError(f"{table.num_rows} runs in one partition")
+        return sort(table)
+
+    marks = suffix_dedup.marks
+    monkeypatch.setattr(suffix_dedup, "_sort_partition", bounded)
+    monkeypatch.setattr(suffix_dedup, "marks", lambda df: marks(df, **limits))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    got = sorted(map(tuple, suffix_dedup.dedup_digests(df).collect()), key=str)
+    want = {row[0]: row for row in left_over(set(docs))}
+    assert got == sorted((want[i] for i, _ in docs), key=str)
+
+
 def test_suffix_query(spark):
     got = sorted(map(tuple, QUERIES["op4_suffix_array_dedup"](spark, MEDIUM).collect()), key=str)
     assert got == left_over(texts_of(spark, MEDIUM))
