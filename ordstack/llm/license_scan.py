@@ -3,10 +3,15 @@
 A document is looked at line by line and, where lines stand together, paragraph by paragraph. Two
 bigram sets of sizes m and n can't reach a coefficient t unless t / (2 - t) <= m / n <= (2 - t) / t, so
 most blocks meet no template at all; the rest are compared exactly. One pass, no shuffle.
+
+A notice inside a longer line, wrapped inside a paragraph, or over several paragraphs fills no block. So
+runs of words of the whole text are compared too: those that begin and end with a bigram of the template
+and hold enough of them for the coefficient.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import pairwise
@@ -34,6 +39,31 @@ TEMPLATES = (
             "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
             "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
             "subject to the following conditions:"),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to "
+                     "endorse or promote products derived from this software without specific prior written "
+                     "permission."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring "
+                "rights to this work."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies.\n\n"
+            "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+            "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+            "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM "
+            "LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+            "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the "
+                "MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, "
+             "and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
 LEAST = 0.8
 _WORD = re.compile(r"[a-z0-9]+")
@@ -51,17 +81,27 @@ def dice(a: frozenset, b: frozenset) -> float:
     return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
 
 
-def blocks(text: str) -> Iterator[str]:
-    """Lines, then paragraphs of several lines. Every part of the text is in one of the lines."""
-    yield from text.split("\n")
+def blocks(text: str) -> Iterator[tuple[int, list[str]]]:
+    """Number of words before, and words, of lines, then of paragraphs of several lines. Every part of the
+    text is in one of the lines."""
+    at = 0
+    for line in text.split("\n"):
+        words = _WORD.findall(line.lower())
+        yield at, words
+        at += len(words)
+    at = 0
     for paragraph in _BLANK.split(text):
+        words = _WORD.findall(paragraph.lower())
         if "\n" in paragraph.strip("\n"):
-            yield paragraph.strip("\n")
+            yield at, words
+        at += len(words)
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, least: float = LEAST):
-        self.least = least
+    """Compares blocks and, with ``places``, runs of words that no matching block touches."""
+
+    def __init__(self, templates=TEMPLATES, least: float = LEAST, places: bool = False):
+        self.least, self.places = least, places
         self.templates: list[Sized] = [(name, bigrams(text)) for name, text in templates]
         if not 0 < least <= 1 or any(not b for _, b in self.templates):
             raise ValueError("a template needs two words, and the coefficient lies in (0, 1]")
@@ -73,12 +113,21 @@ class Scanner:
             for m in range(int(ratio * n), int(n / ratio) + 2):
                 if ratio * n <= m + 1e-9 and m <= n / ratio + 1e-9:
                     self.by_size.setdefault(m, []).append(t)
+        #: Templates that hold each bigram; per template the shared bigrams a run needs, and how long it may be.
+        self.holders: dict[tuple[str, str], list[int]] = {}
+        self.needs: list[tuple[int, int]] = []
+        for i, (_, text) in enumerate(templates):
+            n = len(self.templates[i][1])
+            for pair in self.templates[i][1]:
+                self.holders.setdefault(pair, []).append(i)
+            length = len(_WORD.findall(text.lower())) - 1
+            self.needs.append((max(1, math.ceil(ratio * n - 1e-9)), int(length / ratio + 1e-9)))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int]]:
-        """(licence, best coefficient, matching blocks) of each licence found, in order of name."""
+        """(licence, best coefficient, matching blocks and places) of each licence found, in order of name."""
         found: dict[str, tuple[float, int]] = {}
-        for block in blocks(text or ""):
-            words = _WORD.findall(block.lower())
+        matched: list[tuple[int, int]] = []
+        for at, words in blocks(text or ""):
             if len(words) < 2:
                 continue
             made = frozenset(pairwise(words))
@@ -90,11 +139,60 @@ class Scanner:
             for name, score in best.items():
                 top, n = found.get(name, (0.0, 0))
                 found[name] = (max(top, score), n + 1)
+                matched.append((at, at + len(words)))
+        if self.places and text:
+            for name, score in self._places(text, matched):
+                top, n = found.get(name, (0.0, 0))
+                found[name] = (max(top, score), n + 1)
         return [(name, *found[name]) for name in sorted(found)]
 
+    def _places(self, text: str, matched: list[tuple[int, int]]) -> Iterator[tuple[str, float]]:
+        """Licence and coefficient of the best runs of words that don't overlap each other or ``matched``: of
+        licences with similar notices the nearest is told."""
+        pairs = list(pairwise(_WORD.findall(text.lower())))
+        holders = self.holders
+        hits: dict[int, list[int]] = {}
+        for i, pair in enumerate(pairs):
+            if pair in holders:
+                for t in holders[pair]:
+                    hits.setdefault(t, []).append(i)
+        runs: list[tuple[float, int, int, str]] = []
+        for t, at in hits.items():
+            need, reach = self.needs[t]
+            for j in range(len(at) - need + 1):
+                if at[j + need - 1] - at[j] < reach:
+                    score, lo, hi = self._best_run(pairs, at, j, reach, len(self.templates[t][1]))
+                    if score >= self.least:
+                        runs.append((score, lo, hi, self.templates[t][0]))
+        taken = list(matched)
+        for score, lo, hi, name in sorted(runs, key=lambda r: (-r[0], r[1] - r[2], r[1], r[3])):
+            if all(hi <= a or b <= lo for a, b in taken):
+                taken.append((lo, hi))
+                yield name, score
+
+    @staticmethod
+    def _best_run(pairs: list, at: list[int], j: int, reach: int, n: int) -> tuple[float, int, int]:
+        """Coefficient, first word and end of the best run from the j-th hit on, ``reach`` bigrams at most."""
+        start = done = at[j]
+        seen: set = set()
+        shared, best = 0, (0.0, start, start)
+        for i in range(j, len(at)):
+            if at[i] - start >= reach:
+                break
+            seen.update(pairs[done : at[i]])
+            done = at[i] + 1
+            if pairs[at[i]] not in seen:
+                shared += 1
+                seen.add(pairs[at[i]])
+            score = 2 * shared / (len(seen) + n)
+            if score > best[0]:
+                best = (score, start, at[i] + 2)
+        return best
+
 
 def scan(df: DataFrame, key: str = "doc_id", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
-    """One row per row of ``df`` and licence found: key, ``licence``, ``dice``, ``n_blocks``.
+    """One row per row of ``df`` and licence found: key, ``licence``, ``dice``, ``n_blocks`` (blocks that
+    match, and places elsewhere in the text that do).
 
     Null and empty texts have none. A null key stays null; repeated rows are reported each.
     """
@@ -102,7 +200,7 @@ def scan(df: DataFrame, key: str = "doc_id", templates=TEMPLATES, least: float =
     Scanner(templates, least)  # raises here for templates that can't be used
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, least)
+        scanner = Scanner(templates, least, places=True)
         for batch in batches:
             for lo, hi in spans(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
