@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from ordstack.llm.bpe import op9_bpe_round_trip
+from ordstack.llm.collocations import OP12_SQL, op12_collocations
+from ordstack.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from ordstack.llm.language_id import op1_language_id
 from ordstack.llm.license_scan import OP6_SQL, op6_license_scan
 from ordstack.llm.mixing import OP2_SQL, op2_mix_sources
 from ordstack.llm.order_minhash import op5_order_minhash
 from ordstack.llm.quality_rules import OP8_SQL, op8_risk_controlled_rules
+from ordstack.llm.quality_vote import op11_quality_vote
 from ordstack.llm.records import op3_binary_records
 from ordstack.llm.sharding import op7_jump_hash_shards
 from ordstack.llm.simhash import op10_simhash_near_dedup
@@ -24,10 +27,15 @@ QUERIES = {
     "op8_risk_controlled_rules": op8_risk_controlled_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_quality_vote": op11_quality_vote,
+    "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL: dict[str, str] = {
     "op2_mix_sources": OP2_SQL,
     "op6_license_scan": OP6_SQL,
     "op8_risk_controlled_rules": OP8_SQL,
+    "op12_collocations": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
