@@ -7,13 +7,15 @@ single words belong to it). If a counted phrase outside the proposal turns out f
 grows by it, and a further pass counts what the larger border adds, until nothing is frequent outside.
 The sample decides how much is counted and how often, never the result.
 
-Proposals travel as one bitmap of fixed size, a bit per hash of language and phrase. A bit that two
+Proposals travel as one bitmap of fixed size (packed, so few proposals are few bytes), a bit per hash of
+language and phrase. A bit that two
 phrases share only makes a pass count more. Phrases are counted by their text, summed per batch in the
 task, per task before the shuffle, and nothing of the corpus reaches the driver but the bitmap.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -87,6 +89,9 @@ class Bitmap:
         at = places(hashes, self.bits)
         return (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
+    def __reduce__(self):
+        return _unpacked, (self.bits, zlib.compress(self.data, 1))  # mostly zeros until it fills up
+
     def with_places(self, rows: pa.Table) -> Bitmap:
         """A copy that also holds ``rows`` (``byte``, ``set``)."""
         data = self.data.copy()
@@ -94,6 +99,10 @@ class Bitmap:
         return Bitmap(self.bits, data)
 
 
+def _unpacked(bits: int, packed: bytes) -> Bitmap:
+    return Bitmap(bits, np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
+
+
 class Counter:
     """Counts the phrases of one language in batches of tokens."""
 
@@ -253,16 +262,19 @@ def frequent_phrases(
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(sample)) == 0
     few = _count_pass(texts.filter(drawn).select("lang", "text"), None, None, size, bits)
     enough = max(1, int(least * lowered / sample))
-    bitmap, before, found = Bitmap(bits).with_places(_places(_summed(few, enough))), None, []
+    bitmap = Bitmap(bits).with_places(_places(_summed(few, enough)))
     texts = texts.select("lang", "text")
+    old, now, found = None, context.broadcast(bitmap), []
     while True:
-        now = context.broadcast(bitmap)
-        old = context.broadcast(before) if before is not None else None
         found.append(store(_summed(_count_pass(texts, now, old, size, bits), least), "phrases"))
+        if old is not None:
+            old.destroy()
         missed = _places(found[-1].filter("NOT known"))
         if not missed.num_rows:
+            now.destroy()
             break
-        before, bitmap = bitmap, bitmap.with_places(missed)
+        bitmap = bitmap.with_places(missed)
+        old, now = now, context.broadcast(bitmap)
     out = found[0]
     for f in found[1:]:
         out = out.union(f.filter("words > 0"))
