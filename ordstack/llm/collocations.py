@@ -18,8 +18,10 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,8 +43,9 @@ LOWERED = 0.5
 #: are in no border; results stay the same.
 BITMAP_BITS = 1 << 27
 #: Bytes of text counted together. A longer text is counted in several steps.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
+_ROWS = 1 << 16  # of a record batch that a task returns
 _BREAK = b"."
 #: The characters that end a piece, and A-Z, which become a-z.
 _PLAIN = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0dABCDEFGHIJKLMNOPQRSTUVWXYZ", b".........abcdefghijklmnopqrstuvwxyz")
@@ -103,142 +106,150 @@ def _unpacked(bits: int, packed: bytes) -> Bitmap:
     return Bitmap(bits, np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
 
 
+class Batch:
+    """Words of one language as numbers, gathered until there are enough to count; 0 ends a piece."""
+
+    def __init__(self):
+        self.numbers: dict[bytes, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.numbers[_BREAK]
+        self.parts: list[np.ndarray] = []
+        self.stale: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, found: list[bytes], carried: int, size: int) -> None:
+        made = np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found))
+        self.parts += [made, np.zeros(1, dtype=np.int32)]
+        self.stale.append(np.arange(len(made) + 1) < carried)
+        self.bytes += size
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, and whether a phrase may end there: repeated words of a step have been counted."""
+        return np.concatenate(self.parts), ~np.concatenate(self.stale)
+
+
+@dataclass(frozen=True)
 class Counter:
-    """Counts the phrases of one language in batches of tokens."""
-
-    def __init__(self, lang: str, bitmap: Bitmap | None, before: Bitmap | None):
-        self.lang, self.bitmap, self.before = lang, bitmap, before
-        self.seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-
-    def count(self, found: list[bytes], fresh: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """Per number of words: phrases, their counts, their hashes.
-
-        Without a bitmap all phrases. With one, those whose two shorter parts are in it; with ``before``
-        only those whose parts were not both in that. Occurrences that end in a token that is not
-        ``fresh`` are left out.
-        """
-        numbers: dict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        numbers[_BREAK]
-        word = np.fromiter(map(numbers.__getitem__, found), dtype=np.int64, count=len(found))
-        phrases = list(numbers)
-        n_words = len(phrases)
+    """Which phrases a pass counts: those whose two shorter parts are in ``bitmap`` (all, without one), but
+    for those whose parts were both in ``before``. The bitmap decides about phrases of up to ``decided``
+    words, longer ones pass. Phrases of fewer than ``first`` or more than ``last`` words are left out."""
+
+    bitmap: Bitmap | None = None
+    before: Bitmap | None = None
+    first: int = 1
+    last: int = MAX_WORDS
+    decided: int = MAX_WORDS
+
+    def _held(self, bitmap: Bitmap | None, hashes: np.ndarray, m: int) -> np.ndarray:
+        if bitmap is None or m > self.decided:
+            return np.ones(len(hashes), dtype=bool)
+        return bitmap.holds(hashes)
+
+    def count(self, lang: str, batch: Batch) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """Per number of words: phrases, their counts, their hashes."""
+        word, fresh = batch.words()
+        phrases = list(batch.numbers)
+        seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
         digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(p, self.seed) for p in phrases], dtype=np.uint64)
-        word_hashes, tails = hashes, [b" " + p for p in phrases]
+        by_word = np.array([digest(p, seed) for p in phrases], dtype=np.uint64)
+        counts = np.bincount(word[(word > 0) & fresh], minlength=len(phrases))
+        if self.first == 1 and self.before is None:
+            kept = np.flatnonzero(counts)
+            yield 1, [phrases[i] for i in kept.tolist()], counts[kept], by_word[kept]
         at = np.flatnonzero(word)  # where phrases start
-        ids = word[at]  # their numbers
-        last = at
-        counts = np.bincount(ids[fresh[last]], minlength=n_words)
-        if self.before is None:
-            yield self._kept(1, phrases, counts, hashes)
-        for m in range(2, MAX_WORDS + 1):
-            inside, old = self._held(self.bitmap, hashes), self._held(self.before, hashes)
+        hashes = by_word[word[at]]
+        tails = [b" " + p for p in phrases]
+        for m in range(2, self.last + 1):
+            if m == 2:
+                inside, old = (self._held(b, by_word, 1)[word[at]] for b in (self.bitmap, self.before))
+            else:
+                inside, old = (self._held(b, hashes, m - 1) for b in (self.bitmap, self.before))
             # a phrase of m words starts where one of m - 1 words starts, and another one word later
-            goes_on = np.flatnonzero(at[1:] == at[:-1] + 1)
-            left, right = ids[goes_on], ids[goes_on + 1]
-            both = inside[left] & inside[right]
-            goes_on, left = goes_on[both], left[both]
-            seen = old[left] & old[right[both]]
-            at = at[goes_on]
+            goes_on = np.flatnonzero((at[1:] == at[:-1] + 1) & inside[1:] & inside[:-1])
+            wanted = ~(old[goes_on] & old[goes_on + 1]) if self.before else np.ones(len(goes_on), dtype=bool)
+            at, hashes = at[goes_on], hashes[goes_on]
             if not len(at):
                 return
-            end = word[at + m - 1]
-            keys, first, ids = np.unique(left * n_words + end, return_index=True, return_inverse=True)
-            counts = np.bincount(ids[fresh[at + m - 1]], minlength=len(keys))
-            head, tail = keys // n_words, keys % n_words
-            hashes = _mixed(hashes[head] * _MIX[0] + word_hashes[tail] + np.uint64(m))
-            phrases = [phrases[h] + tails[t] for h, t in zip(head.tolist(), tail.tolist())]
-            if self.before is not None:
-                counts = np.where(seen[first], 0, counts)
-            yield self._kept(m, phrases, counts, hashes)
-
-    @staticmethod
-    def _held(bitmap: Bitmap | None, hashes: np.ndarray) -> np.ndarray:
-        return bitmap.holds(hashes) if bitmap else np.ones(len(hashes), dtype=bool)
-
-    @staticmethod
-    def _kept(m: int, phrases: list[bytes], counts: np.ndarray, hashes: np.ndarray) -> tuple:
-        keep = np.flatnonzero(counts)
-        return m, [phrases[i] for i in keep.tolist()], counts[keep], hashes[keep]
-
-
-_COUNTED = "lang string, words int, phrase string, n long, place long, known boolean"
-
-
-def _count_pass(docs: DataFrame, bitmap, before, size: int, bits: int) -> DataFrame:
-    """Rows ``_COUNTED`` of ``docs`` (``lang``, ``text``), summed per batch. A row of no words holds the
-    number of words of a language. ``known``: whether the phrase's own bit is set."""
-
-    def batch_rows(lang: str, found: list[bytes], fresh: np.ndarray) -> Iterator[pa.RecordBatch]:
-        held, old = (b.value if b is not None else None for b in (bitmap, before))
-        total = 0
-        for m, phrases, counts, hashes in Counter(lang, held, old).count(found, fresh):
-            if m == 1:
-                total = int(counts.sum())
-            known = held.holds(hashes) if held else np.zeros(len(hashes), dtype=bool)
-            yield _batch(lang, m, phrases, counts, places(hashes, bits), known)
-        if total:
-            yield _batch(lang, 0, [b""], np.array([total]), np.zeros(1, dtype=np.int64), np.ones(1, dtype=bool))
+            hashes = _mixed(hashes * _MIX[0] + by_word[word[at + m - 1]] + np.uint64(m))
+            if m < self.first:
+                continue
+            chosen = np.flatnonzero(wanted & fresh[at + m - 1])
+            if len(chosen):
+                starts, counts, found = _distinct(word, at[chosen], hashes[chosen], m)
+                heads = map(phrases.__getitem__, word[starts].tolist())
+                rest = [map(tails.__getitem__, word[starts + j].tolist()) for j in range(1, m)]
+                yield m, [b"".join(x) for x in zip(heads, *rest)], counts, found
+
+
+def _distinct(word: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
+    """Of phrases of ``m`` words that start ``at``: one start each, how often it occurs, its hash. Equal
+    hashes are checked word by word; should two phrases share one, phrases are told apart by their words."""
+    codes, _ = pd.factorize(hashes)
+    n = int(codes.max()) + 1
+    first = np.empty(n, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(at))[::-1]
+    same = all((word[at + j] == word[at[first][codes] + j]).all() for j in range(m))
+    if not same:
+        rows = np.stack([word[at + j] for j in range(m)], axis=1)
+        _, first, codes = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        codes, n = codes.ravel(), len(first)
+    return at[first], np.bincount(codes, minlength=n), hashes[first]
+
+
+_COUNTED = "lang string, phrase string, n long, mark long"
+
+
+def _count_pass(docs: DataFrame, counter: dict, size: int, bits: int) -> DataFrame:
+    """Rows ``_COUNTED`` of ``docs`` (``lang``, ``text``), summed per batch. The empty phrase holds the number
+    of words of a language. ``mark`` is twice the phrase's place, and one more if its bit is set.
+    ``counter`` holds the fields of a ``Counter``, bitmaps as broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list[bytes]] = {}
-        stale: dict[str, list[int]] = {}
-        sizes: dict[str, int] = {}
+        given = {k: getattr(v, "value", v) for k, v in counter.items()}
+        rules, held = Counter(**given), {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            fresh = np.ones(len(found[lang]), dtype=bool)
-            fresh[np.array(stale.pop(lang), dtype=np.int64)] = False
-            sizes.pop(lang)
-            yield from batch_rows(lang, found.pop(lang), fresh)
+            for m, phrases, counts, hashes in rules.count(lang, held.pop(lang)):
+                known = rules.bitmap.holds(hashes) if rules.bitmap else np.zeros(len(hashes), dtype=bool)
+                marks = places(hashes, bits) * 2 + known
+                for lo in range(0, len(phrases), _ROWS):
+                    at = slice(lo, lo + _ROWS)
+                    yield _rows(lang, phrases[at], counts[at], marks[at])
+                if m == 1:
+                    yield _rows(lang, [b""], counts.sum(keepdims=True), np.ones(1, dtype=np.int64))
 
         for batch in batches:
-            langs = batch.column(0).to_pylist()
-            for lang, text in zip(langs, batch.column(1).cast(pa.binary())):
-                data = text.as_buffer()
-                for made, carried in steps(data.to_pybytes() if data else b"", size):
-                    into = found.setdefault(lang, [])
-                    stale.setdefault(lang, []).extend(range(len(into), len(into) + carried))
-                    into += made
-                    into.append(_BREAK)
-                    sizes[lang] = sizes.get(lang, 0) + min(len(data or b""), size)
-                    if sizes[lang] >= size:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                buffer = text.as_buffer()
+                for made, carried in steps(buffer.to_pybytes() if buffer else b"", size):
+                    held.setdefault(lang, Batch()).add(made, carried, min(len(buffer or b""), size))
+                    if held[lang].bytes >= size:
                         yield from flush(lang)
-                    elif sum(sizes.values()) >= 2 * size:
-                        yield from flush(max(sizes, key=sizes.get))
-        for lang in list(found):
+                    elif sum(b.bytes for b in held.values()) >= 2 * size:
+                        yield from flush(max(held, key=lambda x: held[x].bytes))
+        for lang in list(held):
             yield from flush(lang)
 
     return docs.mapInArrow(run, _COUNTED)
 
 
-def _batch(lang: str, m: int, phrases: list[bytes], counts, at, known) -> pa.RecordBatch:
-    n = len(phrases)
-    arrays = [
-        pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, dtype=np.int32)), pa.array([lang])).dictionary_decode(),
-        pa.array(np.full(n, m, dtype=np.int32)),
-        pa.array(phrases, pa.binary()).cast(pa.string()),
-        pa.array(np.asarray(counts, dtype=np.int64)),
-        pa.array(at),
-        pa.array(known),
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "words", "phrase", "n", "place", "known"])
+def _rows(lang: str, phrases: list[bytes], counts: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), dtype=np.int32)), pa.array([lang]))
+    texts = pa.array(phrases, pa.binary()).cast(pa.string())
+    arrays = [langs.dictionary_decode(), texts, pa.array(counts.astype(np.int64)), pa.array(marks)]
+    return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n", "mark"])
 
 
 def _summed(counted: DataFrame, least: int) -> DataFrame:
-    """Phrases that reach ``least``, and the rows of no words."""
-    return (
-        counted.groupBy("lang", "phrase")
-        .agg(F.max("words").alias("words"), F.sum("n").alias("n"), F.max("place").alias("place"),
-             F.max("known").alias("known"))
-        .filter((F.col("n") >= least) | (F.col("words") == 0))
-    )
+    """Phrases that reach ``least``, and the number of words per language."""
+    sums = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    return sums.filter((F.col("n") >= least) | (F.col("phrase") == ""))
 
 
 def _places(phrases: DataFrame) -> pa.Table:
     """Bytes of the bitmap that the phrases set: at most BITMAP_BITS / 8 rows."""
-    bit = F.expr("shiftleft(1, CAST(place % 8 AS INT))")
-    rows = phrases.filter("words > 0").groupBy(F.expr("place div 8").alias("byte"))
+    bit = F.expr("shiftleft(1, CAST(mark div 2 % 8 AS INT))")
+    rows = phrases.filter("phrase <> ''").groupBy(F.expr("mark div 16").alias("byte"))
     return rows.agg(F.bit_or(bit).cast("int").alias("set")).toArrow()
 
 
@@ -260,16 +271,22 @@ def frequent_phrases(
     lang = F.coalesce(F.col("lang"), F.lit(UNKNOWN)).alias("lang")
     texts = columns(docs, "doc_id", "text", "lang").select(lang, F.coalesce("text", F.lit("")).alias("text"), "doc_id")
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(sample)) == 0
-    few = _count_pass(texts.filter(drawn).select("lang", "text"), None, None, size, bits)
+    few, texts = texts.filter(drawn).select("lang", "text"), texts.select("lang", "text")
     enough = max(1, int(least * lowered / sample))
-    bitmap = Bitmap(bits).with_places(_places(_summed(few, enough)))
-    texts = texts.select("lang", "text")
+    # the sample proposes words and pairs, then longer phrases that are made of proposed pairs
+    pairs = _places(_summed(_count_pass(few, {"last": 2}, size, bits), enough))
+    bitmap = Bitmap(bits).with_places(pairs)
+    start = context.broadcast(bitmap)
+    longer = _count_pass(few, {"bitmap": start, "first": 3, "decided": 2}, size, bits)
+    bitmap = bitmap.with_places(_places(_summed(longer, enough)))
+    start.destroy()
     old, now, found = None, context.broadcast(bitmap), []
     while True:
-        found.append(store(_summed(_count_pass(texts, now, old, size, bits), least), "phrases"))
+        counted = _count_pass(texts, {"bitmap": now, "before": old}, size, bits)
+        found.append(store(_summed(counted, least), "phrases"))
         if old is not None:
             old.destroy()
-        missed = _places(found[-1].filter("NOT known"))
+        missed = _places(found[-1].filter("mark % 2 = 0"))
         if not missed.num_rows:
             now.destroy()
             break
@@ -277,8 +294,9 @@ def frequent_phrases(
         old, now = now, context.broadcast(bitmap)
     out = found[0]
     for f in found[1:]:
-        out = out.union(f.filter("words > 0"))
-    return out.select("lang", "phrase", "words", "n")
+        out = out.union(f)
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return out.select("lang", "phrase", words.alias("words"), "n")
 
 
 def _key(*parts: Column | str) -> Column:
