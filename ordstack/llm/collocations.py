@@ -1,16 +1,17 @@
 """Collocations by Toivonen's sampling: frequent phrases found in a sample, counted exactly in all texts.
 
 A phrase of two or more words can only be frequent if it is so without its first and without its last
-word. A sample proposes phrases at a lowered threshold. One full pass then counts the proposed phrases
-and their negative border: every phrase that occurs and whose two shorter parts are both proposed (all
-single words belong to it). If a counted phrase outside the proposal turns out frequent, the proposal
-grows by it, and a further pass counts what the larger border adds, until nothing is frequent outside.
-The sample decides how much is counted and how often, never the result.
-
-Proposals travel as one bitmap of fixed size (packed, so few proposals are few bytes), a bit per hash of
-language and phrase. A bit that two
-phrases share only makes a pass count more. Phrases are counted by their text, summed per batch in the
-task, per task before the shuffle, and nothing of the corpus reaches the driver but the bitmap.
+word. A sample proposes phrases at a lowered threshold. A full pass then counts the proposed phrases and
+their negative border: every phrase that occurs and whose two shorter parts are both proposed (all single
+words belong to it). Border phrases that turn out frequent are the sample's failures; the closing pass
+follows them up: it counts the phrases they are part of, and the phrases those are part of, at once. A
+frequent phrase has only frequent parts, so after that pass nothing frequent is left uncounted. The sample
+decides how much is counted, never the result.
+
+The first full pass counts by a hash of language and phrase, so short rows are shuffled, not texts. What
+reaches the threshold there includes every frequent phrase of its kind; the closing pass counts these by
+their text, which is exact whatever hashes collide. Sets of phrases travel as bitmaps of fixed size (packed,
+so few phrases are few bytes); a bit that two phrases share only makes a pass count more.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -78,7 +80,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes % np.uint64(bits)).astype(np.int64)
+    """Bits of hashes in a bitmap; ``bits`` is a power of two."""
+    return (hashes & np.uint64(bits - 1)).astype(np.int64)
 
 
 class Bitmap:
@@ -95,6 +98,9 @@ class Bitmap:
     def __reduce__(self):
         return _unpacked, (self.bits, zlib.compress(self.data, 1))  # mostly zeros until it fills up
 
+    def with_all(self, other: Bitmap) -> Bitmap:
+        return Bitmap(self.bits, self.data | other.data)
+
     def with_places(self, rows: pa.Table) -> Bitmap:
         """A copy that also holds ``rows`` (``byte``, ``set``)."""
         data = self.data.copy()
@@ -123,6 +129,11 @@ class Batch:
         self.stale.append(np.arange(len(made) + 1) < carried)
         self.bytes += size
 
+    @cached_property
+    def names(self) -> list[bytes]:
+        """Words by their numbers, once all are in."""
+        return list(self.numbers)
+
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers, and whether a phrase may end there: repeated words of a step have been counted."""
         return np.concatenate(self.parts), ~np.concatenate(self.stale)
@@ -130,55 +141,57 @@ class Batch:
 
 @dataclass(frozen=True)
 class Counter:
-    """Which phrases a pass counts: those whose two shorter parts are in ``bitmap`` (all, without one), but
-    for those whose parts were both in ``before``. The bitmap decides about phrases of up to ``decided``
-    words, longer ones pass. Phrases of fewer than ``first`` or more than ``last`` words are left out."""
+    """Which phrases a pass counts.
+
+    Without ``likely``: those whose two shorter parts are in ``proposed`` (all, without one). The bitmap
+    decides about parts of up to ``decided`` words, longer parts pass. Phrases of fewer than ``first`` or
+    more than ``last`` words are left out. With ``likely``, the phrases that reached the threshold in such a
+    pass: those, and every phrase that pass has not counted and whose parts are in ``likely`` or themselves
+    not counted by it.
+    """
 
-    bitmap: Bitmap | None = None
-    before: Bitmap | None = None
+    proposed: Bitmap | None = None
+    likely: Bitmap | None = None
     first: int = 1
     last: int = MAX_WORDS
     decided: int = MAX_WORDS
 
-    def _held(self, bitmap: Bitmap | None, hashes: np.ndarray, m: int) -> np.ndarray:
-        if bitmap is None or m > self.decided:
-            return np.ones(len(hashes), dtype=bool)
-        return bitmap.holds(hashes)
-
-    def count(self, lang: str, batch: Batch) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
-        """Per number of words: phrases, their counts, their hashes."""
+    def count(self, lang: str, batch: Batch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per number of words: the batch's words, and of different phrases where one starts, how often it
+        occurs, its hash."""
         word, fresh = batch.words()
-        phrases = list(batch.numbers)
         seed = xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"))
-        digest = xxhash.xxh64_intdigest
-        by_word = np.array([digest(p, seed) for p in phrases], dtype=np.uint64)
-        counts = np.bincount(word[(word > 0) & fresh], minlength=len(phrases))
-        if self.first == 1 and self.before is None:
-            kept = np.flatnonzero(counts)
-            yield 1, [phrases[i] for i in kept.tolist()], counts[kept], by_word[kept]
+        by_word = np.array([xxhash.xxh64_intdigest(p, seed) for p in batch.numbers], dtype=np.uint64)
         at = np.flatnonzero(word)  # where phrases start
         hashes = by_word[word[at]]
-        tails = [b" " + p for p in phrases]
-        for m in range(2, self.last + 1):
-            if m == 2:
-                inside, old = (self._held(b, by_word, 1)[word[at]] for b in (self.bitmap, self.before))
-            else:
-                inside, old = (self._held(b, hashes, m - 1) for b in (self.bitmap, self.before))
-            # a phrase of m words starts where one of m - 1 words starts, and another one word later
-            goes_on = np.flatnonzero((at[1:] == at[:-1] + 1) & inside[1:] & inside[:-1])
-            wanted = ~(old[goes_on] & old[goes_on + 1]) if self.before else np.ones(len(goes_on), dtype=bool)
-            at, hashes = at[goes_on], hashes[goes_on]
+        counted = np.ones(len(at), dtype=bool)  # by the first full pass
+        chosen = self._chosen(hashes, counted)
+        for m in range(1, self.last + 1):
+            if m > 1:
+                # a phrase of m words starts where one of m - 1 words starts, and another one word later
+                inside, held = self._inside(hashes, counted, chosen, m - 1)
+                goes_on = np.flatnonzero((at[1:] == at[:-1] + 1) & inside[1:] & inside[:-1])
+                counted = held[goes_on] & held[goes_on + 1]
+                at = at[goes_on]
+                hashes = _mixed(hashes[goes_on] * _MIX[0] + by_word[word[at + m - 1]] + np.uint64(m))
+                chosen = self._chosen(hashes, counted)
             if not len(at):
                 return
-            hashes = _mixed(hashes * _MIX[0] + by_word[word[at + m - 1]] + np.uint64(m))
-            if m < self.first:
-                continue
-            chosen = np.flatnonzero(wanted & fresh[at + m - 1])
-            if len(chosen):
-                starts, counts, found = _distinct(word, at[chosen], hashes[chosen], m)
-                heads = map(phrases.__getitem__, word[starts].tolist())
-                rest = [map(tails.__getitem__, word[starts + j].tolist()) for j in range(1, m)]
-                yield m, [b"".join(x) for x in zip(heads, *rest)], counts, found
+            wanted = np.flatnonzero(chosen & fresh[at + m - 1])
+            if m >= self.first and len(wanted):
+                yield m, word, *_distinct(word, at[wanted], hashes[wanted], m)
+
+    def _chosen(self, hashes: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        return np.ones(len(hashes), dtype=bool) if self.likely is None else self.likely.holds(hashes) | ~counted
+
+    def _inside(
+        self, hashes: np.ndarray, counted: np.ndarray, chosen: np.ndarray, m: int
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases of ``m`` words longer ones may be made of, in this and in the first full pass."""
+        if self.proposed is None or m > self.decided:
+            return np.ones(len(hashes), dtype=bool), counted
+        held = self.proposed.holds(hashes) & counted
+        return (held, held) if self.likely is None else (chosen, held)
 
 
 def _distinct(word: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> tuple[np.ndarray, ...]:
@@ -196,27 +209,28 @@ def _distinct(word: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> t
     return at[first], np.bincount(codes, minlength=n), hashes[first]
 
 
-_COUNTED = "lang string, phrase string, n long, mark long"
-
-
-def _count_pass(docs: DataFrame, counter: dict, size: int, bits: int) -> DataFrame:
-    """Rows ``_COUNTED`` of ``docs`` (``lang``, ``text``), summed per batch. The empty phrase holds the number
-    of words of a language. ``mark`` is twice the phrase's place, and one more if its bit is set.
-    ``counter`` holds the fields of a ``Counter``, bitmaps as broadcasts."""
+def _counted(docs: DataFrame, rules: dict, size: int, by_text: bool) -> DataFrame:
+    """Counts of ``docs`` (``lang``, ``text``), summed per batch: ``(hash, n)``, or by text ``(lang, phrase,
+    n)``, with the number of words of a language under the empty phrase. ``rules`` holds the fields of a
+    ``Counter``, bitmaps as broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = {k: getattr(v, "value", v) for k, v in counter.items()}
-        rules, held = Counter(**given), {}
+        counter = Counter(**{k: getattr(v, "value", v) for k, v in rules.items()})
+        held: dict[str, Batch] = {}
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            for m, phrases, counts, hashes in rules.count(lang, held.pop(lang)):
-                known = rules.bitmap.holds(hashes) if rules.bitmap else np.zeros(len(hashes), dtype=bool)
-                marks = places(hashes, bits) * 2 + known
-                for lo in range(0, len(phrases), _ROWS):
+            batch = held.pop(lang)
+            for m, word, starts, counts, hashes in counter.count(lang, batch):
+                for lo in range(0, len(starts), _ROWS):
                     at = slice(lo, lo + _ROWS)
-                    yield _rows(lang, phrases[at], counts[at], marks[at])
-                if m == 1:
-                    yield _rows(lang, [b""], counts.sum(keepdims=True), np.ones(1, dtype=np.int64))
+                    if by_text:
+                        yield _texts(lang, _phrases(batch, word, starts[at], m), counts[at])
+                    else:
+                        made = [pa.array(hashes[at].view(np.int64)), pa.array(counts[at])]
+                        yield pa.RecordBatch.from_arrays(made, names=["hash", "n"])
+            if by_text:
+                word, fresh = batch.words()
+                yield _texts(lang, [b""], np.array([np.count_nonzero((word > 0) & fresh)]))
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -230,27 +244,30 @@ def _count_pass(docs: DataFrame, counter: dict, size: int, bits: int) -> DataFra
         for lang in list(held):
             yield from flush(lang)
 
-    return docs.mapInArrow(run, _COUNTED)
+    return docs.mapInArrow(run, "lang string, phrase string, n long" if by_text else "hash long, n long")
 
 
-def _rows(lang: str, phrases: list[bytes], counts: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
-    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), dtype=np.int32)), pa.array([lang]))
-    texts = pa.array(phrases, pa.binary()).cast(pa.string())
-    arrays = [langs.dictionary_decode(), texts, pa.array(counts.astype(np.int64)), pa.array(marks)]
-    return pa.RecordBatch.from_arrays(arrays, names=["lang", "phrase", "n", "mark"])
+def _phrases(batch: Batch, word: np.ndarray, starts: np.ndarray, m: int) -> list[bytes]:
+    """Texts of the phrases of ``m`` words at ``starts``."""
+    names = batch.names
+    return [b" ".join(x) for x in zip(*[map(names.__getitem__, word[starts + j].tolist()) for j in range(m)])]
 
 
-def _summed(counted: DataFrame, least: int) -> DataFrame:
-    """Phrases that reach ``least``, and the number of words per language."""
-    sums = counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
-    return sums.filter((F.col("n") >= least) | (F.col("phrase") == ""))
+def _texts(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(phrases), dtype=np.int32)), pa.array([lang]))
+    texts = pa.array(phrases, pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays(
+        [langs.dictionary_decode(), texts, pa.array(counts.astype(np.int64))], names=["lang", "phrase", "n"]
+    )
 
 
-def _places(phrases: DataFrame) -> pa.Table:
-    """Bytes of the bitmap that the phrases set: at most BITMAP_BITS / 8 rows."""
-    bit = F.expr("shiftleft(1, CAST(mark div 2 % 8 AS INT))")
-    rows = phrases.filter("phrase <> ''").groupBy(F.expr("mark div 16").alias("byte"))
-    return rows.agg(F.bit_or(bit).cast("int").alias("set")).toArrow()
+def _bitmap(counted: DataFrame, least: int, bits: int) -> Bitmap:
+    """The phrases that reach ``least``. At most ``bits / 8`` rows come to the driver."""
+    kept = counted.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    place = kept.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("place"))
+    set_ = F.bit_or(F.expr("shiftleft(1, CAST(place % 8 AS INT))")).cast("int").alias("set")
+    rows = place.groupBy(F.expr("place div 8").alias("byte")).agg(set_)
+    return Bitmap(bits).with_places(rows.toArrow())
 
 
 def frequent_phrases(
@@ -274,29 +291,19 @@ def frequent_phrases(
     few, texts = texts.filter(drawn).select("lang", "text"), texts.select("lang", "text")
     enough = max(1, int(least * lowered / sample))
     # the sample proposes words and pairs, then longer phrases that are made of proposed pairs
-    pairs = _places(_summed(_count_pass(few, {"last": 2}, size, bits), enough))
-    bitmap = Bitmap(bits).with_places(pairs)
-    start = context.broadcast(bitmap)
-    longer = _count_pass(few, {"bitmap": start, "first": 3, "decided": 2}, size, bits)
-    bitmap = bitmap.with_places(_places(_summed(longer, enough)))
-    start.destroy()
-    old, now, found = None, context.broadcast(bitmap), []
-    while True:
-        counted = _count_pass(texts, {"bitmap": now, "before": old}, size, bits)
-        found.append(store(_summed(counted, least), "phrases"))
-        if old is not None:
-            old.destroy()
-        missed = _places(found[-1].filter("mark % 2 = 0"))
-        if not missed.num_rows:
-            now.destroy()
-            break
-        bitmap = bitmap.with_places(missed)
-        old, now = now, context.broadcast(bitmap)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    pairs = _bitmap(_counted(few, {"last": 2}, size, False), enough, bits)
+    start = context.broadcast(pairs)
+    longer = {"proposed": start, "first": 3, "decided": 2}
+    proposed = context.broadcast(pairs.with_all(_bitmap(_counted(few, longer, size, False), enough, bits)))
+    likely = context.broadcast(_bitmap(_counted(texts, {"proposed": proposed}, size, False), least, bits))
+    closing = _counted(texts, {"proposed": proposed, "likely": likely}, size, True)
+    sums = closing.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return out.select("lang", "phrase", words.alias("words"), "n")
+    kept = sums.filter((F.col("n") >= least) | (F.col("phrase") == ""))
+    out = store(kept.select("lang", "phrase", words.alias("words"), "n"), "phrases")
+    for b in (start, proposed, likely):
+        b.destroy()
+    return out
 
 
 def _key(*parts: Column | str) -> Column:
