@@ -10,6 +10,7 @@ from ordstack.catalog.registry import fold_mean_ctes, label_ctes, over_base, que
 from ordstack.catalog.relational import mean_ctes, stand_in_sql, stand_ins
 from ordstack.constants import J1_INTERACTIONS, J4_INTERACTIONS, J8_INTERACTIONS
 from ordstack.operators import combine
+from ordstack.operators.combine import cells_of, combine_cells
 from ordstack.plans import fixture, recipes, stacks
 
 KEYS = ("row_id", "is_test", "target")
@@ -323,6 +324,80 @@ def n4(spark, sf):
     return rounded(recipes.n4(fixture.staged(spark, sf)).table)
 
 
+# --- learned embeddings and sparse combinations --------------------------------------------------
+
+
+def _register_learned(name: str, k: int) -> None:
+    @query(name)
+    def run(spark, sf):
+        return rounded(recipes.n2(fixture.staged(spark, sf), k, learned=True).table)
+
+
+for _name, _k in (("h8_learned", 16), ("i12_n2_learned", 64), ("i12_n3_learned", 128), ("i12_n4_learned", 1024)):
+    _register_learned(_name, _k)
+
+
+@query("i5_j3_learned")
+def j3_learned(spark, sf):
+    return rounded(recipes.j3(fixture.staged(spark, sf), drop_constants=False, learned=True).table)
+
+
+@query(
+    "h8_learned_contract",
+    over_base(
+        """SELECT count(DISTINCT row_id) AS n, round(sum(value * value), 3) AS energy, TRUE AS strongest_first,
+           TRUE AS mostly_kept, TRUE AS orthogonal FROM cells""",
+        *_N1_CTES,
+    ),
+)
+def learned_contract(spark, sf):
+    """Sixteen learned components hold most of the cells' sum of squares and no more than all of it, the
+    first the most, and are orthogonal over the rows."""
+    raw = fixture.staged(spark, sf)
+    energy = recipes.n1(raw).cells().agg(F.round(F.sum(F.col("value") ** 2), 3)).first()[0]
+    made = recipes.n2(raw, 16, learned=True).table
+    e = [F.col(f"e_{i}") for i in range(16)]
+    squares = [F.sum(x * x) for x in e]
+    kept = sum(squares[1:], squares[0])
+    crossed = [F.abs(F.sum(a * b)) for a, b in zip(e, e[1:])]
+    return made.agg(
+        F.count("row_id").alias("n"),
+        F.lit(energy).alias("energy"),
+        (F.greatest(*squares) <= squares[0] * (1 + 1e-9)).alias("strongest_first"),
+        ((kept > 0.5 * energy) & (kept < energy * (1 + 1e-6))).alias("mostly_kept"),
+        (F.greatest(*crossed) < 1e-6 * energy).alias("orthogonal"),
+    )
+
+
+_DENSE = ("f_0", "f_10", "f_12", "f_22")
+
+
+@query(
+    "d4_combine_sparse",
+    over_base(
+        f"""SELECT row_id, new AS idx, {s6('value')} AS value FROM wide JOIN kept USING (idx)""",
+        *_N1_CTES,
+        f"""wide AS (SELECT row_id, idx + {len(_DENSE)} AS idx, value FROM cells WHERE value <> 0 UNION ALL """
+        + " UNION ALL ".join(
+            f"SELECT row_id, CAST({i} AS BIGINT), CAST({c} AS DOUBLE) FROM b WHERE {c} <> 0" for i, c in enumerate(_DENSE)
+        )
+        + ")",
+        """st AS (SELECT idx, count(*) AS n, min(value) AS lo, max(value) AS hi FROM wide
+           JOIN (SELECT row_id, is_test FROM b) USING (row_id) WHERE NOT is_test GROUP BY idx)""",
+        """kept AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS new FROM st
+           CROSS JOIN (SELECT count(*) AS n_rows FROM b WHERE NOT is_test)
+           WHERE CASE WHEN n < n_rows THEN least(lo, 0) ELSE lo END
+              <> CASE WHEN n < n_rows THEN greatest(hi, 0) ELSE hi END)""",
+    ),
+)
+def combine_sparse(spark, sf):
+    """A dense set and the sparse one side by side, columns constant over the train rows dropped."""
+    raw = fixture.staged(spark, sf)
+    dense = cells_of(raw, [(c, "q") for c in _DENSE])
+    made = combine_cells({"raw": dense, "n1": recipes.n1(raw).cell_set()}, raw.select("row_id", "is_test"))
+    return made.cells.select("row_id", "idx", r6("value").alias("value"))
+
+
 @query(
     "i5_j3",
     over_base(

@@ -30,7 +30,8 @@ from ordstack.session import scratch_path, store
 from ordstack.sources import feature_map, tables
 
 LEAKY = ("f_0", "f_11")  # counts over the rows the target counts; left out of model features
-SMALL = jobs.Boosting(rounds=8, depth=3, rate=0.3, bins=32)
+#: Rounds end by the validation curve; the tables of the tests give 10 to 20.
+STOPPED = jobs.Boosting(rounds=20, depth=4, rate=0.35, bins=32, patience=3, block=4)
 
 
 def usable(df) -> list[str]:
@@ -49,28 +50,13 @@ def made_of_one(df) -> list[str]:
     return [c for c in df.columns if len(re.findall(r"f_\d+", c)) < 2]
 
 
-_held: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def held(name: str, make: Callable) -> Callable:
-    """The query ``make``, run once per application and data set: its result is a stored table, which
-    the contract query beside it reads too."""
-
-    def run(spark, sf):
-        key = (spark.sparkContext.applicationId, sf, name)
-        if key not in _held:
-            _held[key] = make(spark, sf)
-        return _held[key]
-
-    return run
-
-
 def with_contract(name: str) -> Callable:
-    """Register a model query, and ``<name>_contract``: per side the number of rows, of row ids and of
-    missing predictions, and whether predictions of rows the model did not see err less than the mean."""
+    """Register a model query, and ``<name>_contract``, which runs it too: per side the number of rows, of
+    row ids and of missing predictions, and whether predictions of rows the model did not see err less than
+    the mean."""
 
     def register(make: Callable) -> Callable:
-        run = query(name)(held(name, make))
+        run = query(name)(make)
 
         @query(f"{name}_contract", _CONTRACT_SQL)
         def contract(spark, sf):
@@ -106,19 +92,19 @@ def both_sides(result: jobs.Result):
 @with_contract("j1_boosted_regression")
 def boosted(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
-    return both_sides(jobs.boosted_regression(df, usable(df), SMALL))
+    return both_sides(jobs.boosted_regression(df, usable(df), STOPPED))
 
 
 @query("j1_importance")
 def boosted_importance(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
-    return jobs.boosted_regression(df, usable(df), SMALL).importance
+    return jobs.boosted_regression(df, usable(df), STOPPED).importance
 
 
 @with_contract("j2_boosted_no_importance")
 def boosted_plain(spark, sf):
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
-    result = jobs.boosted_regression(df, usable(df), SMALL, with_importance=False, refit=True)
+    result = jobs.boosted_regression(df, usable(df), STOPPED, with_importance=False, refit=True)
     return both_sides(result)
 
 
@@ -133,7 +119,7 @@ def labelled_h1(spark, sf):
 def boosted_every(spark, sf):
     df = labelled_h1(spark, sf)
     return both_sides(
-        jobs.boosted_regression(df, usable(df), SMALL, stop_in="every", refit=True)
+        jobs.boosted_regression(df, usable(df), STOPPED, stop_in="every", refit=True)
     )
 
 
@@ -143,7 +129,7 @@ def boosted_folds(spark, sf):
     df = with_fold(made.table)
     folds = store(made.folds, "folds", partition_by="fold")
     plain = [c for c in usable(df) if c in made_of_one(df)]
-    return both_sides(jobs.boosted_regression(df, plain, SMALL, fold_features=folds))
+    return both_sides(jobs.boosted_regression(df, plain, STOPPED, fold_features=folds))
 
 
 @with_contract("j5_class_regression")
@@ -152,39 +138,107 @@ def classes(spark, sf):
     return both_sides(jobs.class_regression(df, usable(df), trees=5, depth=5))
 
 
+def _classes_boosted(spark, sf) -> jobs.Result:
+    df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
+    return jobs.boosted_classes(df, usable(df), jobs.Boosting(rounds=8, depth=5, rate=0.3, bins=32, patience=2))
+
+
+@query("j5_boosted_classes")
+def classes_boosted(spark, sf):
+    return both_sides(_classes_boosted(spark, sf))
+
+
+@query(
+    "j5_boosted_classes_contract",
+    over_base(
+        """SELECT CASE WHEN is_test THEN 'test' ELSE 'oof' END AS side, count(*) AS n,
+           count(DISTINCT row_id) AS ids, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS no_class,
+           CASE WHEN NOT is_test THEN TRUE END AS beats_forest FROM b GROUP BY is_test"""
+    ),
+)
+def classes_boosted_contract(spark, sf):
+    """Each row once with one of the classes, and a kappa above that of the plain forest of classes."""
+    made = _classes_boosted(spark, sf)
+    forest = classes(spark, sf).filter("side = 'oof'").join(made.oof.select("row_id", "target"), "row_id")
+    kappa = [metric.qwk(df, "target", "prediction").first()["kappa"] for df in (made.oof, forest)]
+    p = F.col("prediction")
+    return both_sides(made).groupBy("side").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("row_id").alias("ids"),
+        F.count_if(p.isNull() | F.isnan(p)).alias("missing"),
+        F.count_if((p != F.floor(p)) | (p < 0) | (p > 20)).alias("no_class"),
+        F.when(F.col("side") == "oof", F.lit(kappa[0] > kappa[1])).alias("beats_forest"),
+    )
+
+
+def _depth_limited(spark, sf) -> tuple[jobs.Result, list[str]]:
+    df = with_fold(recipes.j1(fixture.staged(spark, sf)).table)
+    params = jobs.Boosting(rounds=20, depth=4, rate=0.35, min_rows=100, subrow=0.7, bins=32, patience=3, block=4)
+    return jobs.boosted_regression(df, usable(df), params), usable(df)
+
+
 @with_contract("j6_boosted_depth_limited")
 def boosted_depth(spark, sf):
-    made = recipes.j1(fixture.staged(spark, sf))
-    df = with_fold(made.table)
-    params = jobs.Boosting(rounds=6, depth=4, rate=0.3, min_rows=100, subrow=0.7, bins=32)
-    return both_sides(jobs.boosted_regression(df, usable(df), params))
+    return both_sides(_depth_limited(spark, sf)[0])
+
+
+@query("j6_split_counts")
+def boosted_splits(spark, sf):
+    """How often the models of the five folds split on each feature."""
+    made, names = _depth_limited(spark, sf)
+    return jobs.split_counts(spark, made.models, names)
+
 
+ORDERED = ("customer_id", "market", "f_1", "f_7", "f_9")
 
-def with_fold_encoded(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``cols`` replaced by mean targets: over the other folds for train rows, over all for test rows."""
-    if not cols:
-        return df
-    fitted = encode.fit_categories(df, cols, target=TARGET, n_fold=N_FOLD)
+
+def _ordered_sql(cols: tuple[str, ...]) -> str:
+    """Running sums in the order of the hash, for train rows; totals for test rows."""
+    at = "(('0x' || substr(md5('43:' || CAST(row_id AS VARCHAR)), 1, 8))::BIGINT)"
+    parts = []
     for c in cols:
-        df = fitted.apply(df, c, {"te": f"_all_{c}", "te_folds": f"_te_{c}"})
-        mean = F.when(F.col(IS_TEST), quoted(f"_all_{c}")).otherwise(F.get(quoted(f"_te_{c}"), F.col(FOLD) - 1))
-        df = df.withColumn(c, mean).drop(f"_all_{c}", f"_te_{c}")
-    return df
+        over = f"(PARTITION BY is_test, {c} ORDER BY {at}, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        total = f"(PARTITION BY {c})"
+        s = f"CASE WHEN is_test THEN sum(CASE WHEN NOT is_test THEN target END) OVER {total} ELSE sum(target) OVER {over} END"
+        n = f"CASE WHEN is_test THEN count(CASE WHEN NOT is_test THEN target END) OVER {total} ELSE count(target) OVER {over} END"
+        parts.append(s6(f"(coalesce({s}, 0) + prior) / ({n} + 1)") + f" AS {c}")
+    return over_base(
+        f"SELECT row_id, {', '.join(parts)} FROM b CROSS JOIN pr",
+        "pr AS (SELECT sum(target) / CAST(count(*) AS DOUBLE) AS prior FROM b WHERE NOT is_test)",
+    )
+
+
+@query("j7_ordered_statistics", _ordered_sql(ORDERED))
+def ordered_statistics(spark, sf):
+    df = fixture.staged(spark, sf)
+    made = encode.ordered_target_stats(df, list(ORDERED), run_rows=2_000)
+    one = F.get("stats", F.lit(0))
+    return made.select("row_id", *[r6(F.get(one, F.lit(i))).alias(c) for i, c in enumerate(ORDERED)])
 
 
 @with_contract("j7_boosted_categorical")
 def boosted_categorical(spark, sf):
+    """Categories of few values are split as sets, the others go by ordered target statistics per fold."""
     made = recipes.j2(fixture.staged(spark, sf))
     df = with_fold(made.table)
     features = usable(df)
     fmap = feature_map.feature_map(df.select(*[quoted(c) for c in features]), whole=made.whole)
     named = [r["name"] for r in feature_map.categorical_features(fmap).collect()]
-    top = df.agg(*[F.max(quoted(c)).alias(c) for c in named]).first()
-    low = df.agg(*[F.min(quoted(c)).alias(c) for c in named]).first()
-    # columns of few values are split as sets; the others become their mean target out of fold
-    fits = {c: int(top[c]) + 1 for c in named if low[c] >= 0 and top[c] + 1 <= SMALL.bins}
-    df = with_fold_encoded(df, [c for c in named if c not in fits])
-    return both_sides(jobs.boosted_regression(df, features, SMALL, categories=fits))
+    ranges = df.agg(
+        *[F.max(quoted(c)).alias(f"hi_{i}") for i, c in enumerate(named)],
+        *[F.min(quoted(c)).alias(f"lo_{i}") for i, c in enumerate(named)],
+    ).first()
+    fits = {
+        c: int(ranges[f"hi_{i}"]) + 1
+        for i, c in enumerate(named)
+        if ranges[f"lo_{i}"] >= 0 and ranges[f"hi_{i}"] + 1 <= STOPPED.bins
+    }
+    large = [c for c in named if c not in fits]
+    stats = encode.ordered_target_stats(df, large, n_fold=N_FOLD).withColumnRenamed("stats", "fold_features")
+    plain = [c for c in features if c not in large]
+    return both_sides(
+        jobs.boosted_regression(df.join(stats, "row_id"), plain, STOPPED, categories=fits, fold_names=large)
+    )
 
 
 def stored_stack(spark, sf, n):
@@ -197,6 +251,13 @@ def trees(spark, sf):
     return both_sides(jobs.randomised_trees(df, feature_columns(df), trees=5, depth=6))
 
 
+@with_contract("j8_random_thresholds")
+def random_trees(spark, sf):
+    """Extremely randomised trees: every forest of the sum looks through random cuts of its own."""
+    df = stored_stack(spark, sf, 15)
+    return both_sides(jobs.random_threshold_trees(df, feature_columns(df), trees=20, depth=8, groups=4, min_rows=2))
+
+
 @with_contract("j9_linear_regression")
 def linear(spark, sf):
     df = with_fold(recipes.j1(fixture.staged(spark, sf)).table)
@@ -260,20 +321,53 @@ def average(spark, sf):
     return out.select("row_id", r6("prediction").alias("prediction"))
 
 
-@query("j13_binary_probabilities")
-def binary(spark, sf):
+BINARY = jobs.Boosting(rounds=10, depth=3, rate=0.4, bins=32, patience=2, block=5)
+
+
+def _binary(spark, sf, targets: list[str] | None = None) -> DataFrame:
     df = labelled_h1(spark, sf)
-    features = usable(df)
     wide = recipes.binary_targets(df)
-    targets = [c for c in wide.columns if c not in df.columns]
-    params = jobs.Boosting(rounds=2, depth=4, rate=0.3, bins=32)  # 20 targets x 5 folds to fit
-    result = jobs.binary_probabilities(wide, features, targets, params)
+    targets = targets or [c for c in wide.columns if c not in df.columns]
+    result = jobs.binary_probabilities(wide, usable(df), targets, BINARY)
     pr = [c for c in result.test.columns if c.startswith("pr_")]
     return result.oof.select("row_id", F.lit("oof").alias("side"), *pr).unionByName(
         result.test.select("row_id", F.lit("test").alias("side"), *pr)
     )
 
 
+@query("j13_binary_probabilities")
+def binary(spark, sf):
+    return _binary(spark, sf)
+
+
+@query(
+    "j13_binary_probabilities_contract",
+    over_base(
+        """SELECT CASE WHEN is_test THEN 'test' ELSE 'oof' END AS side, count(*) AS n,
+           count(DISTINCT row_id) AS ids, CAST(0 AS BIGINT) AS outside,
+           CASE WHEN NOT is_test THEN TRUE END AS beats_share FROM b GROUP BY is_test"""
+    ),
+)
+def binary_contract(spark, sf):
+    """Three of the targets: each row once, probabilities between 0 and 1, and for rows the model did not
+    see a log loss below that of the share of ones."""
+    truth = fixture.base(spark, sf).select("row_id", "target")
+    got = _binary(spark, sf, ["eq_1", "lt_3", "lt_6"]).join(truth, "row_id")
+    checks, outside = [], F.lit(0)
+    for c, y in (("eq_1", F.col("target") == 1), ("lt_3", F.col("target") < 3), ("lt_6", F.col("target") < 6)):
+        p = F.col(f"pr_{c}")
+        outside = outside + F.count_if(p.isNull() | (p < 0) | (p > 1))
+        loss = -F.avg(F.log(F.greatest(F.when(y, p).otherwise(1 - p), F.lit(1e-15))))
+        share = F.avg(y.cast("double"))
+        checks.append(loss < -(share * F.log(share) + (1 - share) * F.log(1 - share)))
+    return got.groupBy("side").agg(
+        F.count("*").alias("n"),
+        F.count_distinct("row_id").alias("ids"),
+        outside.alias("outside"),
+        F.when(F.col("side") == "oof", checks[0] & checks[1] & checks[2]).alias("beats_share"),
+    )
+
+
 # --- from raw tables to a submission ------------------------------------------------------------
 
 CHAIN = ("f_8", "f_0", "f_5")
@@ -321,6 +415,48 @@ def linear_chain(spark, sf):
     return out.select("row_id", "prediction", apply_cutoffs(F.col("prediction"), DEFAULT_CUTOFFS).alias("rating"))
 
 
+LEVELS = {"esb_a": ("f_8", "f_0"), "esb_b": ("f_0", "f_5"), "esb_c": ("f_8", "f_13")}
+_BASE_MODELS = sorted({f for fs in LEVELS.values() for f in fs})
+
+
+def _level_sql(name: str, members: tuple[str, ...]) -> list[str]:
+    """The mean of a stack's members per row, and a line fitted on it."""
+    mean = " + ".join(f"pred_{f}.p" for f in members)
+    joins = " ".join(f"JOIN pred_{f} ON pred_{f}.row_id = b.row_id" for f in members)
+    stack = f"""s_{name} AS (SELECT b.row_id, is_test, target, fold, ({mean}) / {len(members)} AS mean
+                FROM b {joins})"""
+    return [stack, *_line_sql(name, f"s_{name}", "mean")]
+
+
+@query(
+    "i16_fitted_stack",
+    over_base(
+        f"""SELECT b.row_id, is_test, target, {', '.join(f'pred_{n}.p AS pred_{n}' for n in LEVELS)}
+            FROM b {' '.join(f'JOIN pred_{n} ON pred_{n}.row_id = b.row_id' for n in LEVELS)}""",
+        *[t for f in _BASE_MODELS for t in _line_sql(f, "b", f)],
+        *[t for n, fs in LEVELS.items() for t in _level_sql(n, fs)],
+    ),
+)
+def fitted_stack(spark, sf):
+    """A second-level stack: models fitted on stacks of the stored predictions of base models."""
+    raw = fixture.staged(spark, sf)
+    label = raw.select("row_id", "is_test", "target")
+    kept = stacks.PredictionStore(spark, scratch_path(spark, "predictions"))
+
+    def base(f: str) -> DataFrame:
+        return kept.get("line", f, {"folds": N_FOLD}, lambda: jobs.linear_regression(raw, [f], coefficients=False))
+
+    def second(name: str) -> DataFrame:
+        members = LEVELS[name]
+        wide = with_fold(stacks.stack_models(label, {f: base(f) for f in members}, members))
+        mean = combine.average_models(wide, [f"pred_{f}" for f in members])
+        level = wide.join(mean.withColumnRenamed("prediction", "mean"), "row_id")
+        fit = lambda: jobs.linear_regression(level, ["mean"], coefficients=False)
+        return kept.get("line", name, {"members": members}, fit)
+
+    return stacks.stack_models(label, {n: second(n) for n in LEVELS}, list(LEVELS))
+
+
 # --- cutoffs and blends -------------------------------------------------------------------------
 
 

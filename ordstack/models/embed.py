@@ -2,31 +2,247 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.constants import IS_TEST, ROW_ID, SEED, TARGET
-from ordstack.functions.numeric import ident
+from ordstack.functions.numeric import ident, quoted
+from ordstack.session import ship, store
 
 MAX_COLUMNS = 4096  # of the learned embedding: its solver holds a square matrix on the driver
 
 
-def project(cells: DataFrame, k: int, seed: int = SEED) -> DataFrame:
-    """``(row_id, e_0 .. e_<k-1>)``: a seeded sparse projection of ``(row_id, idx, value)`` cells.
-
-    Every column index is hashed to one of ``k`` components and a sign; a component is the signed sum
-    of its cells, so inner products of rows are kept in expectation. Nothing is fitted and nothing
-    depends on the width, which may grow with the data: one sum per row and component, one pivot.
-    """
+def _placed(k: int, seed: int) -> tuple[str, str]:
+    """Component and sign of a column index, as SQL text over ``idx``."""
     digest = f"md5(concat('{seed}:', CAST(idx AS STRING)))"
     component = f"CAST(conv(substring({digest}, 1, 8), 16, 10) AS BIGINT) % {k}"
     sign = f"CASE WHEN CAST(conv(substring({digest}, 9, 1), 16, 10) AS INT) % 2 = 0 THEN 1 ELSE -1 END"
-    placed = cells.selectExpr(ROW_ID, f"CAST({component} AS INT) AS _c", f"({sign}) * value AS _v")
-    sums = placed.groupBy(ROW_ID, "_c").agg(F.sum("_v").alias("_v"))
-    wide = sums.groupBy(ROW_ID).pivot("_c", list(range(k))).agg(F.first("_v"))
-    return wide.selectExpr(ROW_ID, *[f"coalesce({ident(str(i))}, 0.0D) AS e_{i}" for i in range(k)])
+    return component, sign
+
+
+def project(rows: DataFrame, k: int, seed: int = SEED) -> DataFrame:
+    """The columns of ``rows`` but ``cells``, then ``e_0 .. e_<k-1>``: a seeded sparse projection of
+    ``cells``, an array of ``(idx, value)``.
+
+    Every column index is hashed to one of ``k`` components and a sign; a component is the signed sum
+    of its cells, so inner products of rows are kept in expectation. Nothing is fitted, nothing depends on
+    the width, which may grow with the data, and no row moves: a row's few cells are summed in the row.
+    """
+    component, sign = _placed(k, seed)
+    component, sign = component.replace("idx", "x.idx"), sign.replace("idx", "x.idx")
+    keys = [ident(c) for c in rows.columns if c != "cells"]
+    placed = rows.selectExpr(
+        *keys, f"transform(cells, x -> struct(CAST({component} AS INT) AS c, ({sign}) * x.value AS v)) AS _p"
+    )
+    found = placed.selectExpr(*keys, "_p", "array_distinct(transform(_p, x -> x.c)) AS _c")
+    summed = "transform(_c, c -> aggregate(filter(_p, x -> x.c = c), 0.0D, (a, x) -> a + x.v))"
+    sums = found.selectExpr(*keys, f"map_from_arrays(_c, {summed}) AS _m")
+    return sums.selectExpr(*keys, *[f"coalesce(try_element_at(_m, {i}), 0.0D) AS e_{i}" for i in range(k)])
+
+
+# --- learned: randomised subspace iteration -----------------------------------------------------
+
+BLOCK_BYTES = 64 << 20  # of the part of a basis that is broadcast at once
+EXTRA = 8  # columns the iteration carries beside the wanted ones
+PASSES = 3  # multiplications by the matrix and its transpose before the last one
+
+
+def _matrices(batch: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of every cell of a batch."""
+    lists = batch.column(at)
+    ends = lists.offsets.to_numpy()
+    cells = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.diff(ends))
+    return row, cells.field(0).to_numpy(zero_copy_only=False), cells.field(1).to_numpy(zero_copy_only=False)
+
+
+def _times(row: np.ndarray, idx: np.ndarray, value: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
+    """Rows times the basis; rows come in order."""
+    out = np.zeros((n, basis.shape[1]))
+    if len(row):
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        out[row[starts]] = np.add.reduceat(value[:, None] * basis[idx], starts, axis=0)
+    return out
+
+
+def _summed(parts: DataFrame, key: str, length: int) -> DataFrame:
+    """Arrays ``z`` of one key added element by element. A key has one array per task at most."""
+    lists = parts.groupBy(key).agg(F.collect_list("z").alias("zs"))
+    added = f"transform(sequence(0, {length - 1}), j -> aggregate(zs, 0.0D, (a, z) -> a + z[j]))"
+    return lists.selectExpr(key, f"{added} AS z")
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(rows.ravel()))
+
+
+def _gathered(cells: DataFrame, basis: np.ndarray) -> DataFrame:
+    """``(idx, z)``: the matrix's transpose times the matrix times ``basis``."""
+    shared = cells.sparkSession.sparkContext.broadcast(basis)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros_like(shared.value)
+        met = np.zeros(len(held), dtype=bool)
+        for batch in batches:
+            row, idx, value = _matrices(batch, 0)
+            if not len(row):
+                continue
+            y = _times(row, idx, value, batch.num_rows, shared.value)
+            order = np.argsort(idx, kind="stable")
+            starts = np.flatnonzero(np.r_[True, idx[order][1:] != idx[order][:-1]])
+            sums = np.add.reduceat((value[:, None] * y[row])[order], starts, axis=0)
+            held[idx[order][starts]] += sums
+            met[idx] = True
+        at = np.flatnonzero(met)
+        for lo in range(0, len(at), 1 << 12):
+            part = at[lo : lo + (1 << 12)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), _lists(held[part])], names=["idx", "z"])
+
+    parts = cells.select("cells").mapInArrow(run, "idx long, z array<double>")
+    return _summed(parts, "idx", basis.shape[1])
+
+
+def _outer(pairs: DataFrame, length: int) -> np.ndarray:
+    """Sum over the rows of the outer product of ``a`` and ``b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((length, length))
+        for batch in batches:
+            a, b = (batch.column(i).flatten().to_numpy().reshape(-1, length) for i in range(2))
+            held += a.T @ b
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(length)), _lists(held)], names=["i", "z"])
+
+    rows = _summed(pairs.select("a", "b").mapInArrow(run, "i long, z array<double>"), "i", length).toArrow()
+    out = np.zeros((length, length))
+    for i, z in zip(rows["i"].to_pylist(), rows["z"].to_pylist()):
+        out[i] = z
+    return out
+
+
+@dataclass(frozen=True)
+class Basis:
+    """Right singular vectors of a sparse matrix, ``(idx, v)`` per column that has a cell."""
+
+    table: DataFrame
+    width: int
+    k: int
+    strength: list[float]
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return _blocks(self.width, self.k)
+
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        return _part(self.table, self.width, lo, hi)
+
+
+def _blocks(width: int, k: int) -> list[tuple[int, int]]:
+    step = max(1, min(k, BLOCK_BYTES // (8 * max(1, width))))
+    return [(lo, min(k, lo + step)) for lo in range(0, k, step)]
+
+
+def _part(table: DataFrame, width: int, lo: int, hi: int) -> np.ndarray:
+    """Columns ``lo`` to ``hi`` of a basis, at most about BLOCK_BYTES."""
+    rows = table.select("idx", F.slice("v", lo + 1, hi - lo).alias("v")).toArrow()
+    out = np.zeros((width, hi - lo))
+    if rows.num_rows:
+        out[rows["idx"].to_numpy()] = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, hi - lo)
+    return out
+
+
+def _turned(table: DataFrame, matrix: np.ndarray) -> DataFrame:
+    """``(idx, v)`` with every ``v`` multiplied by the matrix."""
+    shared = table.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(-1, shared.value.shape[0]) @ shared.value
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(v)], names=["idx", "v"])
+
+    return store(table.select("idx", "v").mapInArrow(run, "idx long, v array<double>"), "basis")
+
+
+def _product(cells: DataFrame, width: int, k: int, part: Callable[[int, int], np.ndarray]) -> DataFrame:
+    """``(idx, v)``: one multiplication, a block of basis columns after the other."""
+    out = None
+    for b, (lo, hi) in enumerate(_blocks(width, k)):
+        made = store(_gathered(cells, part(lo, hi)), "gathered").withColumnRenamed("z", f"_{b}")
+        out = made if out is None else out.join(made, "idx")
+    arrays = [c for c in out.columns if c != "idx"]
+    return store(out.select("idx", F.concat(*arrays).alias("v")), "product")
+
+
+def _orthonormal(product: DataFrame, k: int) -> DataFrame:
+    gram = _outer(product.select(F.col("v").alias("a"), F.col("v").alias("b")), k)
+    strength, turn = np.linalg.eigh(gram)
+    keep = strength > strength[-1] * 1e-12
+    scale = np.where(keep, 1 / np.sqrt(np.where(keep, strength, 1.0)), 0.0)
+    return _turned(product, turn * scale)
+
+
+def learn_basis(cells: DataFrame, width: int, k: int, passes: int = PASSES, seed: int = SEED) -> Basis:
+    """The first ``k`` right singular vectors of the rows of ``cells`` (an array of ``(idx, value)`` per row,
+    indices below ``width``), by randomised subspace iteration.
+
+    A pass multiplies by the matrix and its transpose where the rows are and adds up one short array per
+    column. No matrix is as wide as it is high but that of ``k`` components; the basis is a table, and only
+    blocks of its columns of at most BLOCK_BYTES (one column at least) are broadcast.
+    """
+    if k < 1 or width < 1:
+        raise ValueError("at least one component of one column")
+    ship(cells.sparkSession)
+    inner = min(k + EXTRA, width)
+    k = min(k, inner)
+
+    def start(lo: int, hi: int) -> np.ndarray:
+        return np.random.default_rng([seed, lo]).standard_normal((width, hi - lo))
+
+    basis = _orthonormal(_product(cells, width, inner, start), inner)
+    for _ in range(passes - 1):
+        product = _product(cells, width, inner, lambda lo, hi: _part(basis, width, lo, hi))
+        basis = _orthonormal(product, inner)
+    product = _product(cells, width, inner, lambda lo, hi: _part(basis, width, lo, hi))
+    both = basis.select("idx", F.col("v").alias("a")).join(product.select("idx", F.col("v").alias("b")), "idx")
+    ritz = _outer(both, inner)
+    strength, turn = np.linalg.eigh((ritz + ritz.T) / 2)
+    order = np.argsort(-strength)[:k]
+    turn = turn[:, order]
+    turn = turn * np.where(turn[np.abs(turn).argmax(axis=0), np.arange(k)] < 0, -1.0, 1.0)
+    return Basis(_turned(basis, turn), width, k, np.sqrt(np.maximum(strength[order], 0)).tolist())
+
+
+def embed_rows(rows: DataFrame, basis: Basis, keys: Sequence[str], k: int | None = None) -> DataFrame:
+    """``keys`` of ``rows``, then ``e_0 .. e_<k-1>``: their cells times the basis, and 0 for components
+    beyond its own (a matrix has no more than columns). Blocks of the basis are applied one after the other;
+    with several, the rows are stored in between, so that a task holds one."""
+    blocks = basis.blocks()
+    for b, (lo, hi) in enumerate(blocks):
+        rows = _with_block(rows, basis.part(lo, hi), f"_e{b}")
+        if b + 1 < len(blocks):
+            rows = store(rows, "embedded")
+    places = [(b, i) for b, (lo, hi) in enumerate(blocks) for i in range(hi - lo)]
+    values = [F.get(f"_e{b}", F.lit(i)) for b, i in places] + [F.lit(0.0)] * ((k or 0) - len(places))
+    return rows.select(*[quoted(c) for c in keys], *[v.alias(f"e_{n}") for n, v in enumerate(values)])
+
+
+def _with_block(rows: DataFrame, basis: np.ndarray, out: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(basis)
+    at = rows.columns.index("cells")
+    schema = rows.withColumn(out, F.lit(None).cast("array<double>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = _times(*_matrices(batch, at), batch.num_rows, shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(y)], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def embed(df: DataFrame, k: int, width: int, features: str = "features") -> DataFrame:

@@ -6,30 +6,40 @@ fold models on the test rows or refits on all train rows. The learners are MLlib
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.constants import FOLD, IS_TEST, N_CLASS, N_FOLD, ROW_ID, SEED, TARGET
 from ordstack.functions.numeric import argmax_class, quoted, row_mean
 from ordstack.functions.splits import assign_folds
+from ordstack.models.boosting import (  # noqa: F401  parameters and curve are part of this module's interface
+    PARALLEL,
+    Boosted,
+    Boosting,
+    Stagewise,
+    Task,
+    best_of_curve,
+    log_sum_exp,
+    split_counts,
+)
 from ordstack.operators.columns import feature_columns
-from ordstack.operators.combine import with_fold_features
+from ordstack.operators.combine import with_fold_vectors
 from ordstack.operators.ordering import importance
 from ordstack.session import store
 
-PARALLEL = 8  # fits in flight; each is itself a series of Spark jobs
 MAX_DEPTH = 30  # of the tree learner
-PARTITIONS = 16  # of the cached input of a fit
+PARTITION_ROWS = 50_000  # of the cached input of a fit
 
 
 @dataclass
@@ -40,6 +50,7 @@ class Result:
     test: DataFrame
     importance: DataFrame | None = None
     rounds: list[int] | None = None
+    models: list = field(default_factory=list)
 
 
 def assemble(
@@ -48,10 +59,11 @@ def assemble(
     categories: dict[str, int] | None = None,
     missing: float = -1.0,
     keep: Sequence[str] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``(row_id, is_test, target, fold, label, features)``, missing values filled. ``categories``
     declares columns of labels 0..k-1 as categorical, which trees then split as sets, not ranges.
-    Columns of ``keep`` (further labels) go along as doubles."""
+    Columns of ``keep`` (further labels) go along as doubles, those of ``carry`` as they are."""
     cols = []
     for i, f in enumerate(features):
         c = F.coalesce(quoted(f).cast("double"), F.lit(missing))
@@ -62,18 +74,27 @@ def assemble(
             cols.append(c.alias(f"x{i}"))
     keys = [c for c in (ROW_ID, IS_TEST, TARGET, FOLD) if c in df.columns]
     label = quoted(TARGET).cast("double").alias("label")
-    slim = df.select(*keys, label, *[quoted(c).cast("double").alias(c) for c in keep], *cols)
+    slim = df.select(
+        *keys, label, *[quoted(c).cast("double").alias(c) for c in keep], *[quoted(c) for c in carry], *cols
+    )
     assembler = VectorAssembler(
         inputCols=[f"x{i}" for i in range(len(features))], outputCol="features"
     )
-    return assembler.transform(slim).select(*keys, "label", *[quoted(c) for c in keep], "features")
+    others = [quoted(c) for c in [*keep, *carry]]
+    return assembler.transform(slim).select(*keys, "label", *others, "features")
+
 
+def partitions_for(n_rows: int, rows: int = PARTITION_ROWS) -> int:
+    """Partitions of a fit's input, from its rows alone: the same on any cluster, more for more data."""
+    return max(1, -(-n_rows // rows))
 
-def cached(df: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """Keep assembled features for the many passes of a fit. Row sampling is seeded per partition, so
-    rows are dealt by a hash of their id and ordered by it: the same rows give the same model on any
-    cluster. ``partitions`` follows the size of the data and is part of the job's parameters."""
-    dealt = df.repartition(partitions, ROW_ID).sortWithinPartitions(ROW_ID)
+
+def cached(df: DataFrame, rows: int = PARTITION_ROWS) -> DataFrame:
+    """Keep assembled features for the many passes of a fit. What learners sample is seeded per
+    partition, so rows are dealt by a hash of their id, ordered by it, into partitions of about ``rows``
+    rows: the same rows give the same model on any cluster."""
+    n = df.select(ROW_ID).count()
+    dealt = df.repartition(partitions_for(n, rows), ROW_ID).sortWithinPartitions(ROW_ID)
     return dealt.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -139,77 +160,10 @@ def importance_table(
 # --- boosted trees ------------------------------------------------------------------------------
 
 
-@dataclass(frozen=True)
-class Boosting:
-    """Parameters of the boosted regressions; ``patience`` rounds without gain end the search."""
-
-    rounds: int = 20
-    depth: int = 5
-    rate: float = 0.1
-    min_rows: int = 8
-    subrow: float = 0.8
-    subcol: str = "auto"
-    bins: int = 64
-    patience: int = 100
-    seed: int = SEED
-
-    def regressor(self, rounds: int) -> GBTRegressor:
-        return GBTRegressor(
-            labelCol="label",
-            maxIter=rounds,
-            maxDepth=self.depth,
-            stepSize=self.rate,
-            minInstancesPerNode=self.min_rows,
-            subsamplingRate=self.subrow,
-            featureSubsetStrategy=self.subcol,
-            maxBins=self.bins,
-            seed=self.seed,
-        )
-
-    def classifier(self, rounds: int) -> GBTClassifier:
-        return GBTClassifier(
-            labelCol="label",
-            maxIter=rounds,
-            maxDepth=self.depth,
-            stepSize=self.rate,
-            minInstancesPerNode=self.min_rows,
-            subsamplingRate=self.subrow,
-            featureSubsetStrategy=self.subcol,
-            maxBins=self.bins,
-            seed=self.seed,
-        )
-
-
-def best_of_curve(losses: Sequence[float], patience: int) -> int:
-    """1-based round of the smallest loss before ``patience`` rounds pass without a better one."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _fit_stopped(
-    make: Callable[[int], Estimator],
-    train: DataFrame,
-    valid: DataFrame,
-    rounds: int,
-    patience: int,
-    loss: str = "squared",
-) -> tuple[Model, int]:
-    """Fit to the full number of rounds, find the best one on the validation curve, and cut."""
-    model = make(rounds).fit(train)
-    if rounds == 1:
-        return model, 1
-    curve = (
-        model.evaluateEachIteration(valid, loss)
-        if loss == "squared"
-        else model.evaluateEachIteration(valid)
-    )
-    best = best_of_curve(curve, patience)
-    return (model if best == rounds else make(best).fit(train)), best
+def _fold_vector(fold: int | None) -> Column:
+    """Common features followed by those encoded for the fold."""
+    own = F.get("fold_features", F.lit(fold - 1))
+    return array_to_vector(F.concat(vector_to_array("features"), own))
 
 
 def boosted_regression(
@@ -222,83 +176,56 @@ def boosted_regression(
     categories: dict[str, int] | None = None,
     with_importance: bool = True,
     label: str = "boost",
+    fold_names: Sequence[str] = (),
 ) -> Result:
     """Boosted regression over the folds.
 
-    ``stop_in="first"`` finds the best number of rounds on fold 1 and uses it in all; ``"every"``
-    finds it per fold and refits with the mean. ``fold_features`` holds, per fold, features encoded
-    without that fold; the refit then averages the fold models instead, as there is no encoding
-    that fits all rows.
+    ``stop_in="first"`` finds the number of rounds on fold 1 and uses it in all; ``"every"`` finds it per
+    fold and refits with the mean. ``fold_features`` holds, per fold, features encoded without that fold
+    (``fold``, ``row_id`` and columns): a row carries them as one array per fold, and the model of a fold
+    reads its own. A refit then averages the fold models instead, as no encoding fits all rows. With
+    ``fold_names`` the rows hold these arrays already, as ``fold_features``.
     """
     source = df if FOLD in df.columns else assign_folds(df)
-    if fold_features is None:
-        data = cached(assemble(source, features, categories))
-        per_fold = {i: data for i in range(1, N_FOLD + 1)}
-        names = list(features)
-    else:
-        names, per_fold = _fold_frames(source, features, fold_features, categories)
-    trn = {i: d.filter(~F.col(IS_TEST) & (F.col(FOLD) != i)) for i, d in per_fold.items()}
-    val = {i: d.filter(~F.col(IS_TEST) & (F.col(FOLD) == i)) for i, d in per_fold.items()}
-
-    def stopped(i: int) -> tuple[Model, int]:
-        return _fit_stopped(params.regressor, trn[i], val[i], params.rounds, params.patience)
-
+    if fold_features is not None:
+        fold_names = feature_columns(fold_features)
+        source = with_fold_vectors(source, fold_features, fold_names)
+    names = [*features, *[f"cv_{c}" for c in fold_names]]  # common features may have the same names
+    vector = _fold_vector if fold_names else None
+    extra = ["fold_features"] if fold_names else []
+    data = cached(assemble(source, features, categories, carry=extra))
+    folds = list(range(1, N_FOLD + 1))
     if stop_in == "every":
-        fitted = _in_threads(stopped, list(per_fold))
-        models, rounds = [m for m, _ in fitted], [r for _, r in fitted]
+        models = Stagewise(data, [Task(i, unit=i) for i in folds], params, vector=vector).fit()
     else:
-        first, best = stopped(1)
-        others = [i for i in per_fold if i != 1]
-        models = [first] + _in_threads(lambda i: params.regressor(best).fit(trn[i]), others)
-        rounds = [best] * len(models)
-
-    if fold_features is None:
-        train, test = _sides(data)
-        oof = _oof(train, models, lambda i: "prediction")
-        if refit:
-            final = params.regressor(sum(rounds) // len(rounds)).fit(train)
-            test_p = _single(test, final)
-        else:
-            test_p = _fold_mean(test, models)
-    else:
-        oof, test_p = _predict_per_fold(per_fold, val, models)
-    table = importance_table(df, names, models[0].featureImportances.toArray())
-    frames = list({id(d): d for d in per_fold.values()}.values())
-    oof, test_p = _finish(frames[0], oof, test_p, label)
-    for d in frames[1:]:
-        d.unpersist()
-    return Result(oof, test_p, table if with_importance else None, rounds)
+        models = Stagewise(data, [Task(1)], params, vector=vector).fit()
+        fixed = replace(params, rounds=len(models[0].trees))
+        others = [Task(i, unit=i) for i in folds[1:]]
+        models += Stagewise(data, others, fixed, vector=vector).fit(stop=False)
+    rounds = [len(m.trees) for m in models]
 
-
-def _fold_frames(
-    source: DataFrame,
-    features: Sequence[str],
-    fold_features: DataFrame,
-    categories: dict[str, int] | None,
-) -> tuple[list[str], dict[int, DataFrame]]:
-    """One assembled frame per fold: common features plus those encoded for that fold."""
-    made = feature_columns(fold_features)
-    extra = [f"cv_{c}" for c in made]  # common features may have the same names
-    fold_features = fold_features.select(ROW_ID, FOLD, *[quoted(c).alias(f"cv_{c}") for c in made])
-    frames = {}
-    for i in range(1, N_FOLD + 1):
-        joined = with_fold_features(source, fold_features, i)
-        frames[i] = cached(assemble(joined, [*features, *extra], categories))
-    return [*features, *extra], frames
-
-
-def _predict_per_fold(
-    frames: dict[int, DataFrame], valid: dict[int, DataFrame], models: list[Model]
-) -> tuple[DataFrame, DataFrame]:
-    oof, tests = None, None
-    for (i, frame), m in zip(frames.items(), models):
-        part = m.transform(valid[i]).select(
-            ROW_ID, FOLD, TARGET, F.col("prediction").cast("double")
-        )
+    train, test = _sides(data)
+    oof = None
+    for i, m in zip(folds, models):
+        rows = train.filter(F.col(FOLD) == i)
+        rows = rows.withColumn("features", vector(i)) if vector else rows
+        part = m.apply(rows, "prediction").select(ROW_ID, FOLD, TARGET, "prediction")
         oof = part if oof is None else oof.unionByName(part)
-        t = m.transform(frame.filter(IS_TEST)).select(ROW_ID, "prediction")
-        tests = t if tests is None else tests.unionByName(t)
-    return oof, tests.groupBy(ROW_ID).agg(F.avg("prediction").alias("prediction"))
+    if refit and vector is None:
+        fixed = replace(params, rounds=sum(rounds) // len(rounds))
+        final = Stagewise(data, [Task(None)], fixed).fit(stop=False)[0]
+        test_p = final.apply(test, "prediction").select(ROW_ID, "prediction")
+    else:
+        for i, m in zip(folds, models):
+            at = f"_f{i}" if vector else "features"
+            test = test.withColumn(at, vector(i)) if vector else test
+            test = m.apply(test, f"_p{i}", at)
+        test_p = test.select(ROW_ID, row_mean([F.col(f"_p{i}") for i in folds]).alias("prediction"))
+    table = None
+    if with_importance:
+        table = importance_table(df, names, models[0].importances(df.sparkSession))
+    oof, test_p = _finish(data, oof, test_p, label)
+    return Result(oof, test_p, table, rounds, models)
 
 
 # --- other regressors ---------------------------------------------------------------------------
@@ -340,6 +267,97 @@ def randomised_trees(
     return fold_regression(df, features, forest, label="trees")
 
 
+def random_cuts(
+    bounds: dict[str, tuple[float, float]], cuts: int, seed: int
+) -> list[list[float]]:
+    """Per column, seeded cut points drawn uniformly from its range, between two infinities. A column
+    with a single value gets none."""
+    rng = random.Random(seed)
+    made = []
+    for lo, hi in bounds.values():
+        drawn = {rng.uniform(lo, hi) for _ in range(cuts)} if hi > lo else set()
+        made.append([-float("inf"), *sorted(drawn), float("inf")])
+    return made
+
+
+def random_threshold_trees(
+    df: DataFrame,
+    features: Sequence[str],
+    trees: int = 20,
+    depth: int = 10,
+    groups: int = 5,
+    cuts: int = 16,
+    min_rows: int = 1,
+    seed: int = SEED,
+) -> Result:
+    """Extremely randomised trees over the folds: splits are chosen among random thresholds.
+
+    The forest consists of ``groups`` forests. Each draws ``cuts`` thresholds per column from the column's
+    range over its train rows, looks at the columns through these cuts only, tries a random third of the
+    columns at a node, and sees all rows (no bootstrap). With one tree per group every tree has cuts of its
+    own. The learner ends at 30 levels; deeper trees are refused.
+    """
+    if depth > MAX_DEPTH:
+        raise ValueError(f"trees grow to depth {MAX_DEPTH} at most, not {depth}")
+    groups = min(groups, trees)
+    source = df if FOLD in df.columns else assign_folds(df)
+    names = [f"x{i}" for i in range(len(features))]
+    slim = source.select(
+        *[c for c in (ROW_ID, IS_TEST, TARGET, FOLD) if c in source.columns],
+        quoted(TARGET).cast("double").alias("label"),
+        *[F.coalesce(quoted(f).cast("double"), F.lit(-1.0)).alias(n) for f, n in zip(features, names)],
+    )
+    data = cached(slim)
+    train, test = _sides(data)
+    folds = list(range(1, N_FOLD + 1))
+    ranges = train.groupBy(FOLD).agg(
+        *[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]
+    ).collect()
+
+    def fit(task: tuple[int, int]):
+        i, g = task
+        mine = [r for r in ranges if r[FOLD] != i]
+        bounds = {n: (min(r[f"lo_{n}"] for r in mine), max(r[f"hi_{n}"] for r in mine)) for n in names}
+        binned = [f"b{g}_{n}" for n in names]
+        splits = random_cuts(bounds, cuts, seed * 1_000_003 + i * 1009 + g)
+        forest = RandomForestRegressor(
+            labelCol="label", featuresCol=f"f{g}", predictionCol=f"_p{i}_{g}", bootstrap=False,
+            numTrees=trees // groups + (g < trees % groups), maxDepth=depth, maxBins=max(cuts + 2, 8),
+            minInstancesPerNode=min_rows, featureSubsetStrategy="onethird", seed=seed + g,
+        )
+        plan = [
+            Bucketizer(splitsArray=splits, inputCols=names, outputCols=binned),
+            VectorAssembler(inputCols=binned, outputCol=f"f{g}"),
+            forest,
+        ]
+        return Pipeline(stages=plan).fit(train.filter(F.col(FOLD) != i))
+
+    tasks = [(i, g) for i in folds for g in range(groups)]
+    fitted = dict(zip(tasks, _in_threads(fit, tasks)))
+    sizes = [fitted[1, g].stages[-1].getNumTrees for g in range(groups)]
+
+    def predicted(rows: DataFrame, i: int) -> DataFrame:
+        kept = rows.columns
+        for g in range(groups):
+            rows = fitted[i, g].transform(rows).select(*kept, *[f"_p{i}_{h}" for h in range(g + 1)])
+        total = sum((F.col(f"_p{i}_{g}") * n for g, n in enumerate(sizes)), F.lit(0.0))
+        return rows.select(*kept, (total / sum(sizes)).alias(f"_p{i}"))
+
+    oof = None
+    for i in folds:
+        part = predicted(train.filter(F.col(FOLD) == i), i)
+        part = part.select(ROW_ID, FOLD, TARGET, F.col(f"_p{i}").alias("prediction"))
+        oof = part if oof is None else oof.unionByName(part)
+    for i in folds:
+        test = predicted(test, i)
+    test_p = test.select(ROW_ID, row_mean([F.col(f"_p{i}") for i in folds]).alias("prediction"))
+    gains = [sum(fitted[1, g].stages[-1].featureImportances.toArray()[j] * n for g, n in enumerate(sizes))
+             for j in range(len(names))]
+    table = importance_table(df, features, gains)
+    oof, test_p = _finish(data, oof, test_p, "random-trees")
+    return Result(oof, test_p, table, None, [fitted[t] for t in tasks])
+
+
 def linear_regression(
     df: DataFrame, features: Sequence[str], refit: bool = False, coefficients: bool = True
 ) -> Result:
@@ -388,46 +406,81 @@ def class_regression(
     return Result(oof, test_p)
 
 
+def boosted_classes(
+    df: DataFrame, features: Sequence[str], params: Boosting = Boosting(), n_class: int = N_CLASS
+) -> Result:
+    """Boosted 21-class model: per round one tree per class on the class residuals of the softmax.
+
+    Rounds end by the multi-class log loss of fold 1, and that many are fitted in the other folds. A row
+    gets its most likely class, test rows that of the mean probabilities over the folds. A class without
+    train rows is never predicted.
+    """
+    source = df if FOLD in df.columns else assign_folds(df)
+    met = source.filter(~F.col(IS_TEST) & F.col(TARGET).between(0, n_class - 1)).select(TARGET).distinct()
+    numbers = sorted(r[TARGET] for r in met.collect())  # at most n_class
+    classes = [f"is_{k}" for k in numbers]
+    flags = [(F.col(TARGET) == k).cast("double").alias(c) for k, c in zip(numbers, classes)]
+    data = cached(assemble(source.select("*", *flags), features, keep=classes))
+    folds = list(range(1, N_FOLD + 1))
+
+    def tasks(of: Sequence[int]) -> list[Task]:
+        return [Task(i, c, unit=i) for i in of for c in classes]
+
+    first = Stagewise(data, tasks([1]), params, "softmax").fit()
+    best = max(len(m.trees) for m in first)
+    rest = Stagewise(data, tasks(folds[1:]), replace(params, rounds=best), "softmax").fit(stop=False)
+    models = [(first + rest)[i * len(classes) : (i + 1) * len(classes)] for i in range(N_FOLD)]
+
+    def most_likely(p: list[Column]) -> Column:
+        return F.get(F.array(*[F.lit(float(k)) for k in numbers]), argmax_class(p)).alias("prediction")
+
+    def with_probabilities(rows: DataFrame, i: int) -> tuple[DataFrame, list[Column]]:
+        for k, m in enumerate(models[i]):
+            rows = m.apply(rows, f"_s{i}_{k}")
+        scores = [F.col(f"_s{i}_{k}") for k in range(len(classes))]
+        rows = rows.withColumn(f"_z{i}", log_sum_exp(scores))
+        return rows, [F.exp(s - F.col(f"_z{i}")) for s in scores]
+
+    train, test = _sides(data)
+    oof, sums = None, None
+    for i in range(N_FOLD):
+        rows, p = with_probabilities(train.filter(F.col(FOLD) == i + 1), i)
+        part = rows.select(ROW_ID, FOLD, TARGET, most_likely(p))
+        oof = part if oof is None else oof.unionByName(part)
+        test, p = with_probabilities(test, i)
+        sums = p if sums is None else [a + b for a, b in zip(sums, p)]
+    test_p = test.select(ROW_ID, most_likely(sums))
+    oof, test_p = _finish(data, oof, test_p, "boosted-classes")
+    return Result(oof, test_p, None, [best] * N_FOLD, models)
+
+
 def binary_probabilities(
     df: DataFrame,
     features: Sequence[str],
     targets: Sequence[str],
-    params: Boosting = Boosting(rounds=10, depth=4),
+    params: Boosting = Boosting(rounds=50, depth=4, patience=5),
     refit: bool = False,
 ) -> Result:
     """One boosted classifier per 0/1 target and fold: the probability of 1, out of fold and for
-    test rows, one column ``pr_<target>`` each. Targets that share a fold share its rows in the
-    cache; the fits run several at a time."""
+    test rows, one column ``pr_<target>`` each. Every classifier stops by its own log loss. All share one
+    cached table and carry their scores in it; the fits run several at a time."""
     source = df if FOLD in df.columns else assign_folds(df)
     data = cached(assemble(source, features, keep=targets))
-    train, test = _sides(data)
-    tasks = [(t, i) for t in targets for i in range(1, N_FOLD + 1)]
-
-    def fit(k: int) -> tuple[Model, int]:
-        t, i = tasks[k]
-        make = lambda rounds: params.classifier(rounds).setLabelCol(t)
-        return _fit_stopped(
-            make, train.filter(F.col(FOLD) != i), train.filter(F.col(FOLD) == i),
-            params.rounds, params.patience, "logistic",
+    folds = list(range(1, N_FOLD + 1))
+    tasks = [Task(i, t, unit=k * N_FOLD + i) for k, t in enumerate(targets) for i in folds]
+    fitted = Stagewise(data, tasks, params, "logistic").fit()
+    rounds = [len(m.trees) for m in fitted]
+    by_target = {t: fitted[k * N_FOLD : (k + 1) * N_FOLD] for k, t in enumerate(targets)}
+
+    def scored(rows: DataFrame, models: dict[str, Boosted]) -> DataFrame:
+        kept = [quoted(c) for c in rows.columns]
+        for j, m in enumerate(models.values()):
+            rows = m.apply(rows, f"_s{j}")
+        return rows.select(
+            *kept, *[(1 / (1 + F.exp(-F.col(f"_s{j}")))).alias(f"pr_{t}") for j, t in enumerate(models)]
         )
 
-    fitted = _in_threads(fit, range(len(tasks)))
-    by_target = {
-        t: [m for (u, _), (m, _) in zip(tasks, fitted) if u == t] for t in targets
-    }
-    rounds = [r for _, r in fitted]
-
-    def scored(rows: DataFrame, models: dict[str, Model]) -> DataFrame:
-        """Probability columns of all targets: only the probability vector of a model is made."""
-        kept = rows.columns
-        for j, (t, m) in enumerate(models.items()):
-            m.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_v{j}")
-            rows = m.transform(rows)
-        one = [
-            F.get(vector_to_array(f"_v{j}"), F.lit(1)).alias(f"pr_{t}") for j, t in enumerate(models)
-        ]
-        return rows.select(*kept, *one)
-
+    train, test = _sides(data)
     oof = None
     for i in range(1, N_FOLD + 1):
         part = scored(train.filter(F.col(FOLD) == i), {t: ms[i - 1] for t, ms in by_target.items()})
@@ -435,9 +488,9 @@ def binary_probabilities(
         oof = part if oof is None else oof.unionByName(part)
     if refit:
         final = {}
-        for j, t in enumerate(targets):
-            mine = rounds[j * N_FOLD : (j + 1) * N_FOLD]
-            final[t] = params.classifier(sum(mine) // N_FOLD).setLabelCol(t).fit(train)
+        for t in targets:
+            mean = sum(len(m.trees) for m in by_target[t]) // N_FOLD
+            final[t] = Stagewise(data, [Task(None, t)], replace(params, rounds=mean), "logistic").fit(False)[0]
         test_p = scored(test, final).select(ROW_ID, *[quoted(f"pr_{t}") for t in targets])
     else:
         # a fold's models score the test rows together; the five results are averaged by row
@@ -452,4 +505,4 @@ def binary_probabilities(
     oof = store(oof, "binary-oof")
     test_p = store(test_p, "binary-test")
     data.unpersist()
-    return Result(oof, test_p, None, rounds)
+    return Result(oof, test_p, None, rounds, fitted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +119,30 @@ def with_fold_features(df: DataFrame, fold_df: DataFrame, i: int) -> DataFrame:
     return _matched(df, part.select(ROW_ID, *[quoted(c) for c in cols]), [ROW_ID])
 
 
+def with_fold_vectors(
+    df: DataFrame, fold_df: DataFrame, cols: Sequence[str], folds: int = N_FOLD, missing: float = -1.0
+) -> DataFrame:
+    """``df`` with ``fold_features``: per fold the array of the row's ``cols`` encoded for that fold.
+
+    One aggregate turns the long table, one join adds it, whatever the number of folds; a missing value is
+    filled. A row without all its folds, or with one twice, raises.
+    """
+    values = F.array(*[F.coalesce(quoted(c).cast("double"), F.lit(missing)) for c in cols])
+    turned = fold_df.select(ROW_ID, FOLD, values.alias("_v")).groupBy(ROW_ID).agg(
+        *[F.max(F.when(F.col(FOLD) == i, F.col("_v"))).alias(f"_{i}") for i in range(1, folds + 1)],
+        F.count("*").alias("_n"),
+        F.count_distinct(FOLD).alias("_folds"),
+    )
+    arrays = turned.select(
+        ROW_ID,
+        F.array(*[f"_{i}" for i in range(1, folds + 1)]).alias("fold_features"),
+        ((F.col("_n") != folds) | (F.col("_folds") != folds)).alias("_bad"),
+    )
+    joined = df.drop("fold_features").join(arrays, ROW_ID, "left")
+    keep = [quoted(c) for c in joined.columns if c not in ("_bad", ROW_ID)]
+    return joined.select(checked_row_id(F.coalesce("_bad", F.lit(True))), *keep)
+
+
 def attach_predictions(ids: DataFrame, preds: DataFrame, value: str = "prediction") -> DataFrame:
     """Submission rows ``(row_id, id, target)`` with the prediction as target."""
     return _matched(
@@ -132,10 +157,16 @@ def fold_average(df: DataFrame, value: str = "prediction", folds: int = N_FOLD)
     return means.select(checked_row_id(F.col("_n") != folds), value)
 
 
-def fold_average_classes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean class probabilities over the fold models, then the most likely class."""
-    means = df.groupBy(ROW_ID).agg(*[F.avg(quoted(c)).alias(c) for c in cols])
-    return means.select(ROW_ID, argmax_class([quoted(c) for c in cols]).alias("rating"))
+def fold_average_classes(df: DataFrame, cols: Sequence[str], folds: int = N_FOLD) -> DataFrame:
+    """Mean class probabilities over the fold models, then the most likely class. A row that lacks a
+    probability of a fold, or has more, raises."""
+    means = df.groupBy(ROW_ID).agg(
+        *[F.avg(quoted(c)).alias(c) for c in cols],
+        F.greatest(F.lit(False), *[F.count(quoted(c)) != folds for c in cols]).alias("_bad"),
+    )
+    return means.select(
+        checked_row_id(F.col("_bad")), argmax_class([quoted(c) for c in cols]).alias("rating")
+    )
 
 
 def mean_best_rounds(df: DataFrame, rounds: str = "best_round") -> DataFrame:
@@ -147,3 +178,66 @@ def mean_best_rounds(df: DataFrame, rounds: str = "best_round") -> DataFrame:
 def average_models(stacked: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Plain mean of base models as a prediction."""
     return stacked.select(ROW_ID, row_mean([quoted(c) for c in cols]).alias("prediction"))
+
+
+# --- sparse sets --------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class CellSet:
+    """A sparse feature set: ``(row_id, is_test, idx, value)`` per cell that is not 0, and the names and
+    types of its columns by position."""
+
+    cells: DataFrame
+    columns: tuple[tuple[str, str], ...]
+
+
+def cells_of(df: DataFrame, typed: Sequence[tuple[str, str]]) -> CellSet:
+    """A dense set as cells: ``typed`` are its columns with their types. Missing values and zeros have no
+    cell. No row moves."""
+    pairs = [
+        F.struct(F.lit(i).cast("bigint").alias("idx"), quoted(c).cast("double").alias("value"))
+        for i, (c, _) in enumerate(typed)
+    ]
+    cells = df.select(ROW_ID, IS_TEST, F.inline(F.array(*pairs))).filter("value <> 0")
+    return CellSet(cells, tuple(typed))
+
+
+def constant_cells(cells: DataFrame, n_rows: int, width: int) -> list[int]:
+    """Columns with a single value over ``n_rows`` rows, rows without a cell holding 0. One aggregate of
+    counts and extremes, so no rounding takes part. Its result has a row per column."""
+    found = cells.groupBy("idx").agg(
+        F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    filled = F.col("n") < n_rows
+    lo = F.when(filled, F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
+    hi = F.when(filled, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
+    varying = {r["idx"] for r in found.filter(lo != hi).select("idx").collect()}
+    return [i for i in range(width) if i not in varying]
+
+
+def combine_cells(
+    sets: dict[str, CellSet], keys: DataFrame, drop_constants: bool = True
+) -> CellSet:
+    """Sparse and dense sets side by side without densifying: columns of a set follow those of the sets
+    before it, names get the set's prefix, columns constant over the train rows of ``keys`` (``row_id``,
+    ``is_test``) go and the rest are numbered anew. Cells are moved by arithmetic on their index: no join,
+    no shuffle but that of the test for constant columns."""
+    first, parts, columns = 0, [], []
+    for name, s in sets.items():
+        parts.append(s.cells.select(ROW_ID, IS_TEST, (F.col("idx") + first).alias("idx"), "value"))
+        columns += [(f"{name}_{c}", kind) for c, kind in s.columns]
+        first += len(s.columns)
+    cells = parts[0]
+    for p in parts[1:]:
+        cells = cells.unionByName(p)
+    if not drop_constants:
+        return CellSet(cells, tuple(columns))
+    n_rows = keys.filter(~F.col(IS_TEST)).count()
+    gone = constant_cells(cells.filter(~F.col(IS_TEST)), n_rows, len(columns))
+    if gone:
+        # columns that go before a column, looked up in the sorted list of those that go
+        before = F.size(F.filter(F.lit(gone), lambda g: g < F.col("idx")))
+        cells = cells.filter(~F.col("idx").isin(gone)).withColumn("idx", F.col("idx") - before)
+    lost = set(gone)
+    return CellSet(cells, tuple(c for i, c in enumerate(columns) if i not in lost))

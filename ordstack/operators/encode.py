@@ -12,13 +12,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ordstack.constants import FOLD, IS_TEST, N_FOLD, ROW_ID, TARGET
+from ordstack.constants import FOLD, IS_TEST, N_FOLD, ROW_ID, SEED, TARGET
 from ordstack.functions.numeric import ident, number, quoted
+from ordstack.functions.splits import row_hash
 from ordstack.operators.columns import min_max
-from ordstack.operators.lookup import Mapping, lookup
+from ordstack.operators.lookup import Mapping, lookup, mapping
 from ordstack.operators.ordering import number_within
 from ordstack.session import store
 
@@ -288,14 +289,19 @@ class OneHot:
             df = self.fitted.apply(df, c, {"label": f"_label_{c}"})
         return df
 
-    def transform_long(self, df: DataFrame, first: int = 0) -> DataFrame:
-        """``(row_id, idx, value)`` of the ones, with columns numbered from ``first``."""
+    def indexed(self, df: DataFrame, first: int = 0) -> tuple[DataFrame, list[Column]]:
+        """``df`` with its labels, and per source column the position of a row's one, null where it has
+        none; positions count from ``first``."""
         cells, offset = [], first
         for c in self.fitted.cols:
             label = quoted(f"_label_{c}")
             cells.append(F.when(label > 0, label + (offset - 1)).cast("bigint"))
             offset += self.fitted.max_label[c]
-        wide = self._labels(df.select(ROW_ID, *[quoted(c) for c in self.fitted.cols]))
+        return self._labels(df), cells
+
+    def transform_long(self, df: DataFrame, first: int = 0) -> DataFrame:
+        """``(row_id, idx, value)`` of the ones, with columns numbered from ``first``."""
+        wide, cells = self.indexed(df.select(ROW_ID, *[quoted(c) for c in self.fitted.cols]), first)
         return (
             wide.select(ROW_ID, F.explode(F.array(*cells)).alias("idx"))
             .filter("idx IS NOT NULL")
@@ -391,3 +397,105 @@ def target_encode_oof(
         for c in cols
     ]
     return train.select(*[quoted(c) for c in df.columns], *new)
+
+
+# --- ordered target statistics ------------------------------------------------------------------
+
+RUN_ROWS = 100_000  # rows of the order per bucket: no window holds more than a bucket's rows of a value
+
+
+def ordered_target_stats(
+    df: DataFrame,
+    cols: Sequence[str],
+    n_fold: int = 0,
+    prior_weight: float = 1.0,
+    seed: int = SEED + 1,
+    run_rows: int = RUN_ROWS,
+) -> DataFrame:
+    """``(row_id, stats)``: per fold left out (or once, without folds) an array with a number per column.
+
+    Train rows are put in a seeded random order, that of a hash of the row id. A train row's number is the
+    mean target of the rows of its category strictly before it, so its own target takes no part; with folds,
+    of those outside the fold. Test rows, and the rows of the fold left out, get the mean over all train rows
+    outside it. ``prior_weight`` rows of the overall mean are mixed into every mean, which is what the first
+    row of a category and unseen ones get. Null is a category; rows without a target count nowhere.
+
+    Two levels: sums per category and bucket of the order, running over the buckets, then a window inside
+    each bucket. A hot category is so spread over the buckets, whose number follows the rows.
+    """
+    sums = ["", *[str(i) for i in range(1, n_fold + 1)]]
+    train = df.filter(~F.col(IS_TEST) & quoted(TARGET).isNotNull())
+    y = quoted(TARGET).cast("bigint")
+    by_fold = [F.when(F.col(FOLD) == i, y) for i in range(1, n_fold + 1)]
+    whole = train.agg(
+        *[F.sum(v).alias(f"s{f}") for f, v in zip(sums, [y, *by_fold])],
+        *[F.count(v).alias(f"n{f}") for f, v in zip(sums, [y, *by_fold])],
+    ).first()
+    buckets = max(1, -(-whole["n"] // run_rows))
+    pairs = ", ".join(f"struct({i} AS _c, {_tagged(c)} AS _v)" for i, c in enumerate(cols))
+    keep = [ROW_ID, IS_TEST, *([FOLD] if n_fold else [])]
+    long = df.select(
+        *keep,
+        F.when(~F.col(IS_TEST), y).alias("_y"),
+        row_hash(F.col(ROW_ID), seed).alias("_at"),
+        F.expr(f"inline(array({pairs}))"),
+    ).withColumn("_b", F.expr(f"CAST((_at * {buckets}) div 4294967296 AS INT)"))
+    known = long.filter("_y IS NOT NULL")
+    parts = {f"_s{f}": "_y" if not f else f"CASE WHEN {FOLD} = {f} THEN _y END" for f in sums}
+    parts |= {f"_n{f}": "1" if not f else f"CASE WHEN {FOLD} = {f} THEN 1 END" for f in sums}
+    per = store(
+        known.groupBy("_c", "_v", "_b").agg(*[F.expr(f"coalesce(sum({e}), 0)").alias(n) for n, e in parts.items()]),
+        "ordered-sums",
+    )
+    buckets_before = Window.partitionBy("_c", "_v").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per.select(
+        "_c", "_v", "_b", *[F.coalesce(F.sum(n).over(buckets_before), F.lit(0)).alias(f"{n}_0") for n in parts]
+    )
+    rows_before = (
+        Window.partitionBy("_c", "_v", "_b").orderBy("_at", ROW_ID).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    running = known.join(starts, ["_c", "_v", "_b"]).select(
+        *keep, "_c", "_v",
+        *[(F.col(f"{n}_0") + F.coalesce(F.sum(F.expr(e)).over(rows_before), F.lit(0))).alias(n)
+          for n, e in parts.items()],
+    )
+    key = F.concat_ws("/", "_c", "_v")
+    totals = per.groupBy(key.alias("_key")).agg(*[F.sum(n).alias(n) for n in parts])
+    totals = mapping(totals, "_key", "ordered-totals")
+    # test rows need the totals; with folds, so do the train rows of the fold left out
+    rest = long if n_fold else long.filter("_y IS NULL")
+    wanted = {n: f"{n}_all" for n in parts}
+    full = lookup(rest.withColumn("_k", key), totals, "_k", wanted, dict.fromkeys(wanted.values(), 0))
+    full = full.select(*keep, "_c", "_v", *wanted.values())
+    blank = [F.lit(None).cast("bigint").alias(n) for n in parts]
+    empty = [F.lit(None).cast("bigint").alias(n) for n in wanted.values()]
+    both = running.select(ROW_ID, "_c", *parts, *empty).unionByName(full.select(ROW_ID, "_c", *blank, *wanted.values()))
+    fold = [F.max(F.col(FOLD)).alias(FOLD)] if n_fold else []
+    if n_fold:
+        both = running.select(ROW_ID, FOLD, "_c", *parts, *empty).unionByName(
+            full.select(ROW_ID, FOLD, "_c", *blank, *wanted.values())
+        )
+    one = both.groupBy(ROW_ID, "_c").agg(*fold, *[F.max(n).alias(n) for n in [*parts, *wanted.values()]])
+    outside = [str(i) for i in range(1, n_fold + 1)] or [""]
+    values = []
+    for f in outside:
+        s, n = (whole[f"{x}"] or 0 for x in ("s", "n"))
+        if f:
+            s, n = s - (whole[f"s{f}"] or 0), n - (whole[f"n{f}"] or 0)
+        prior = number(s / n if n else 0.0)
+        ran = [f"({x} - {x}{f})" if f else x for x in ("_s", "_n")]
+        all_ = [f"({x}_all - {x}{f}_all)" if f else f"{x}_all" for x in ("_s", "_n")]
+        before = f"_s IS NOT NULL{f' AND {FOLD} <> {f}' if f else ''}"
+        chosen = [f"CASE WHEN {before} THEN {r} ELSE {a} END" for r, a in zip(ran, all_)]
+        w = number(prior_weight)
+        values.append(f"CAST((coalesce({chosen[0]}, 0) + {w} * {prior}) / (coalesce({chosen[1]}, 0) + {w}) AS DOUBLE)")
+    turned = one.select(ROW_ID, "_c", F.expr(f"array({', '.join(values)})").alias("_a")).groupBy(ROW_ID).agg(
+        *[F.max(F.when(F.col("_c") == i, F.col("_a"))).alias(f"_{i}") for i in range(len(cols))]
+    )
+    per_fold = [F.array(*[F.get(f"_{i}", F.lit(j)) for i in range(len(cols))]) for j in range(len(outside))]
+    return turned.select(ROW_ID, F.array(*per_fold).alias("stats"))
+
+
+def _tagged(c: str) -> str:
+    """Text key of a value, null included."""
+    return f"CASE WHEN {ident(c)} IS NULL THEN 'n' ELSE concat('v', CAST({ident(c)} AS STRING)) END"

@@ -41,7 +41,7 @@ from ordstack.functions.numeric import (
     with_pairwise,
 )
 from ordstack.functions.splits import fold_of
-from ordstack.models.embed import embed, project
+from ordstack.models.embed import embed, embed_rows, learn_basis, project
 from ordstack.operators import encode
 from ordstack.operators.columns import (
     column_roles,
@@ -50,7 +50,7 @@ from ordstack.operators.columns import (
     fill_missing,
     listed_roles,
 )
-from ordstack.operators.combine import combine
+from ordstack.operators.combine import CellSet, combine
 from ordstack.session import store
 from ordstack.sources.feature_map import from_names
 
@@ -317,15 +317,26 @@ class SparseSet:
         typed = [(str(i), "q" if i < numeric else "i") for i in range(self.width)]
         return from_names(self.source.sparkSession, typed)
 
-    def cells(self) -> DataFrame:
-        """``(row_id, idx, value)`` of the non-missing cells."""
+    def rows(self) -> DataFrame:
+        """``(row_id, is_test, target, cells)``: per row the array of its non-missing cells. No row moves."""
         pairs = [
-            F.struct(F.lit(i).cast("bigint").alias("idx"), quoted(c).alias("value"))
+            F.struct(F.lit(i).cast("bigint").alias("idx"), quoted(c).cast("double").alias("value"))
             for i, c in enumerate(self.floating)
         ]
-        dense = self.scaled.select(ROW_ID, F.inline(F.array(*pairs))).filter("value IS NOT NULL")
-        hot = self.encoder.transform_long(self.source, first=len(self.floating))
-        return dense.unionByName(hot)
+        wide, hot = self.encoder.indexed(self.scaled, first=len(self.floating))
+        pairs += [F.struct(h.alias("idx"), F.lit(1.0).alias("value")) for h in hot]
+        held = F.filter(F.array(*pairs), lambda x: x["idx"].isNotNull() & x["value"].isNotNull())
+        return wide.select(*KEYS, held.alias("cells"))
+
+    def cells(self) -> DataFrame:
+        """``(row_id, idx, value)`` of the non-missing cells."""
+        return self.rows().select(ROW_ID, F.inline("cells"))
+
+    def cell_set(self) -> CellSet:
+        """As a member of combined sparse sets; zeros have no cell."""
+        cells = self.rows().select(ROW_ID, IS_TEST, F.inline("cells")).filter("value <> 0")
+        numeric = len(self.floating)
+        return CellSet(cells, tuple((str(i), "q" if i < numeric else "i") for i in range(self.width)))
 
     def vectors(self) -> DataFrame:
         """``(row_id, is_test, target, features)``; a missing double is 0 in the vector."""
@@ -342,18 +353,22 @@ def n1(raw: DataFrame) -> SparseSet:
     return SparseSet(df, roles.floating, encoder, scaler.transform(df))
 
 
-def n2(raw: DataFrame, k: int = 64) -> FeatureSet:
-    """``n1`` embedded in ``k`` columns, whatever its width: see ``project``."""
-    table = project(n1(raw).cells(), k)
-    return FeatureSet(raw.select(*KEYS).join(table, ROW_ID))
+def n2(raw: DataFrame, k: int = 64, learned: bool = False) -> FeatureSet:
+    """``n1`` embedded in ``k`` columns, whatever its width: by a seeded projection (``project``), or
+    ``learned`` from all rows (``learn_basis``)."""
+    sparse = n1(raw)
+    if not learned:
+        return FeatureSet(project(sparse.rows(), k))
+    rows = store(sparse.rows(), "cells")
+    return FeatureSet(embed_rows(rows, learn_basis(rows, sparse.width, k), KEYS, k))
 
 
-def n3(raw: DataFrame, k: int = 128) -> FeatureSet:
-    return n2(raw, k)
+def n3(raw: DataFrame, k: int = 128, learned: bool = False) -> FeatureSet:
+    return n2(raw, k, learned)
 
 
-def n4(raw: DataFrame, k: int = 1024) -> FeatureSet:
-    return n2(raw, k)
+def n4(raw: DataFrame, k: int = 1024, learned: bool = False) -> FeatureSet:
+    return n2(raw, k, learned)
 
 
 def principal(raw: DataFrame, k: int) -> FeatureSet:
@@ -384,11 +399,11 @@ def _combined(raw: DataFrame, parts: dict[str, Part], drop_constants: bool = Tru
     return FeatureSet(kept, [c for c in whole if c in kept.columns])
 
 
-def j3(raw: DataFrame, k: int = 128, drop_constants: bool = True) -> FeatureSet:
+def j3(raw: DataFrame, k: int = 128, drop_constants: bool = True, learned: bool = False) -> FeatureSet:
     """``j2`` and the embedding side by side. Both are stored first: the row check, the test for
     constant columns and the join each read them."""
     left = j2(raw)
-    sets = {"j2": store(left.table, "j2"), "n3": store(n3(raw, k).table, "n3")}
+    sets = {"j2": store(left.table, "j2"), "n3": store(n3(raw, k, learned).table, "n3")}
     table = combine(sets, drop_constants)
     return FeatureSet(table, [f"j2_{c}" for c in left.whole if f"j2_{c}" in table.columns])
 

@@ -7,8 +7,11 @@ survives the loss of executors, and gives Catalyst exact sizes to pick join stra
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +43,25 @@ def store(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` computed and written to the checkpoint folder, its partitions as they are, without lineage."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(f"{scratch_root(spark)}/checkpoints")
+    return df.checkpoint()
+
+
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}  # kept while executors may still fetch it
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` does, unless they can import it anyway."""
+    root = Path(__file__).resolve().parents[1]
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    context = spark.sparkContext
+    if any(p and Path(p).resolve() == root for p in known) or context.applicationId in _shipped:
+        return
+    folder = _shipped[context.applicationId] = tempfile.TemporaryDirectory(prefix="ordstack-")
+    context.addPyFile(shutil.make_archive(f"{folder.name}/ordstack-core", "zip", root, "ordstack"))

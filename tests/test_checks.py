@@ -120,8 +120,8 @@ def test_targets_go_along_without_a_join(table):
 
 
 def test_projection_of_any_width(spark):
-    cells = spark.range(20_000).selectExpr("id % 50 AS row_id", "id AS idx", "1.0D AS value")
-    made = embed.project(cells, 64)
+    cells = spark.range(20_000).selectExpr("id % 50 AS row_id", "struct(id AS idx, 1.0D AS value) AS cell")
+    made = embed.project(cells.groupBy("row_id").agg(F.collect_list("cell").alias("cells")), 64)
     rows = made.collect()
     assert len(rows) == 50 and made.columns == ["row_id", *[f"e_{i}" for i in range(64)]]
     norms = [sum(r[f"e_{i}"] ** 2 for i in range(64)) for r in rows]
