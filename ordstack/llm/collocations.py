@@ -48,6 +48,7 @@ BITMAP_BITS = 1 << 27
 STEP_BYTES = 4 << 20
 
 _ROWS = 1 << 16  # of a record batch that a task returns
+_KEPT = 1 << 19  # phrases whose counts a task keeps before it returns them
 _BREAK = b"."
 #: The characters that end a piece, and A-Z, which become a-z.
 _PLAIN = bytes.maketrans(b",;:!?\x0a\x0b\x0c\x0dABCDEFGHIJKLMNOPQRSTUVWXYZ", b".........abcdefghijklmnopqrstuvwxyz")
@@ -210,13 +211,14 @@ def _distinct(word: np.ndarray, at: np.ndarray, hashes: np.ndarray, m: int) -> t
 
 
 def _counted(docs: DataFrame, rules: dict, size: int, by_text: bool) -> DataFrame:
-    """Counts of ``docs`` (``lang``, ``text``), summed per batch: ``(hash, n)``, or by text ``(lang, phrase,
-    n)``, with the number of words of a language under the empty phrase. ``rules`` holds the fields of a
+    """Counts of ``docs`` (``lang``, ``text``), summed per batch: ``(hash, n)``, or by text and per task
+    ``(lang, phrase, n)``, with the number of words of a language under the empty phrase. ``rules`` holds the fields of a
     ``Counter``, bitmaps as broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(**{k: getattr(v, "value", v) for k, v in rules.items()})
         held: dict[str, Batch] = {}
+        sums: dict[str, dict[bytes, int]] = {}  # by text: phrases recur from batch to batch
 
         def flush(lang: str) -> Iterator[pa.RecordBatch]:
             batch = held.pop(lang)
@@ -224,13 +226,27 @@ def _counted(docs: DataFrame, rules: dict, size: int, by_text: bool) -> DataFram
                 for lo in range(0, len(starts), _ROWS):
                     at = slice(lo, lo + _ROWS)
                     if by_text:
-                        yield _texts(lang, _phrases(batch, word, starts[at], m), counts[at])
+                        add(lang, _phrases(batch, word, starts[at], m), counts[at].tolist())
                     else:
                         made = [pa.array(hashes[at].view(np.int64)), pa.array(counts[at])]
                         yield pa.RecordBatch.from_arrays(made, names=["hash", "n"])
             if by_text:
                 word, fresh = batch.words()
-                yield _texts(lang, [b""], np.array([np.count_nonzero((word > 0) & fresh)]))
+                add(lang, [b""], [int(np.count_nonzero((word > 0) & fresh))])
+                if sum(map(len, sums.values())) > _KEPT:
+                    yield from summed()
+
+        def add(lang: str, phrases: list[bytes], counts: list[int]) -> None:
+            into = sums.setdefault(lang, {})
+            for p, n in zip(phrases, counts):
+                into[p] = into.get(p, 0) + n
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for lang, of in sums.items():
+                phrases, counts = list(of), np.fromiter(of.values(), dtype=np.int64, count=len(of))
+                for lo in range(0, len(phrases), _ROWS):
+                    yield _texts(lang, phrases[lo : lo + _ROWS], counts[lo : lo + _ROWS])
+            sums.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -243,6 +259,7 @@ def _counted(docs: DataFrame, rules: dict, size: int, by_text: bool) -> DataFram
                         yield from flush(max(held, key=lambda x: held[x].bytes))
         for lang in list(held):
             yield from flush(lang)
+        yield from summed()
 
     return docs.mapInArrow(run, "lang string, phrase string, n long" if by_text else "hash long, n long")
 
