@@ -16,7 +16,6 @@ so few phrases are few bytes); a bit that two phrases share only makes a pass co
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ordstack.llm.bitmap import Bitmap, bitmap_of
 from ordstack.llm.corpus import columns, read
 from ordstack.operators.lookup import Mapping, lookup, mapping
 from ordstack.session import store
@@ -80,39 +80,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Bits of hashes in a bitmap; ``bits`` is a power of two."""
-    return (hashes & np.uint64(bits - 1)).astype(np.int64)
-
-
-class Bitmap:
-    """A fixed number of bits over hashes."""
-
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.bits = bits
-        self.data = np.zeros(bits // 8, dtype=np.uint8) if data is None else data
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = places(hashes, self.bits)
-        return (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-
-    def __reduce__(self):
-        return _unpacked, (self.bits, zlib.compress(self.data, 1))  # mostly zeros until it fills up
-
-    def with_all(self, other: Bitmap) -> Bitmap:
-        return Bitmap(self.bits, self.data | other.data)
-
-    def with_places(self, rows: pa.Table) -> Bitmap:
-        """A copy that also holds ``rows`` (``byte``, ``set``)."""
-        data = self.data.copy()
-        data[rows["byte"].to_numpy()] |= rows["set"].to_numpy().astype(np.uint8)
-        return Bitmap(self.bits, data)
-
-
-def _unpacked(bits: int, packed: bytes) -> Bitmap:
-    return Bitmap(bits, np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
-
-
 class Batch:
     """Words of one language as numbers, gathered until there are enough to count; 0 ends a piece."""
 
@@ -279,12 +246,9 @@ def _texts(lang: str, phrases: list[bytes], counts: np.ndarray) -> pa.RecordBatc
 
 
 def _bitmap(counted: DataFrame, least: int, bits: int) -> Bitmap:
-    """The phrases that reach ``least``. At most ``bits / 8`` rows come to the driver."""
+    """The phrases that reach ``least``."""
     kept = counted.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    place = kept.select(F.col("hash").bitwiseAND(F.lit(bits - 1)).alias("place"))
-    set_ = F.bit_or(F.expr("shiftleft(1, CAST(place % 8 AS INT))")).cast("int").alias("set")
-    rows = place.groupBy(F.expr("place div 8").alias("byte")).agg(set_)
-    return Bitmap(bits).with_places(rows.toArrow())
+    return bitmap_of(kept.select("hash"), bits)
 
 
 def frequent_phrases(

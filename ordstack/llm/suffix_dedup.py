@@ -31,15 +31,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordstack.llm.corpus import columns, read, schema_of, spans, text_of
+from ordstack.llm.bitmap import bitmap_of
+from ordstack.llm.corpus import columns, read, schema_of, spans, text_of, unused
 from ordstack.session import store
 
 LENGTH = 100
 K = 48
 #: Windows of one run at most; longer runs (repetitive text) are cut.
 RUN = 64
-#: Repeated keys that are sent to every task (8 bytes each, so 64 MB at most); more are joined.
-BROADCAST_KEYS = 8_000_000
+#: Bits of the bitmap of keys that every task gets: 64 MB, packed while few are set. Keys that share a bit
+#: with a wanted one only make runs that the sums drop again.
+BITMAP_BITS = 1 << 29
+#: Bytes of text whose runs are found in one step. A longer text is cut with LENGTH - 1 bytes in common.
+STEP_BYTES = 1 << 18
 #: Different runs of one key that one partition sorts, and bytes of runs per partition.
 SORTED_RUNS = 4_096
 PARTITION_BYTES = 1_000_000
@@ -60,12 +64,25 @@ def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of a text: key, first window, number of windows, and whether the key's substring
-    occurs more than once in the run (only then can the run repeat a window within itself)."""
+    """``runs_of`` one text, without the owner."""
+    return runs_of([data])[1:]
+
+
+def runs_of(
+    texts: list[bytes], with_several: bool = True
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of several texts: the text, key, first window, number of windows, and whether the
+    key's substring occurs more than once in the run (only then can the run repeat a window within itself).
+
+    Texts lie one after the other in one buffer; windows that reach into the next are left out."""
+    sizes = np.array([len(x) for x in texts], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    data = b"".join(texts)
     n_windows = len(data) - LENGTH + 1
-    if n_windows < 1:
+    if n_windows < 1 or sizes.max() < LENGTH:
         none = np.zeros(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none, none.astype(bool)
+        return none, none.astype(np.uint64), none, none, none.astype(bool)
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)).astype(np.uint64)  # at every byte
     w8 = _mixed(eight, eight)
     w16 = _mixed(w8[:-8], w8[8:])
@@ -73,16 +90,46 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     grams = _mixed(w32[: len(data) - K + 1], w16[32:])  # K = 32 + 16
     span = LENGTH - K + 1
     low = _sliding(grams, span, np.minimum)
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    sizes = np.diff(np.append(first, n_windows))
-    if int(sizes.max()) > RUN:
-        pieces = -(-sizes // RUN)
-        at = np.repeat(first, pieces)
-        inner = np.arange(len(at)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        first = at + inner * RUN
-        sizes = np.diff(np.append(first, n_windows))
+    long = sizes >= LENGTH
+    steps = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(steps, begins[long], 1)
+    np.add.at(steps, ends[long] - LENGTH + 1, -1)
+    inside = np.cumsum(steps[:n_windows]) > 0
+    edge = np.concatenate([[True], (low[1:] != low[:-1]) | (inside[1:] != inside[:-1])])
+    edge[begins[long]] = True  # a text of LENGTH bytes may follow another's last window
+    at = np.flatnonzero(edge)
+    counts = np.diff(np.append(at, n_windows))
+    kept = inside[at]
+    first, counts = at[kept], counts[kept]
+    if int(counts.max()) > RUN:
+        pieces = -(-counts // RUN)
+        inner = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        whole = np.repeat(counts, pieces)
+        first = np.repeat(first, pieces) + inner * RUN
+        counts = np.minimum(RUN, whole - inner * RUN)
     keys = low[first]
-    return keys, first, sizes, _occurrences(grams, low, keys, first, sizes, span) > 1
+    several = np.zeros(len(keys), dtype=bool)
+    if with_several:
+        several = _occurrences(grams, np.where(inside, low, np.uint64(0)), keys, first, counts, span) > 1
+    owner = np.searchsorted(ends, first, side="right")
+    return owner, keys, first - begins[owner], counts, several
+
+
+def text_steps(texts: list[bytes], size: int = STEP_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Texts in steps of about ``size`` bytes: of each piece its text and where it starts in it. Pieces of a
+    longer text share LENGTH - 1 bytes, so that every window lies in one of them."""
+    held: list[tuple[int, int, bytes]] = []
+    n = 0
+    for i, x in enumerate(texts):
+        for lo in range(0, max(1, len(x) - LENGTH + 1), size):
+            piece = x[lo : lo + size + LENGTH - 1] if len(x) > size else x
+            held.append((i, lo, piece))
+            n += len(piece)
+            if n >= size:
+                yield np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
+                held, n = [], 0
+    if held:
+        yield np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held]
 
 
 def _sliding(x: np.ndarray, span: int, of) -> np.ndarray:
@@ -200,10 +247,11 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
+            keys = [np.zeros(0, dtype=np.uint64)]
             for lo, hi in spans(batch.column(0)):
-                for text in batch.column(0).slice(lo, hi - lo).to_pylist():
-                    k, _, _, several = runs(text.encode("utf-8"))
+                texts = batch.column(0).slice(lo, hi - lo).cast(pa.binary()).to_pylist()
+                for _, _, pieces in text_steps(texts):
+                    _, k, _, _, several = runs_of(pieces)
                     keys += [k, k[several]]
             found, counts = np.unique(np.concatenate(keys), return_counts=True)
             found = np.concatenate([found, found[counts > 1]])
@@ -224,85 +272,38 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     return store(sent.groupBy("part").applyInArrow(count, "h long"), "repeated-keys")
 
 
-def candidate_runs(
-    docs: DataFrame, keys: DataFrame, whole: bool, broadcast_keys: int = BROADCAST_KEYS
-) -> DataFrame:
-    """Runs whose key is among ``keys``: key, hash ``c`` of the bytes, number of windows, whether the
-    run may repeat a window within itself, and its place; with ``whole`` also the bytes.
-
-    Keys go to every task while they are few; more are joined to the runs' places, and those to the
-    texts they are cut from.
-    """
-    small = keys.count() <= broadcast_keys
-    known = np.sort(keys.toArrow()["h"].to_numpy().view(np.uint64)) if small else None
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def candidate_runs(docs: DataFrame, keys: DataFrame, whole: bool, bits: int = BITMAP_BITS) -> DataFrame:
+    """Runs whose key is among ``keys``, and some whose key shares a bit of the bitmap with one: key, hash
+    ``c`` of the bytes, number of windows, whether the run may repeat a window within itself (not told with
+    ``whole``), and its place; with ``whole`` also the bytes."""
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(keys.select("h"), bits))
     schema = "h long, c long, n long, several boolean, doc_id long, th long, s long" + ", run binary" * whole
     names = [f.name for f in schema_of(schema).fields]
 
-    def made(doc_id, th, data: bytes, k, first, sizes, several) -> pa.RecordBatch:
-        size = len(k)
-        cut = [data[s : s + n + LENGTH - 1] for s, n in zip(first.tolist(), sizes.tolist())]
-        hashed = np.array([xxhash.xxh64_intdigest(x) for x in cut], dtype=np.uint64).view(np.int64)
-        arrays = [
-            pa.array(k.view(np.int64)), pa.array(hashed), pa.array(sizes), pa.array(several),
-            pa.array([doc_id] * size, pa.int64()), pa.array([th] * size, pa.int64()), pa.array(first),
-        ]
-        return pa.RecordBatch.from_arrays([*arrays, *[pa.array(cut, pa.binary())] * whole], names=names)
-
-    def each(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
-        """Results of a few megabytes of texts at a time."""
-        for batch in batches:
-            for lo, hi in spans(batch.column(2)):
-                rows = zip(*(c.to_pylist() for c in batch.slice(lo, hi - lo).columns))
-                found = [x for x in (work(*row) for row in rows) if x.num_rows]
-                if found:
-                    yield pa.Table.from_batches(found).combine_chunks().to_batches()[0]
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-
-        def work(doc_id, th, text):
-            data = text.encode("utf-8")
-            k, first, sizes, several = runs(data)
-            at = np.minimum(np.searchsorted(wanted, k), max(len(wanted) - 1, 0))
-            on = np.flatnonzero(wanted[at] == k) if len(wanted) else at[:0]
-            return made(doc_id, th, data, k[on], first[on], sizes[on], several[on])
-
-        yield from each(batches, work)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(doc_id, th, text):
-            k, first, sizes, several = runs(text.encode("utf-8"))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k.view(np.int64)), pa.array([doc_id] * len(k), pa.int64()),
-                 pa.array([th] * len(k), pa.int64()), pa.array(first), pa.array(sizes), pa.array(several)],
-                names=["h", "doc_id", "th", "s", "n", "several"],
-            )
-
-        yield from each(batches, work)
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(doc_id, th, text, found):
-            k, first, sizes, several = (
-                np.array([f[x] for f in found], dtype=t)
-                for x, t in (("h", np.int64), ("s", np.int64), ("n", np.int64), ("several", bool))
-            )
-            return made(doc_id, th, text.encode("utf-8"), k, first, sizes, several)
-
-        yield from each(batches, work)
-
-    if small:
-        return docs.mapInArrow(search, schema)
-    placed = docs.mapInArrow(place, "h long, doc_id long, th long, s long, n long, several boolean")
-    found = (
-        placed.join(keys, "h")
-        .groupBy("doc_id", "th")
-        .agg(F.collect_list(F.struct("h", "s", "n", "several")).alias("found"))
-        .withColumn("_key", _key())
-        .select("_key", "found")
-    )
-    once = docs.dropDuplicates(["doc_id", "th"]).withColumn("_key", _key())
-    return once.join(found, "_key").select("doc_id", "th", "text", "found").mapInArrow(cut_out, schema)
+        for batch in batches:
+            for lo, hi in spans(batch.column(2)):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(2).cast(pa.binary()).to_pylist()
+                for text, begin, pieces in text_steps(texts):
+                    owner, k, first, sizes, several = runs_of(pieces, not whole)
+                    on = np.flatnonzero(wanted.holds(k))
+                    owner, k, first, sizes = owner[on], k[on], first[on], sizes[on]
+                    cut = [
+                        pieces[o][s : s + n]
+                        for o, s, n in zip(owner.tolist(), first.tolist(), (sizes + LENGTH - 1).tolist())
+                    ]
+                    hashed = np.fromiter(map(xxhash.xxh64_intdigest, cut), dtype=np.uint64, count=len(cut))
+                    row = pa.array(text[owner])
+                    arrays = [
+                        pa.array(k.view(np.int64)), pa.array(hashed.view(np.int64)), pa.array(sizes),
+                        pa.array(several[on]), part.column(0).take(row), part.column(1).take(row),
+                        pa.array(first + begin[owner]), *[pa.array(cut, pa.binary())] * whole,
+                    ]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.mapInArrow(search, schema)
 
 
 def _key() -> Column:
@@ -341,10 +342,10 @@ def _sort_partition(table):
     })
 
 
-def marks(df: DataFrame, broadcast_keys: int = BROADCAST_KEYS, sorted_runs: int = SORTED_RUNS) -> DataFrame:
+def marks(df: DataFrame, bits: int = BITMAP_BITS, sorted_runs: int = SORTED_RUNS) -> DataFrame:
     """``(doc_id, th, lo, hi)``: byte ranges of windows that also start earlier; they may overlap."""
     docs = _keyed(df)
-    found = store(candidate_runs(docs, repeated_keys(docs), False, broadcast_keys), "runs")
+    found = store(candidate_runs(docs, repeated_keys(docs), False, bits), "runs")
     groups = store(
         found.groupBy("h", "c").agg(
             F.min(_place()).alias("first"), F.max("several").alias("several"), F.count("*").alias("copies")
@@ -367,12 +368,12 @@ def marks(df: DataFrame, broadcast_keys: int = BROADCAST_KEYS, sorted_runs: int
     total = rims.filter("NOT hot").agg(F.sum("k")).first()[0] or 0
     n_parts = max(1, -(-total * (LENGTH + RUN // 2) // PARTITION_BYTES))
     part = F.pmod(F.xxhash64("h"), F.lit(n_parts))
-    different = _different_runs(docs, rims.select("h"), broadcast_keys)
+    different = _different_runs(docs, rims.select("h"), bits)
     hot = rims.filter("hot").select("h", "hot")
     if hot.isEmpty():
         return copies.unionByName(_sorted(different.withColumn("part", part)))
-    # few keys, for each has thousands of runs; joined after the sums, which both sides share
-    split = different.join(F.broadcast(hot), "h", "left")
+    # read by both sides, so stored; each hot key has thousands of runs
+    split = store(different.join(hot, "h", "left"), "different-runs")
     inner = _sorted(split.filter("hot IS NULL").withColumn("part", part))
     return copies.unionByName(inner).unionByName(_hot_windows(split.filter("hot").select("run", "at.*")))
 
@@ -383,10 +384,10 @@ def _sorted(runs_: DataFrame) -> DataFrame:
     )
 
 
-def _different_runs(docs: DataFrame, keys: DataFrame, broadcast_keys: int) -> DataFrame:
+def _different_runs(docs: DataFrame, keys: DataFrame, bits: int) -> DataFrame:
     """``(h, c, at, run)``: the different runs of ``keys``, each once, at its first place."""
     at = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("doc"), "th", "s")
-    every = candidate_runs(docs, keys, True, broadcast_keys).select("h", "c", "run", at.alias("at"))
+    every = candidate_runs(docs, keys, True, bits).select("h", "c", "run", at.alias("at"))
     return every.groupBy("h", "c").agg(F.min("at").alias("at"), F.first("run").alias("run"))
 
 
@@ -445,15 +446,16 @@ def kept_parts(data: bytes, ranges: list[tuple[int, int]]) -> list[bytes]:
 
 
 def _with_ranges(df: DataFrame) -> DataFrame:
-    """``df`` with ``_ranges`` (arrays of starts and ends). Texts are shuffled once."""
+    """``df``, and last a column of its ranges (arrays of starts and ends). Texts are shuffled once."""
+    key, ranges = unused(df, "key"), unused(df, "ranges")
     per_doc = (
         marks(df).groupBy("doc_id", "th")
-        .agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges"))
-        .withColumn("_key", _key()).select("_key", "_ranges")
+        .agg(F.collect_set(F.struct("lo", "hi")).alias(ranges))
+        .select(_key().alias(key), ranges)
     )
-    keyed = df.withColumn("_key", F.concat_ws(
+    keyed = df.withColumn(key, F.concat_ws(
         "/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
-    return keyed.join(per_doc, "_key", "left").drop("_key")
+    return keyed.join(per_doc, key, "left").select(*[F.col(f"`{c}`") for c in df.columns], ranges)
 
 
 def _ranges(array) -> list[tuple[int, int]]:
@@ -513,7 +515,7 @@ def dedup(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     schema = T.StructType(df.schema.fields)
-    return _with_ranges(df).select(*[F.col(f"`{c}`") for c in names], "_ranges").mapInArrow(run, schema)
+    return _with_ranges(df).mapInArrow(run, schema)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def passages():
     return docs
 
 
-@pytest.mark.parametrize("limits", [{}, {"sorted_runs": 2}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("limits", [{}, {"sorted_runs": 2}, {"bits": 64}])
 def test_removed_bytes(spark, passages, limits, monkeypatch):
     marks = suffix_dedup.marks
     monkeypatch.setattr(suffix_dedup, "marks", lambda df: marks(df, **limits))
@@ -145,7 +145,7 @@ def test_removed_bytes(spark, passages, limits, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.dedup_digests(df).collect()), key=str) == left_over(passages)
 
 
-@pytest.mark.parametrize("limits", [{}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("limits", [{}, {"bits": 64}])
 def test_copies_of_few_runs_do_not_meet_in_one_task(spark, limits, monkeypatch):
     """Two variants of a passage and a repetitive text, each copied very often, and a row repeated as often."""
     draw = random.Random(9)
@@ -184,3 +184,35 @@ def test_dedup_keeps_rows_columns_and_characters(spark):
     assert all(r.n_chars == len(r.text) for r in by.values() if r.text is not None)
     assert by[2].text.startswith("é") and by[2].text.endswith("z") and len(by[2].text) < 10
     assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
+def test_runs_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(6)
+    texts = [bytes(rng.choices(b"ab", k=rng.choice([0, 5, 99, 100, 101, 250, 400]))) for _ in range(60)]
+    texts += [b"x" * 300, bytes(range(256)) * 2, b"", b"ab" * 120]
+    owner, keys, first, sizes, several = suffix_dedup.runs_of(texts)
+    got = list(zip(owner.tolist(), keys.tolist(), first.tolist(), sizes.tolist(), several.tolist()))
+    want = []
+    for i, x in enumerate(texts):
+        want += [(i, *r) for r in zip(*(c.tolist() for c in suffix_dedup.runs(x)))]
+    assert got == want
+    # every window lies in one run of one step
+    for size in (64, 150, 1 << 18):
+        met = []
+        for text, begin, pieces in suffix_dedup.text_steps(texts, size):
+            o, _, f, n, _ = suffix_dedup.runs_of(pieces)
+            for a, b, m in zip(text[o].tolist(), (f + begin[o]).tolist(), n.tolist()):
+                met += [(a, w) for w in range(b, b + m)]
+        assert sorted(met) == [(i, w) for i, x in enumerate(texts) for w in range(len(x) - 99)]
+
+
+def test_clashing_names_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "STEP_BYTES", 500)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdefgh ", k=700))
+    rows = [(1, "p " + passage, "x"), (2, passage + " q" + passage, "y"), (None, None, "z"), (3, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    df = df.withColumns({"_key": F.lit(1), "_ranges": F.lit(2), "ranges": F.lit(3), "run": F.lit(4), "h": F.lit(5)})
+    got = suffix_dedup.dedup(df)
+    assert got.columns == df.columns
+    assert {r.doc_id: r.text for r in got.collect()} == {1: "p " + passage, 2: " q", 3: "", None: None}
