@@ -44,6 +44,8 @@ LOWERED = 0.5
 #: Bits of the bitmap, 16 MB. Beyond some ten million proposals a pass counts ever more phrases that
 #: are in no border; results stay the same.
 BITMAP_BITS = 1 << 27
+#: Bytes of text a task of the closing pass reads, unless that leaves cores without a task.
+TASK_BYTES = 128 << 20
 #: Bytes of text counted together. A longer text is counted in several steps.
 STEP_BYTES = 4 << 20
 
@@ -277,7 +279,10 @@ def frequent_phrases(
     longer = {"proposed": start, "first": 3, "decided": 2}
     proposed = context.broadcast(pairs.with_all(_bitmap(_counted(few, longer, size, False), enough, bits)))
     likely = context.broadcast(_bitmap(_counted(texts, {"proposed": proposed}, size, False), least, bits))
-    closing = _counted(texts, {"proposed": proposed, "likely": likely}, size, True)
+    # most frequent phrases occur in every task, so a task reads as much as it may: fewer sums are shuffled
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(context.defaultParallelism, -(-total // TASK_BYTES))
+    closing = _counted(texts.coalesce(tasks), {"proposed": proposed, "likely": likely}, size, True)
     sums = closing.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
     kept = sums.filter((F.col("n") >= least) | (F.col("phrase") == ""))
