@@ -97,6 +97,11 @@ def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -> DataF
     )
 
 
+#: Columns the mix reads, and those it adds.
+READ = ("doc_id", "source", "text")
+ADDED = ("size", "source_size", "target", "copies", "taken", "progress")
+
+
 def mix(df: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``df`` with ``size``, ``source_size``, ``target``, ``copies``, ``taken`` and ``progress``.
 
@@ -104,10 +109,14 @@ def mix(df: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST)
     and over in whole until the source's target is met as nearly as whole documents can: a copy is
     taken when its middle word lies before the target. ``progress`` holds the positions of the copies.
     Null and empty texts have size 0, ask for nothing and are taken once at their place. Repeated rows
-    queue one after another. An empty table gives no rows. Added columns replace equal names.
+    queue one after another. A null id is an id like any other. Very long texts count whole. An empty table
+    gives no rows. Added columns replace equal names; other columns pass through, whatever their names.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "progress")
-    sized = df.drop(*added).withColumn("size", n_words(F.col("text")))
+    names = [c for c in df.columns if c not in ADDED]
+    others = [F.col(f"`{c}`") for c in names if c not in READ]
+    rest = F.struct(*others) if others else F.lit(None)
+    narrow_names = df.select(*READ, rest.alias("others"))  # nothing of the input can clash with what is added
+    sized = narrow_names.withColumn("size", n_words(F.col("text")))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), name)), 1, 15), 16, 10).cast("long")
     n_bins = max(1, -(-df.select("source").count() // ROWS_PER_BIN))
@@ -147,37 +156,47 @@ def mix(df: DataFrame, seed: int = 0, share: float = SHARE, most: float = MOST)
                 lambda c: position(share_of(c), F.col("rank")),
             )).otherwise(F.array().cast("array<double>")),
         )
-        .drop("_at", "_bin", "_in", "_source", "_before", "_middle", "rank")
+        .select(*[F.col(c) if c in READ else F.col("others").getField(c).alias(c) for c in names], *ADDED)
     )
 
 
 def in_training_order(df: DataFrame, seed: int = 0) -> DataFrame:
     """The copies the mix takes, one row each with the columns of ``df``, range-sorted by position."""
-    copies = mix(df, seed).withColumn("_due", F.explode("progress"))
-    names = [F.col(f"`{c}`") for c in df.columns]
+    others = [F.col(f"`{c}`") for c in df.columns if c not in READ]
+    packed = df.select(*READ, (F.struct(*others) if others else F.lit(None)).alias("others"))
+    copies = mix(packed, seed).withColumn("due", F.explode("progress"))
+    names = [F.col(c) if c in READ else F.col("others").getField(c).alias(c) for c in df.columns]
     return (
-        copies.repartitionByRange("_due", F.xxhash64("doc_id"))
-        .sortWithinPartitions("_due", F.xxhash64("doc_id"))
+        copies.repartitionByRange("due", F.xxhash64("doc_id"))
+        .sortWithinPartitions("due", F.xxhash64("doc_id"))
         .select(*names)
     )
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of every document that a mix of all sources takes, and where in training they fall."""
+    """Words of every document that a mix of all sources takes, and where in training each of its copies
+    falls, range-sorted by the first position; documents that are not taken come first. See ``mix``."""
     docs = columns(read(spark, sf_dir), "doc_id", "source", "text")
-    return mix(docs).select(
+    placed = mix(docs).select(
         "doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source",
-        F.round(F.get("progress", F.lit(0)), 9).alias("first_position"),
+        *[F.round(F.get("progress", F.lit(i)), 9).alias(f"{n}_position") for i, n in enumerate(("first", "second"))],
     )
+    order = ["first_position", F.xxhash64("doc_id")]
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 _WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
-#: Progress by rank: the inverse demand of each default schedule, in its closed form.
-_POSITION = """CASE (rank - 1) % 3
-    WHEN 0 THEN 2 * x / (1.5 + sqrt(greatest(2.25 - 2 * x, 0)))
-    WHEN 1 THEN 2 * x / (0.5 + sqrt(greatest(0.25 + 2 * x, 0)))
-    ELSE CASE WHEN x >= 0.5 THEN 0.5 + 2 * (x - 0.5) / (1.5 + sqrt(greatest(2.25 - 4 * (x - 0.5), 0)))
-         ELSE 2 * x / (0.5 + sqrt(greatest(0.25 + 4 * x, 0))) END END"""
+
+
+def _position(x: str) -> str:
+    """Progress by rank: the inverse demand of each default schedule, in its closed form."""
+    return f"""CASE (rank - 1) % 3
+    WHEN 0 THEN 2 * {x} / (1.5 + sqrt(greatest(2.25 - 2 * {x}, 0)))
+    WHEN 1 THEN 2 * {x} / (0.5 + sqrt(greatest(0.25 + 2 * {x}, 0)))
+    ELSE CASE WHEN {x} >= 0.5 THEN 0.5 + 2 * ({x} - 0.5) / (1.5 + sqrt(greatest(2.25 - 4 * ({x} - 0.5), 0)))
+         ELSE 2 * {x} / (0.5 + sqrt(greatest(0.25 + 4 * {x}, 0))) END END"""
+
+
 OP2_SQL = f"""WITH d AS (SELECT doc_id, source, {_WORDS} AS size,
     ('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15))::BIGINT AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
@@ -194,6 +213,8 @@ m AS (SELECT d.doc_id, d.source, d.size, source_size, target, rank,
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, CASE WHEN size = 0 THEN 1
     ELSE CAST(least(greatest(ceil((target - middle) / source_size), 0), 2) AS BIGINT) END AS copies,
-    CASE WHEN target > 0 THEN middle / target ELSE 0 END AS x FROM m)
+    CASE WHEN target > 0 THEN middle / target ELSE 0 END AS x,
+    CASE WHEN target > 0 THEN (middle + source_size) / target ELSE 0 END AS y FROM m)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, round(target, 6) AS target, CAST(copies * size AS BIGINT) AS taken,
-    source, CASE WHEN copies > 0 THEN round({_POSITION}, 9) END AS first_position FROM c"""
+    source, CASE WHEN copies > 0 THEN round({_position('x')}, 9) END AS first_position,
+    CASE WHEN copies > 1 THEN round({_position('y')}, 9) END AS second_position FROM c"""

@@ -63,6 +63,15 @@ def test_mix_of_odd_rows(spark):
     assert sum(r.copies for r in mixing.mix(docs(spark)).collect()) == mixing.in_training_order(docs(spark)).count()
 
 
+def test_other_columns_go_along_whatever_their_names(spark):
+    names = ("rank", "_at", "_bin", "due", "size", "progress", "others", "copies")
+    df = docs(spark).withColumns({c: F.lit(c) for c in names})
+    made = mixing.in_training_order(df)
+    assert made.columns == df.columns
+    assert {r[c] for r in made.collect() for c in names} == set(names)
+    assert made.count() == mixing.in_training_order(docs(spark)).count()
+
+
 @pytest.mark.parametrize("schedule", [*mixing.SCHEDULES, ((0.0, 0.0), (0.3, 2.0), (1.0, 0.0))])
 def test_position_inverts_the_integrated_schedule(spark, schedule):
     def demand(u):

@@ -9,6 +9,7 @@ import pytest
 from conftest import MEDIUM, SMALL
 from pyspark.sql import functions as F
 
+from ordstack.llm.corpus import DOCUMENT_COLUMNS
 from ordstack.llm import bpe, language_id, license_scan, records, sharding
 from ordstack.llm.queries import QUERIES
 from ordstack.session import scratch_path
@@ -234,7 +235,7 @@ def test_pipeline_stages(spark):
     n = docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.store(stage(spark, docs, SMALL), name)
-        assert docs.columns == list(corpus_pipeline.DOCUMENT_COLUMNS)
+        assert docs.columns == list(DOCUMENT_COLUMNS)
         assert 0 < docs.count() <= 2 * n
     assert corpus_pipeline.run(spark, SMALL).count() == docs.count()
     empty = corpus_pipeline.read(spark, SMALL).limit(0)
