@@ -140,7 +140,7 @@ def classes(spark, sf):
 
 def _classes_boosted(spark, sf) -> jobs.Result:
     df = with_fold(recipes.j0(fixture.staged(spark, sf)).table)
-    return jobs.boosted_classes(df, usable(df), jobs.Boosting(rounds=8, depth=5, rate=0.3, bins=32, patience=2))
+    return jobs.boosted_classes(df, usable(df), jobs.Boosting(rounds=4, depth=5, rate=0.5, bins=32, patience=2))
 
 
 @query("j5_boosted_classes")

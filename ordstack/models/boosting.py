@@ -29,6 +29,7 @@ from ordstack.session import checkpointed, scratch_path
 
 PARALLEL = 8  # trees in flight; each is itself a series of Spark jobs
 SCORES = "_scores"
+SHARES = "_shares"
 DRAWS = 1 << 20  # resolution of the share of rows a round sees
 LEAST_CURVATURE = 1e-4
 LARGEST_STEP = 4.0  # of a row of a classifier: steps of rare classes would be without a bound
@@ -204,7 +205,19 @@ class Stagewise:
         self._keep(data.withColumn(SCORES, F.array(*[F.lit(m.base) for m in self.models])))
 
     def _keep(self, state: DataFrame) -> None:
+        """The state from now on: checkpointed, cached, for classes with the probabilities of all tasks."""
+        if self.kind == "softmax":
+            parts = {}
+            for unit in {t.unit for t in self.tasks}:
+                scores = {j: self._score(j) for j in self._unit(unit)}
+                state = state.withColumn(f"_z{unit}", log_sum_exp(list(scores.values())))
+                parts |= {j: F.exp(s - F.col(f"_z{unit}")) for j, s in scores.items()}
+            shares = F.array(*[parts[j] for j in range(len(self.tasks))])
+            kept = [quoted(c) for c in state.columns if not c.startswith("_z") and c != SHARES]
+            state = state.select(*kept, shares.alias(SHARES))
+        state = state.persist(StorageLevel.MEMORY_AND_DISK)  # else it is computed twice to be written
         fresh = checkpointed(state).persist(StorageLevel.MEMORY_AND_DISK)
+        state.unpersist()
         if self.held is not None:
             self.held.unpersist()
         self.state = self.held = fresh
@@ -244,8 +257,7 @@ class Stagewise:
             return _squared(y, score)
         if self.kind == "logistic":
             return _newton(y, 1 / (1 + F.exp(-score)))
-        others = [self._score(k) for k in self._unit(self.tasks[j].unit)]
-        return _newton(y, F.exp(score - log_sum_exp(others)))
+        return _newton(y, F.get(F.col(SHARES), F.lit(j)))
 
     def _fit_tree(self, j: int, number: int):
         t, p = self.tasks[j], self.params
