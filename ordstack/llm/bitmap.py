@@ -7,14 +7,15 @@ out that certainly is not needed, and decide by the data itself afterwards.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Bytes of the pieces in which a bitmap is put together.
-PIECE = 1 << 17
+PIECE = 1 << 18
 
 
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -23,29 +24,34 @@ def places(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Bitmap:
-    """``bits`` bits over hashes. Pickled packed, so that few hashes are few bytes."""
+    """``bits`` bits over hashes. Made of packed pieces, it stays packed, also when it is pickled, until its
+    bits are looked at: the driver, which only passes it on, never holds it whole unless it is full."""
 
-    def __init__(self, bits: int, data: np.ndarray | None = None):
-        self.bits = bits
-        self.data = np.zeros(bits // 8, dtype=np.uint8) if data is None else data
+    def __init__(self, bits: int, pieces: Sequence[tuple[int, bytes]] = ()):
+        self.bits, self.pieces = bits, list(pieces)
 
     def __reduce__(self):
-        return _unpacked, (self.bits, zlib.compress(self.data, 1))
+        return Bitmap, (self.bits, self.pieces)
+
+    @cached_property
+    def data(self) -> np.ndarray:
+        made = np.zeros(self.bits // 8, dtype=np.uint8)
+        for at, packed in self.pieces:
+            piece = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+            made[at : at + len(piece)] |= piece
+        return made
 
     def holds(self, hashes: np.ndarray) -> np.ndarray:
         at = places(hashes, self.bits)
         return (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def put(self, hashes: np.ndarray) -> None:
+        """Set bits, in this process only."""
         at = places(hashes, self.bits)
         np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def with_all(self, other: Bitmap) -> Bitmap:
-        return Bitmap(self.bits, self.data | other.data)
-
-
-def _unpacked(bits: int, packed: bytes) -> Bitmap:
-    return Bitmap(bits, np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
+        return Bitmap(self.bits, self.pieces + other.pieces)
 
 
 def bitmap_of(hashes: DataFrame, bits: int) -> Bitmap:
@@ -69,10 +75,8 @@ def bitmap_of(hashes: DataFrame, bits: int) -> Bitmap:
         for packed in table["piece"].to_pylist():
             piece = np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
             out = piece.copy() if out is None else out | piece
-        return pa.table({"at": table["at"][:1], "piece": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"at": table["at"][:1], "piece": pa.array([zlib.compress(out, 1)], pa.binary())})
 
     pieces = hashes.mapInArrow(own, "at long, piece binary").groupBy("at").applyInArrow(together, "at long, piece binary")
-    out = Bitmap(bits)
-    for at, piece in zip(*(c.to_pylist() for c in pieces.toArrow().columns)):
-        out.data[at : at + len(piece)] = np.frombuffer(piece, dtype=np.uint8)
-    return out
+    found = pieces.toArrow()
+    return Bitmap(bits, list(zip(found["at"].to_pylist(), found["piece"].to_pylist())))
