@@ -9,7 +9,6 @@ from ordstack.catalog.projections import DAY, composite_sql, pairwise_sql
 from ordstack.catalog.registry import fold_mean_ctes, label_ctes, over_base, query, r6, rounded, s6, tag
 from ordstack.catalog.relational import mean_ctes, stand_in_sql, stand_ins
 from ordstack.constants import J1_INTERACTIONS, J4_INTERACTIONS, J8_INTERACTIONS
-from ordstack.operators import combine
 from ordstack.operators.combine import cells_of, combine_cells
 from ordstack.plans import fixture, recipes, stacks
 

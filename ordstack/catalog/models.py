@@ -20,7 +20,7 @@ from ordstack.catalog.registry import (
     s6,
 )
 from ordstack.catalog.relational import _SHARES_SQL, assigned, stand_in_sql
-from ordstack.constants import DEFAULT_CUTOFFS, FOLD, IS_TEST, N_FOLD, TARGET
+from ordstack.constants import DEFAULT_CUTOFFS, N_FOLD
 from ordstack.functions.numeric import apply_cutoffs, quoted
 from ordstack.models import blend, cutoffs, jobs
 from ordstack.operators import combine, encode, metric
