@@ -145,12 +145,13 @@ class Written:
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END_ID) -> Written:
     """Write ``docs`` (``doc_id``, ``text``) as token records into ``folder``, in ascending ``doc_id``.
 
-    Texts are dealt out by ranges of the key and sorted within; a null key comes last, ties follow a
-    hash of the text. Null and empty texts give the end id alone. No documents, no files.
+    Texts are dealt out by ranges of the key and, where many rows share one or have none, of a hash of the
+    text, and sorted within; a null key comes last. Null and empty texts give the end id alone. No documents,
+    no files.
     """
     docs = columns(docs, "doc_id", "text")
-    key = F.col("doc_id").asc_nulls_last()
-    ranged = docs.repartitionByRange(key).sortWithinPartitions(key, F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

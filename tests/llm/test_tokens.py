@@ -120,6 +120,21 @@ def test_records_of_odd_rows(spark, library):
     assert records.records(spark, empty).count() == 0
 
 
+def test_many_rows_without_an_id_do_not_gather_in_one_file(spark):
+    rows = [(None if i % 2 else 7, f"text number {i} " * (i % 5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or few rows are one file
+    try:
+        written = records.write(df, bpe.vocabulary(), scratch_path(spark, "records"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [n for _, n, _ in written.parts]
+    assert sum(sizes) == 2000 and max(sizes) < 700
+    got = sorted(map(tuple, records.records(spark, written).collect()), key=lambda r: r[1])
+    assert [r[0] is None for r in got] == [False] * 1000 + [True] * 1000
+    assert [r[1] for r in got] == [0, *np.cumsum([r[2] for r in got])[:-1].tolist()]
+
+
 def test_damage_is_noticed():
     frame = records.frames([records.packed(np.array([1, 2], dtype="<u4").tobytes(), 2)])[0]
     assert records.unpacked(records.unframed(frame, [0])[0]) == np.array([1, 2], dtype="<u4").tobytes()
