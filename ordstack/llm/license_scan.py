@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -164,10 +165,20 @@ class Scanner:
                     score, lo, hi = self._best_run(pairs, at, j, reach, len(self.templates[t][1]))
                     if score >= self.least:
                         runs.append((score, lo, hi, self.templates[t][0]))
-        taken = list(matched)
+        # matching blocks overlap, lines being parts of paragraphs: merged, ranges are apart and in order
+        starts: list[int] = []
+        ends: list[int] = []
+        for lo, hi in sorted(matched):
+            if ends and lo < ends[-1]:
+                ends[-1] = max(ends[-1], hi)
+            else:
+                starts.append(lo)
+                ends.append(hi)
         for score, lo, hi, name in sorted(runs, key=lambda r: (-r[0], r[1] - r[2], r[1], r[3])):
-            if all(hi <= a or b <= lo for a, b in taken):
-                taken.append((lo, hi))
+            i = bisect_right(ends, lo)  # the first range that ends beyond the run's start
+            if i == len(starts) or hi <= starts[i]:
+                starts.insert(i, lo)
+                ends.insert(i, hi)
                 yield name, score
 
     @staticmethod
