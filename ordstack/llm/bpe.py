@@ -14,7 +14,9 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ AGREE = 8
 CACHED = 150_000
 #: Words encoded in one call.
 CALL = 2_000
+#: Stands between words among their ids, which are below 2^24.
+NO_ID = b"\xff" * 4
 
 #: Characters for which lower-casing and composition are the same everywhere: printable ASCII and
 #: precomposed Latin letters, without the one whose lower case is two characters.
@@ -93,9 +97,9 @@ class Encoder:
         return raw.split() if self.cuts else [raw]
 
     def _pattern(self):
-        """The pattern that parts words, if the tokenizer composes, folds white space and case, keeps
-        the pattern's matches and encodes each by itself up to a marked end; else none. Beside it,
-        which ids end a match."""
+        """The pattern that parts words, and line feeds, if the tokenizer composes, folds white space and
+        case, keeps the pattern's matches and encodes each by itself up to a marked end; else none. Beside
+        it, which ids end a match."""
         import regex
 
         made = json.loads(self.tokenizer.to_str())
@@ -109,54 +113,65 @@ class Encoder:
             split[0]["behavior"] == "Removed" and split[0]["invert"]
             and not split[1]["use_regex"] and not split[1]["add_prefix_space"]
         )
-        if not (folds and parts and suffix):
-            return None, None
         vocabulary = self.tokenizer.get_vocab()
+        if not (folds and parts and suffix) or max(vocabulary.values()) >= 1 << 24:
+            return None, None
         ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        return regex.compile(split[0]["pattern"]["Regex"]), ends
+        return regex.compile(rf"(?:{split[0]['pattern']['Regex']})|\n"), ends
 
     def learn(self, words: set[bytes]) -> None:
         """Encode the words that no generation holds."""
-        young, old, new = self.young, self.old, []
-        for w in words:
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
-        if not new:
+        young, old = self.young, self.old
+        missing = words.difference(young)
+        fresh = missing.difference(old)
+        for w in missing.difference(fresh):
+            young[w] = old[w]
+        if not fresh:
             return
+        new = list(fresh)
         if self.mark and self.cuts:  # words hold no line feed
             text = b"\n".join(new).decode("utf-8")
-            texts, lows = text.split("\n"), text.lower().split("\n")
+            texts = text.split("\n")
             odd = set(self.odd.findall(text)) if self.pattern else set(texts)
         else:
-            texts = lows = [w.decode("utf-8") for w in new]
+            texts = [w.decode("utf-8") for w in new]
             odd = set(texts)
-        parted, whole, plain = [], [], []
-        for w, t, low in zip(new, texts, lows):
-            if t not in odd:
-                if low.isalpha():
-                    whole.append((w, low))
-                else:
-                    parted.append((w, self.pattern.findall(low)))
-            elif not self.mark or len(t) > PIECE or self.special.search(t):
+        plain = []
+        for w, t in [(w, t) for w, t in zip(new, texts) if t in odd]:
+            if not self.mark or len(t) > PIECE or self.special.search(t):
                 ids = self._ids(t) if len(t) <= LONG else [x[0] for x in tree(self, t)]
                 young[w] = np.array(ids, dtype="<u4").tobytes()
             else:
                 plain.append((w, t))
-        parts, old_parts = self.parts, self.old_parts
-        wanted = set().union([x for _, x in whole], *[xs for _, xs in parted]) - parts.keys()
-        for x in wanted & old_parts.keys():
-            parts[x] = old_parts[x]
-        fresh = list(wanted - old_parts.keys())
-        parts.update(zip(fresh, self._ended(fresh)))
-        for w, x in whole:
-            young[w] = parts[x]
-        for w, xs in parted:
-            young[w] = b"".join([parts[x] for x in xs])
+        if len(odd) < len(new):
+            if odd:
+                new, texts = zip(*[(w, t) for w, t in zip(new, texts) if t not in odd])
+            self._parted(new, "\n".join(texts).lower().split("\n"))
         young.update(zip([w for w, _ in plain], self._apart([t for _, t in plain])))
+
+    def _parted(self, words: Sequence[bytes], lows: list[str]) -> None:
+        """Encode words, given with their lower case, by their parts; each distinct part once."""
+        one = list(map(str.isalpha, lows))
+        several = list(map(not_, one))
+        whole, many = list(compress(lows, one)), list(compress(lows, several))
+        # the parts of all words in one list, with a line feed after each word but the last
+        flat = self.pattern.findall("\n".join(many))
+        if flat.count("\n") != max(len(many) - 1, 0):
+            raise ValueError("a part of a word goes beyond it")
+        parts, old = self.parts, self.old_parts
+        missing = set(whole).union(flat).difference(parts)
+        fresh = missing.difference(old)
+        for x in missing.difference(fresh):
+            parts[x] = old[x]
+        fresh.discard("\n")
+        new = list(fresh)
+        parts.update(zip(new, self._ended(new)))
+        self.young.update(zip(compress(words, one), map(parts.__getitem__, whole)))
+        if many:
+            parts["\n"] = NO_ID  # no id has these bytes, and none before it ends with one of them
+            found = b"".join(map(parts.__getitem__, flat)).split(NO_ID)
+            self.young.update(zip(compress(words, several), found))
         if len(parts) > CACHED:
             self.old_parts, self.parts = parts, {}
 
@@ -189,7 +204,7 @@ class Encoder:
         split = [self.words(t) if t else [] for t in texts]
         self.learn(set().union(*split))
         held = self.young
-        out = [b"".join([held[w] for w in words]) for words in split]
+        out = [b"".join(map(held.__getitem__, words)) for words in split]
         if len(held) > CACHED:
             self.old, self.young = held, {}
         return out
