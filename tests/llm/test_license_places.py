@@ -58,3 +58,11 @@ def test_no_notice_is_taken_for_another_licence():
     made = license_scan.Scanner().templates
     for (a, x), (b, y) in itertools.combinations(made, 2):
         assert a == b or license_scan.dice(x, y) < license_scan.LEAST, (a, b)
+
+
+def test_repeated_notices_count_each_once():
+    """Runs that a matching line or an earlier run touches don't count again, however many there are."""
+    line = NOTICE["MIT"]
+    inside = " ".join([f"{PROSE} {line}"] * 300)
+    assert license_scan.Scanner(places=True).scan(inside) == [("MIT", 1.0, 300)]
+    assert license_scan.Scanner(places=True).scan(f"{line}\n{inside}\n{line}") == [("MIT", 1.0, 302)]
