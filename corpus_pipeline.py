@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ordstack.llm import near_dedup, simhash
 from ordstack.llm.bpe import round_trip, vocabulary
 from ordstack.llm.corpus import columns, read, ship
 from ordstack.llm.language_id import accepted, fit
 from ordstack.llm.mixing import in_training_order
-from ordstack.llm.near_dedup import keep_one
 from ordstack.llm.suffix_dedup import dedup
 from ordstack.session import store
 
@@ -26,10 +26,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near duplicates: texts whose five-word
-    shingles have a Jaccard coefficient of 0.8 or more (op10's fingerprints tell almost exact copies only)."""
+    """One document, that of the smallest id, of every group of near duplicates: first by SimHash, those whose
+    fingerprints link as in op10. Its two bits tell almost exact copies only, so of what is left, texts whose
+    five-word shingles have a Jaccard coefficient of 0.8 or more become one too."""
     ship(spark)
-    return keep_one(docs)
+    return near_dedup.keep_one(store(simhash.keep_one(docs), "simhash-kept"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

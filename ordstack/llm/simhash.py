@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordstack.llm.corpus import columns, read, spans
+from ordstack.llm.corpus import columns, read, spans, unused
 from ordstack.llm.graph import components
 from ordstack.session import store
 
@@ -169,19 +169,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that tie for it (a repeated ``doc_id``, or none at all) leave the one of the smallest
     fingerprint, then of the smallest hash of the text. Texts are shuffled once, by a nearly unique key.
     """
+    fp, key, rank = unused(docs, "fp"), unused(docs, "key"), unused(docs, "rank")
     chosen = (
         near_duplicates(docs)
         .filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("label")
         .agg(F.min(F.struct("fp", "doc_id")).alias("kept"))
-        .select(_key(F.col("kept.doc_id"), F.col("kept.fp")).alias("_key"))
+        .select(_key(F.col("kept.doc_id"), F.col("kept.fp")).alias(key))
     )
-    keyed = with_fingerprint(docs, "_fp").withColumn("_key", _key(F.col("doc_id"), F.col("_fp")))
-    order = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
+    keyed = with_fingerprint(docs, fp).withColumn(key, _key(F.col("doc_id"), F.col(fp)))
+    order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
     return (
-        keyed.join(chosen, "_key", "left_semi")
-        .withColumn("_rank", F.row_number().over(order))
-        .filter("_rank = 1")
+        keyed.join(chosen, key, "left_semi")
+        .withColumn(rank, F.row_number().over(order))
+        .filter(F.col(rank) == 1)
         .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
 
