@@ -606,6 +606,14 @@ class Stagewise:
         return self.kind != "softmax" or self.models[j].base > log(2 * LEAST_SHARE)
 
 
+def columns_tried(params: Boosting, width: int, number: int, node: int) -> np.ndarray:
+    """The columns a node of the tree ``number`` looks at."""
+    tried = params.tried(width)
+    if tried == width:
+        return np.arange(width)
+    return np.random.default_rng([params.seed + number, node]).choice(width, tried, replace=False)
+
+
 def _best_split(
     sums: np.ndarray, bins: Bins, params: Boosting, number: int, node: int
 ) -> tuple[int, np.ndarray, float, tuple[float, float]] | None:
@@ -619,10 +627,8 @@ def _best_split(
     n, w, s = (np.cumsum(np.take_along_axis(sums[:, :, i], order, axis=1), axis=1) for i in range(3))
     rest_n, rest_w, rest_s = n[:, -1:] - n, w[:, -1:] - w, s[:, -1:] - s
     fits = (n >= max(1, params.min_rows)) & (rest_n >= max(1, params.min_rows)) & (w > 0) & (rest_w > 0)
-    tried = params.tried(width)
-    if tried < width:
-        chosen = np.random.default_rng([params.seed + number, node]).choice(width, tried, replace=False)
-        fits[np.setdiff1d(np.arange(width), chosen)] = False
+    if params.tried(width) < width:
+        fits[np.setdiff1d(np.arange(width), columns_tried(params, width, number, node))] = False
     if not fits.any():
         return None
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -11,12 +11,14 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import Bucketizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from ordstack.functions.numeric import argmax_class, quoted, row_mean
 from ordstack.functions.splits import assign_folds
 from ordstack.models.boosting import (  # noqa: F401  parameters and curve are part of this module's interface
     PARALLEL,
+    Bins,
     Boosted,
     Boosting,
     Stagewise,
@@ -34,6 +37,7 @@ from ordstack.models.boosting import (  # noqa: F401  parameters and curve are p
     split_counts,
     sums_of,
 )
+from ordstack.models.random_trees import Forest, grow, tasks_for
 from ordstack.operators.columns import feature_columns
 from ordstack.operators.combine import with_fold_vectors
 from ordstack.operators.ordering import importance
@@ -293,53 +297,36 @@ def random_threshold_trees(
     The forest consists of ``groups`` forests. Each draws ``cuts`` thresholds per column from the column's
     range over its train rows, looks at the columns through these cuts only, tries a random third of the
     columns at a node, and sees all rows (no bootstrap). With one tree per group every tree has cuts of its
-    own. The learner ends at 30 levels; deeper trees are refused.
+    own. All trees grow together, a pass per level. Trees of over 30 levels are refused.
     """
     if depth > MAX_DEPTH:
         raise ValueError(f"trees grow to depth {MAX_DEPTH} at most, not {depth}")
     groups = min(groups, trees)
     source = df if FOLD in df.columns else assign_folds(df)
-    names = [f"x{i}" for i in range(len(features))]
-    slim = source.select(
-        *[c for c in (ROW_ID, IS_TEST, TARGET, FOLD) if c in source.columns],
-        quoted(TARGET).cast("double").alias("label"),
-        *[F.coalesce(quoted(f).cast("double"), F.lit(-1.0)).alias(n) for f, n in zip(features, names)],
-    )
-    data = cached(slim)
+    slim = assemble(source, features)
+    data = slim.repartition(tasks_for(slim.select(ROW_ID).count()), ROW_ID).sortWithinPartitions(ROW_ID)
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     train, test = _sides(data)
     folds = list(range(1, N_FOLD + 1))
-    ranges = train.groupBy(FOLD).agg(
-        *[F.min(n).alias(f"lo_{n}") for n in names], *[F.max(n).alias(f"hi_{n}") for n in names]
-    ).collect()
+    ends = Summarizer.metrics("min", "max").summary(F.col("features"))
+    ranges = train.groupBy(FOLD).agg(ends.alias("ends")).select(FOLD, "ends.min", "ends.max").collect()
 
-    def fit(task: tuple[int, int]):
-        i, g = task
+    forests = []
+    for i in folds:
         mine = [r for r in ranges if r[FOLD] != i]
-        bounds = {n: (min(r[f"lo_{n}"] for r in mine), max(r[f"hi_{n}"] for r in mine)) for n in names}
-        binned = [f"b{g}_{n}" for n in names]
-        splits = random_cuts(bounds, cuts, seed * 1_000_003 + i * 1009 + g)
-        forest = RandomForestRegressor(
-            labelCol="label", featuresCol=f"f{g}", predictionCol=f"_p{i}_{g}", bootstrap=False,
-            numTrees=trees // groups + (g < trees % groups), maxDepth=depth, maxBins=max(cuts + 2, 8),
-            minInstancesPerNode=min_rows, featureSubsetStrategy="onethird", seed=seed + g,
-        )
-        plan = [
-            Bucketizer(splitsArray=splits, inputCols=names, outputCols=binned),
-            VectorAssembler(inputCols=binned, outputCol=f"f{g}"),
-            forest,
-        ]
-        return Pipeline(stages=plan).fit(train.filter(F.col(FOLD) != i))
-
-    tasks = [(i, g) for i in folds for g in range(groups)]
-    fitted = dict(zip(tasks, _in_threads(fit, tasks)))
-    sizes = [fitted[1, g].stages[-1].getNumTrees for g in range(groups)]
+        bounds = {f: (float(min(r["min"][j] for r in mine)), float(max(r["max"][j] for r in mine))) for j, f in enumerate(features)}
+        for g in range(groups):
+            edges = [np.array(x[1:-1]) for x in random_cuts(bounds, cuts, seed * 1_000_003 + i * 1009 + g)]
+            first = (i - 1) * trees + sum(trees // groups + (h < trees % groups) for h in range(g))
+            numbers = range(first, first + trees // groups + (g < trees % groups))
+            forests.append(Forest(i, Bins(edges, [len(e) + 1 for e in edges]), tuple(numbers)))
+    params = Boosting(depth=depth, min_rows=min_rows, subcol="onethird", seed=seed)
+    grown = grow(train, forests, params)
+    models = [Boosted(0.0, 1.0 / trees, g.bins, [grown[j] for j in g.numbers]) for g in forests]
 
     def predicted(rows: DataFrame, i: int) -> DataFrame:
-        kept = rows.columns
-        for g in range(groups):
-            rows = fitted[i, g].transform(rows).select(*kept, *[f"_p{i}_{h}" for h in range(g + 1)])
-        total = sum((F.col(f"_p{i}_{g}") * n for g, n in enumerate(sizes)), F.lit(0.0))
-        return rows.select(*kept, (total / sum(sizes)).alias(f"_p{i}"))
+        parts = sums_of(models[(i - 1) * groups : i * groups])
+        return rows.withColumn(f"_p{i}", F.aggregate(parts, F.lit(0.0), lambda a, p: a + p))
 
     oof = None
     for i in folds:
@@ -349,11 +336,10 @@ def random_threshold_trees(
     for i in folds:
         test = predicted(test, i)
     test_p = test.select(ROW_ID, row_mean([F.col(f"_p{i}") for i in folds]).alias("prediction"))
-    gains = [sum(fitted[1, g].stages[-1].featureImportances.toArray()[j] * n for g, n in enumerate(sizes))
-             for j in range(len(names))]
+    gains = sum(np.array(m.importances()) * len(m.trees) for m in models[:groups])
     table = importance_table(df, features, gains)
     oof, test_p = _finish(data, oof, test_p, "random-trees")
-    return Result(oof, test_p, table, None, [fitted[t] for t in tasks])
+    return Result(oof, test_p, table, None, models)
 
 
 def linear_regression(
