@@ -13,7 +13,7 @@ from ordstack.llm.corpus import columns, read, ship
 from ordstack.llm.language_id import accepted, fit
 from ordstack.llm.mixing import in_training_order
 from ordstack.llm.suffix_dedup import dedup
-from ordstack.session import store
+from ordstack.session import passing, scratch_path, store
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +28,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of every group of near duplicates: first by SimHash, those whose
     fingerprints link as in op10. Its two bits tell almost exact copies only, so of what is left, texts whose
-    five-word shingles have a Jaccard coefficient of 0.8 or more become one too."""
+    five-word shingles have a Jaccard coefficient of 0.8 or more become one too.
+
+    Only the keys of those that stay outlive the search; the texts are then taken from ``docs``."""
     ship(spark)
-    return near_dedup.keep_one(store(simhash.keep_one(docs), "simhash-kept"))
+    with passing(spark):
+        kept = store(simhash.keep_one(docs), "simhash-kept")
+        keys = near_dedup.kept_keys(kept)
+        path = scratch_path(spark, "near-kept")
+        keys.write.parquet(path)
+    return near_dedup.rows_of(docs, spark.read.schema(keys.schema).parquet(path))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -233,15 +233,31 @@ def keep_one(
     rows leave one. Null and empty texts are one group. Very long texts are compared whole; their shingles
     take eight bytes a word in a task. An empty table gives no rows.
     """
+    return rows_of(docs, kept_keys(docs, size, similarity, rounds, block))
+
+
+def kept_keys(
+    docs: DataFrame,
+    size: int = SHINGLE,
+    similarity: float = SIMILARITY,
+    rounds: int = LEADER_ROUNDS,
+    block: int = BLOCK,
+) -> DataFrame:
+    """``key`` of every document that ``keep_one`` keeps: one narrow row each, without the text."""
     nodes = _nodes(docs, size)
     roots = components(_links(docs, nodes, size, similarity, rounds, block))
-    key, rank = unused(docs, "key"), unused(docs, "rank")
-    chosen = (
+    return (
         nodes.join(roots, nodes.sh == roots.u, "left")
         .groupBy(F.coalesce("v", "sh").alias("label"))
         .agg(F.min("at").alias("at"))
-        .select(_text_key(F.col("at.doc_id"), F.col("at.th")).alias(key))
+        .select(_text_key(F.col("at.doc_id"), F.col("at.th")).alias("key"))
     )
+
+
+def rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` under ``keys``, one each, all columns as they are."""
+    key, rank = unused(docs, "key"), unused(docs, "rank")
+    chosen = keys.select(F.col("key").alias(key))
     keyed = docs.withColumn(key, _text_key(F.col("doc_id"), F.xxhash64("text")))
     order = Window.partitionBy(key).orderBy(F.xxhash64("text"))
     return (
