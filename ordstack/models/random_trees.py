@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordstack.constants import FOLD
-from ordstack.models.boosting import Bins, Boosting, Tree, _added, _best_split, _matrix, columns_tried
+from ordstack.models.boosting import Bins, Boosting, Tree, _best_split, _matrix, columns_tried
 from ordstack.session import ship
 
 BLOCKS = "folds binary, labels binary, places binary"
@@ -78,6 +78,17 @@ def _pack(train: DataFrame, limits: Sequence[np.ndarray]) -> DataFrame:
     return slim.mapInArrow(run, BLOCKS)
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of one key added up, in the order they come in."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            part = np.frombuffer(batch.column(2)[i].as_buffer(), np.float64)
+            held[k] = held[k] + part if k in held else part.copy()
+    made = [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())]
+    yield pa.RecordBatch.from_arrays(made, names=["k", "h"])
+
+
 def _sums(
     state: DataFrame, forests: Sequence[Forest], trees: dict[int, Tree], tables: Sequence[np.ndarray], params: Boosting
 ) -> dict[int, tuple[np.ndarray, np.ndarray]]:
