@@ -90,3 +90,15 @@ def test_no_global_window_over_rows(spark):
     p = plan(REGISTRY["f1_order_stats"].run(spark, SMALL))
     for window in re.findall(r"Window \[.*", p):
         assert "_range" in window
+
+
+def test_a_set_joined_to_its_embedding_moves_cells_not_components(spark, monkeypatch):
+    stored, store = [], recipes.store
+    monkeypatch.setattr(recipes, "store", lambda df, label: stored.append(df.columns) or store(df, label))
+    made = recipes.j3(fixture.staged(spark, SMALL), k=4, learned=True, drop_constants=False)
+    assert {f"n3_e_{i}" for i in range(4)} <= set(made.table.columns) and "cells" not in made.table.columns
+    assert stored and not any(c.startswith("e_") for columns in stored for c in columns)
+    rows = made.table.select("row_id", "n3_e_0", "n3_e_3").orderBy("row_id").collect()
+    alone = recipes.n3(fixture.staged(spark, SMALL), 4, learned=True).table.orderBy("row_id").collect()
+    assert len(rows) == len(alone)
+    assert all(a.row_id == b.row_id and a.n3_e_0 == pytest.approx(b.e_0, abs=1e-6) for a, b in zip(rows, alone))
