@@ -4,9 +4,10 @@ import re
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import functions as F
 
-from ordstack.catalog import REGISTRY
-from ordstack.operators import combine, encode, metric
+from ordstack.catalog import REGISTRY, models
+from ordstack.operators import combine, encode, lookup, metric
 from ordstack.plans import fixture, recipes
 from ordstack.session import scratch_path
 from ordstack.sources import tables
@@ -102,3 +103,34 @@ def test_a_set_joined_to_its_embedding_moves_cells_not_components(spark, monkeyp
     alone = recipes.n3(fixture.staged(spark, SMALL), 4, learned=True).table.orderBy("row_id").collect()
     assert len(rows) == len(alone)
     assert all(a.row_id == b.row_id and a.n3_e_0 == pytest.approx(b.e_0, abs=1e-6) for a, b in zip(rows, alone))
+
+
+def test_large_lookups_move_raw_rows_not_derived_columns(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    made = recipes.j7(fixture.staged(spark, SMALL), drop_constants=False).table
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    lines = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    first = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert any("f_5+f_8" in line for line in lines[:first])
+    assert not any("f_5+f_8" in line or "f_5+f_21" in line for line in lines[first:])
+
+
+def test_fold_vectors_move_their_rows_once(spark):
+    long = spark.range(40).selectExpr("id AS row_id", "explode(sequence(1, 5)) AS fold").withColumn("x", F.rand(3))
+    df = spark.range(40).selectExpr("id AS row_id", "id % 2 = 0 AS is_test", "1 AS target")
+    made = combine.with_fold_vectors(df, long, ["x"])
+    assert plan(made).count("Exchange hashpartitioning") <= 1  # the small other side is broadcast
+    assert made.selectExpr("size(fold_features) AS n").distinct().first().n == 5
+    for bad in (long.filter("row_id <> 7 OR fold <> 2"), long.unionByName(long.filter("row_id = 7 AND fold = 2"))):
+        with pytest.raises(Exception, match="row without a partner"):
+            combine.with_fold_vectors(df, bad, ["x"]).collect()
+
+
+def test_a_model_on_fold_features_stores_only_what_it_sees(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "with_fold", lambda df: seen.append(df.columns) or fixture.with_fold(df))
+    monkeypatch.setattr(models.jobs, "boosted_regression", lambda df, features, *a, **k: seen.append(features))
+    monkeypatch.setattr(models, "both_sides", lambda made: made)
+    models.boosted_folds(spark, SMALL)
+    assert set(seen[0]) == {*recipes.KEYS, *seen[1]}
