@@ -1,5 +1,6 @@
 """What the learned embedding moves and holds."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -83,3 +84,19 @@ def test_a_basis_of_many_blocks_is_applied_without_storing_dense_rows(spark, mon
         values = got[[f"e_{i}" for i in range(7)]].to_numpy()
         assert np.allclose(values[:, :6], dense(rows, 60) @ lines) and not values[:, 6].any()
     assert stored and not any(c.startswith("_e") for columns in stored for c in columns)
+
+
+def test_a_projection_adds_a_rows_cells_up_without_a_search_per_component(spark):
+    rows = [*some_rows(50, 300, 8), [(4, None), (5, 1.0)]]
+    cells = spark.createDataFrame([(i, f"n{i}", r) for i, r in enumerate(rows)], "row_id long, x string, " + CELLS[13:]).withColumnRenamed("x", "a.name")
+    made = embed.project(cells, 16, 3)
+    assert "try_element_at" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.toPandas().sort_values("row_id")
+    want = np.zeros((len(rows), 16))
+    for r, held in enumerate(rows[:-1]):
+        for i, v in held:
+            digest = hashlib.md5(f"3:{i}".encode()).hexdigest()
+            want[r, int(digest[:8], 16) % 16] += v * (1 if int(digest[8], 16) % 2 == 0 else -1)
+    values = got[[f"e_{i}" for i in range(16)]].to_numpy()
+    assert np.array_equal(values[:-1], want[:-1]) and np.isfinite(values[-1]).all()
+    assert got["a.name"].tolist() == [f"n{i}" for i in range(len(rows))]
